@@ -20,14 +20,14 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 NOT_LINE_END = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 # Unicode noncharacters: never valid in exchanged text, so free to use as marks.
-MARK = "﷐"
-HEADING_MARK = "﷑"
+MARK = chr(0xFDD0)
+HEADING_MARK = chr(0xFDD1)
 _RESERVED = MARK + HEADING_MARK
 
 
 def shield(text: Column) -> Column:
     """Replace reserved marks by U+FFFD, keeping every offset."""
-    return F.translate(text, _RESERVED, "�" * len(_RESERVED))
+    return F.translate(text, _RESERVED, chr(0xFFFD) * len(_RESERVED))
 
 
 def strip(text: Column) -> Column:
@@ -52,20 +52,24 @@ def lines(text: Column) -> Column:
     )
 
 
-def running_lengths(pieces: Column) -> Column:
-    """Offset at which each piece starts, given pieces laid end to end."""
+def running_totals(numbers: Column) -> Column:
+    """Sum of the numbers before each position."""
     zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("pos"))
     return F.aggregate(
-        pieces,
+        numbers,
         zero,
-        lambda acc, p: F.struct(
-            F.concat(acc["at"], F.array(acc["pos"])).alias("at"),
-            (acc["pos"] + F.length(p)).alias("pos"),
+        lambda acc, n: F.struct(
+            F.concat(acc["at"], F.array(acc["pos"])).alias("at"), (acc["pos"] + n).alias("pos")
         ),
         lambda acc: acc["at"],
     )
 
 
+def running_lengths(pieces: Column) -> Column:
+    """Offset at which each piece starts, given pieces laid end to end."""
+    return running_totals(F.transform(pieces, F.length))
+
+
 def match_starts(text: Column, pattern: str) -> Column:
     """Offsets of all non-overlapping matches of `pattern`."""
     pieces = F.split(F.regexp_replace(shield(text), f"(?:{pattern})", MARK + "$0"), MARK, -1)
@@ -77,7 +81,7 @@ def match_starts(text: Column, pattern: str) -> Column:
 
 _SUSPECT_CLASS = (
     "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in V.SUSPECT_RANGES)
-    + "&&[^" + "".join(rf"\x{{{ord(c):x}}}" for c in V.LEGITIMATE_TYPOGRAPHY) + "]]"
+    + "&&[^" + "".join(rf"\x{{{c:x}}}" for c in V.LEGITIMATE_TYPOGRAPHY) + "]]"
 )
 
 

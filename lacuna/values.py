@@ -7,17 +7,17 @@ are written as escapes.
 
 # --- character repair: mis-encoded character -> intended character -----------
 REPAIR_LETTERS = [
-    ("ď", "b"), ("Đ", "c"), ("ŵ", "m"), ("Ŷ", "n"),
-    ("ƌ", "r"), ("Ƌ", "q"), ("ǀ", "v"), ("ǁ", "w"),
-    ("ǆ", "x"), ("Ǉ", "y"), ("“", "S"), ("‘", "R"),
+    (0x010F, "b"), (0x0110, "c"), (0x0175, "m"), (0x0176, "n"),
+    (0x018C, "r"), (0x018B, "q"), (0x01C0, "v"), (0x01C1, "w"),
+    (0x01C6, "x"), (0x01C7, "y"), (0x201C, "S"), (0x2018, "R"),
 ]
-REPAIR_DIGITS = [(chr(0x03EC + d), str(d)) for d in range(10)]
+REPAIR_DIGITS = [(0x03EC + d, str(d)) for d in range(10)]
 REPAIR_PUNCTUATION = [
-    ("͞", '"'), ("͟", '"'), ("͚", "'"),
-    ("͛", "'"), (";", "("), ("Ϳ", ")"),
+    (0x035E, '"'), (0x035F, '"'), (0x035A, "'"),
+    (0x035B, "'"), (0x037E, "("), (0x037F, ")"),
 ]
 REPAIR_PAIRS = REPAIR_LETTERS + REPAIR_DIGITS + REPAIR_PUNCTUATION
-BAD_CHARS = "".join(b for b, _ in REPAIR_PAIRS)
+BAD_CHARS = "".join(chr(b) for b, _ in REPAIR_PAIRS)
 GOOD_CHARS = "".join(g for _, g in REPAIR_PAIRS)
 
 # Blocks that carry glyph-mapping noise, and typography that is never suspect.
@@ -26,7 +26,10 @@ SUSPECT_RANGES = [
     (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x052F), (0x1E00, 0x1EFF),
     (0x2C60, 0x2C7F), (0xA720, 0xA7FF),
 ]
-LEGITIMATE_TYPOGRAPHY = "–—…‘’“”•‐°²³½¼¾×§"
+LEGITIMATE_TYPOGRAPHY = [
+    0x2013, 0x2014, 0x2026, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2010,
+    0x00B0, 0x00B2, 0x00B3, 0x00BD, 0x00BC, 0x00BE, 0x00D7, 0x00A7,
+]
 
 # --- page grading ------------------------------------------------------------
 MIN_TEXT_CHARS = 120
