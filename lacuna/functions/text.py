@@ -6,13 +6,17 @@ short classes are ASCII-only.
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna import values as V
 
 # Whitespace, decimal digits and word characters with Unicode meaning.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_CHARS = "".join(chr(c) for c in [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+])
 DIGIT = r"\p{Nd}"
 WORD = r"[\p{L}\p{N}_]"
 # Characters that end a line, with CR LF taken as one end.
@@ -25,13 +29,28 @@ HEADING_MARK = chr(0xFDD1)
 _RESERVED = MARK + HEADING_MARK
 
 
+def unnest(df: DataFrame, array: str | Column, out: str, position: str | None = None) -> DataFrame:
+    """One row per array element, empty arrays giving none.
+
+    A plain `explode` makes the optimizer test the array's size first, which
+    computes a costly array twice; the outer form is filtered afterwards instead.
+    """
+    if position:
+        exploded = df.select("*", F.posexplode_outer(array).alias(position, out))
+    else:
+        exploded = df.select("*", F.explode_outer(array).alias(out))
+    return exploded.where(F.col(out).isNotNull())
+
+
 def shield(text: Column) -> Column:
     """Replace reserved marks by U+FFFD, keeping every offset."""
-    return F.translate(text, _RESERVED, chr(0xFFFD) * len(_RESERVED))
+    present = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(HEADING_MARK))
+    safe = F.translate(text, _RESERVED, chr(0xFFFD) * len(_RESERVED))
+    return F.when(present, safe).otherwise(text)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse(text: Column) -> Column:
@@ -85,17 +104,26 @@ _SUSPECT_CLASS = (
 )
 
 
+_BAD_CLASS = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in V.BAD_CHARS) + "]"
+
+
+def has_wide_chars(text: Column) -> Column:
+    """Any character past Latin-1; without one there is nothing to repair or suspect."""
+    return text.rlike(r"[^\x00-\xff]")
+
+
 def repaired(raw: Column) -> Column:
     """One-to-one character repair; offsets are unchanged."""
-    return F.translate(raw, V.BAD_CHARS, V.GOOD_CHARS)
+    return F.when(has_wide_chars(raw), F.translate(raw, V.BAD_CHARS, V.GOOD_CHARS)).otherwise(raw)
 
 
 def substitutions(raw: Column) -> Column:
-    return F.length(raw) - F.length(F.translate(raw, V.BAD_CHARS, ""))
+    return F.when(has_wide_chars(raw), F.regexp_count(raw, F.lit(_BAD_CLASS))).otherwise(0)
 
 
 def distinct_substitutions(raw: Column) -> Column:
-    return reduce(lambda a, b: a + b, [F.contains(raw, F.lit(c)).cast("int") for c in V.BAD_CHARS])
+    found = [F.contains(raw, F.lit(c)).cast("int") for c in V.BAD_CHARS]
+    return F.when(has_wide_chars(raw), reduce(lambda a, b: a + b, found)).otherwise(0)
 
 
 def suspect_chars(text: Column) -> Column:
@@ -104,7 +132,7 @@ def suspect_chars(text: Column) -> Column:
 
 
 def suspect_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(_SUSPECT_CLASS))
+    return F.when(has_wide_chars(text), F.regexp_count(text, F.lit(_SUSPECT_CLASS))).otherwise(0)
 
 
 def is_clean(raw: Column) -> Column:

@@ -32,9 +32,8 @@ def _marked_lines(text: Column, pattern: str, replacement: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, replacement), "\n", -1)
 
 
-def _segments(text: Column) -> Column:
+def _segments(plain: Column) -> Column:
     """Page text cut at every boundary; a heading's segment opens with a mark."""
-    plain = X.shield(text)
     lined = F.arrays_zip(
         F.split(plain, "\n", -1).alias("body"),
         _marked_lines(plain, SECTION, X.MARK + "$0").alias("section"),
@@ -155,35 +154,36 @@ def with_pieces(segments: DataFrame) -> DataFrame:
     )
 
 
-def cut_segments(pages: DataFrame, running_header: str | None = V.RUNNING_HEADER) -> DataFrame:
-    """Segments of at least 60 characters with section and clause marker."""
-    numbers = F.regexp_extract_all(F.col("text"), F.lit(SECTION), F.lit(1))
-    titles = F.regexp_extract_all(F.col("text"), F.lit(SECTION), F.lit(2))
-    placed = (
-        pages.withColumn("_numbers", numbers)
-        .withColumn("_titles", titles)
-        .withColumn("_segment", F.explode(_placed(_segments(F.col("text")))))
+def with_segments(pages: DataFrame, running_header: str | None = V.RUNNING_HEADER) -> DataFrame:
+    """Add `segments`: cleaned segments of at least 60 characters of each page."""
+    header = "(?iu)" + running_header.replace(r"\s", X.SPACE) if running_header else None
+
+    def cleaned(segment: Column) -> Column:
+        body = segment["body"]
+
+        def group(n: int) -> Column:
+            return F.regexp_extract(body, CLAUSE_AT_START, n)
+
+        heading = F.when(segment["heading"] > 0, segment["heading"])
+        return F.struct(
+            X.strip(F.regexp_replace(body, header, "") if header else body).alias("cleaned"),
+            segment["at"].alias("at"),
+            F.try_element_at(F.col("_numbers"), heading).alias("section_number"),
+            X.strip(F.try_element_at(F.col("_titles"), heading)).alias("section_title"),
+            F.nullif(F.concat(group(1), group(2), group(3)), F.lit("")).alias("clause_marker"),
+        )
+
+    plain = pages.withColumn("_plain", X.shield(F.col("text")))
+    laid = (
+        plain.withColumn("_numbers", F.regexp_extract_all("_plain", F.lit(SECTION), F.lit(1)))
+        .withColumn("_titles", F.regexp_extract_all("_plain", F.lit(SECTION), F.lit(2)))
+        .withColumn("_placed", _placed(_segments(F.col("_plain"))))
     )
-    body = F.col("_segment.body")
-    without_header = body
-    if running_header:
-        pattern = "(?iu)" + running_header.replace(r"\s", X.SPACE)
-        without_header = F.regexp_replace(body, pattern, "")
-    heading = F.col("_segment.heading")
-
-    def group(n: int) -> Column:
-        return F.regexp_extract(body, CLAUSE_AT_START, n)
-
-    marker = F.concat(group(1), group(2), group(3))
-    return (
-        placed.withColumn("cleaned", X.strip(without_header))
-        .withColumn("at", F.col("_segment.at"))
-        .where(F.length("cleaned") >= V.MIN_CHUNK_CHARS)
-        .withColumn("section_number", F.when(heading > 0, F.try_element_at("_numbers", heading)))
-        .withColumn("section_title", F.when(heading > 0, X.strip(F.try_element_at("_titles", heading))))
-        .withColumn("clause_marker", F.when(marker != "", marker))
-        .drop("_numbers", "_titles", "_segment")
+    kept = F.filter(
+        F.transform(F.filter("_placed", lambda s: F.length(s["body"]) >= V.MIN_CHUNK_CHARS), cleaned),
+        lambda s: F.length(s["cleaned"]) >= V.MIN_CHUNK_CHARS,
     )
+    return laid.withColumn("segments", kept).drop("_plain", "_numbers", "_titles", "_placed")
 
 
 def overlapping_region(regions: Column, start: Column, end: Column) -> Column:
@@ -197,56 +197,65 @@ def chunk_pages(graded: DataFrame, running_header: str | None = V.RUNNING_HEADER
     """Chunks of graded pages; an unreadable page yields one placeholder.
 
     A projection from end to end: page text is read once and nothing is shuffled.
-    `chunk_ordinal` orders chunks inside (document_id, page_number).
+    Only the columns a chunk needs pass the explode, so a long page is not copied
+    once per chunk.  `chunk_ordinal` orders chunks inside (document_id, page_number).
     """
-    common = ["document_id", "page_number"]
-    readable = tables.with_regions(graded.where(F.col("quality") != "unreadable"))
-    pieces = (
-        with_pieces(cut_segments(readable, running_header))
-        .withColumn("_text_length", F.length("text"))
-        .withColumn("piece", F.explode("pieces"))
-        .withColumn(
-            "_region",
-            overlapping_region(
-                F.col("regions"), F.col("piece.at"), F.col("piece.at") + F.length("piece.text")
-            ),
-        )
+    unreadable = F.col("quality") == "unreadable"
+    cut = with_segments(tables.with_regions(graded), running_header)
+    placeholder = F.struct(
+        F.format_string(
+            "[Page %d contains no machine-readable text. It is a scan or drawing and has been "
+            "rendered as an image.]",
+            "page_number",
+        ).alias("cleaned"),
+        F.lit(0).alias("at"),
+        *[F.lit(None).cast("string").alias(c) for c in ("section_number", "section_title", "clause_marker")],
+    )
+    segments = F.when(unreadable, F.array(placeholder)).otherwise(F.col("segments"))
+    slim = F.transform(
+        "regions",
+        lambda r: F.struct(*[r[c].alias(c) for c in ("char_start", "char_end", "caption", "risk", "warning")]),
+    )
+    slimmed = cut.select(
+        "document_id",
+        "page_number",
+        "quality",
+        "substitutions",
+        "caveat",
+        F.length("text").alias("_text_length"),
+        F.when(~unreadable, slim).alias("_regions"),
+        segments.alias("_segments"),
     )
-    start = F.col("piece.at")
-    cut = pieces.select(
-        *common,
+    exploded = X.unnest(slimmed, "_segments", "_segment").select("*", "_segment.*").drop("_segment", "_segments")
+    start = F.col("_piece.at")
+    end = start + F.length("_piece.text")
+    pieces = X.unnest(with_pieces(exploded), "pieces", "_piece").withColumn(
+        "_region", overlapping_region(F.col("_regions"), start, end)
+    )
+    return pieces.select(
+        "document_id",
+        "page_number",
         start.alias("char_start"),
-        F.least(start + F.length("piece.text"), F.col("_text_length")).alias("char_end"),
-        F.col("piece.text").alias("text"),
+        F.when(unreadable, F.greatest("_text_length", F.lit(1)))
+        .otherwise(F.least(end, F.col("_text_length")))
+        .alias("char_end"),
+        F.col("_piece.text").alias("text"),
         "section_number",
         "section_title",
         "clause_marker",
         F.col("quality").alias("page_quality"),
-        (F.col("substitutions") > 0).alias("text_was_repaired"),
+        (~unreadable & (F.col("substitutions") > 0)).alias("text_was_repaired"),
         F.col("_region.risk").alias("table_risk"),
         F.col("_region.caption").alias("table_caption"),
         F.array_compact(F.array(F.col("caveat"), F.col("_region.warning"))).alias("caveats"),
-        F.concat_ws(":", "document_id", F.concat(F.lit("p"), F.col("page_number")), start).alias("chunk_id"),
+        F.concat_ws(
+            ":",
+            "document_id",
+            F.concat(F.lit("p"), F.col("page_number")),
+            F.when(unreadable, "unreadable").otherwise(start.cast("string")),
+        ).alias("chunk_id"),
         start.alias("chunk_ordinal"),
     )
-    placeholder = graded.where(F.col("quality") == "unreadable").select(
-        *common,
-        F.lit(0).alias("char_start"),
-        F.greatest(F.length("raw_text"), F.lit(1)).alias("char_end"),
-        F.format_string(
-            "[Page %d contains no machine-readable text. It is a scan or drawing and has been "
-            "rendered as an image.]",
-            "page_number",
-        ).alias("text"),
-        F.col("quality").alias("page_quality"),
-        F.lit(False).alias("text_was_repaired"),
-        F.array_compact(F.array("caveat")).alias("caveats"),
-        F.concat_ws(":", "document_id", F.concat(F.lit("p"), F.col("page_number")), F.lit("unreadable")).alias(
-            "chunk_id"
-        ),
-        F.lit(0).alias("chunk_ordinal"),
-    )
-    return cut.unionByName(placeholder, allowMissingColumns=True)
 
 
 def citation_label() -> Column:

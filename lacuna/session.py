@@ -14,6 +14,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("lacuna")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))

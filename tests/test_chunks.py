@@ -4,7 +4,7 @@ import random
 
 
 from brute import cut, pack
-from lacuna.operators.chunks import chunk_pages, cut_segments, with_pieces
+from lacuna.operators.chunks import chunk_pages, with_pieces
 from lacuna.operators.pages import grade_pages
 
 WORDS = ["Plot", "shall", "keep", "a", "margin", "of", "4.5", "m", "Road", "width;", "height.", "zone:", "(see", "map)"]
