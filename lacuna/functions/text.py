@@ -148,8 +148,7 @@ def corruption_rate(raw: Column) -> Column:
 
 def codepoint(ch: Column) -> Column:
     """`U+XXXX` of a one-character string."""
-    hexed = F.hex(F.encode(ch, "UTF-32BE"))
-    return F.concat(F.lit("U+"), F.lpad(F.regexp_replace(hexed, "^0+", ""), 4, "0"))
+    return F.format_string("U+%04X", F.ascii(ch))
 
 
 NUMERIC_CLAUSE = rf"(?<!{WORD}){DIGIT}{{1,4}}(?:\.{DIGIT}+)?{SPACE}?m(?!{WORD})"
