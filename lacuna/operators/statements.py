@@ -51,14 +51,14 @@ SCHEMA = {
 }
 
 
-def statement(df: DataFrame, type_: str, agent: str, **columns: Column | str) -> DataFrame:
+def statement(df: DataFrame, kind_: str, made_by: str, /, **columns: Column | str) -> DataFrame:
     """Project rows into statements; ids come from content, so reruns agree.
 
     `df` has finding_id and ordinal; `columns` gives text and per-type fields.
     """
     given = {k: F.lit(v) if isinstance(v, str) else v for k, v in columns.items()}
-    given.setdefault("type", F.lit(type_))
-    given.setdefault("agent", F.lit(agent))
+    given.setdefault("type", F.lit(kind_))
+    given.setdefault("agent", F.lit(made_by))
     given.setdefault("rejected", F.lit(False))
     given.setdefault("critic_notes", F.array())
     for key in ("finding_id", "ordinal"):

@@ -167,8 +167,8 @@ QUESTIONS = """questions AS (
 
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as one chunk, unreadable pages as placeholders."""
-    short = F.length(F.btrim("raw_text", F.lit(" \n"))) < LENGTH_LIMIT
+    """Every page as one chunk; short texts and, as scans, every fifth length are unreadable."""
+    short = (F.length(F.btrim("raw_text", F.lit(" \n"))) < LENGTH_LIMIT) | (F.col("n_chars") % 5 == 0)
     placeholder = F.format_string("[Page %d contains no machine-readable text.]", "page_number")
     return pages(spark, sf_dir).select(
         "document_id",
@@ -181,8 +181,8 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHUNKS = f"""{PAGES}, chunks AS (
   SELECT document_id, page_number, doc_id AS chunk_ordinal,
-    CASE WHEN length(trim(raw_text, ' ' || chr(10))) < 120 THEN 'unreadable' ELSE 'clean' END AS page_quality,
-    CASE WHEN length(trim(raw_text, ' ' || chr(10))) < 120
+    CASE WHEN length(trim(raw_text, ' ' || chr(10))) < 120 OR n_chars % 5 = 0 THEN 'unreadable' ELSE 'clean' END AS page_quality,
+    CASE WHEN length(trim(raw_text, ' ' || chr(10))) < 120 OR n_chars % 5 = 0
       THEN '[Page ' || page_number || ' contains no machine-readable text.]' ELSE raw_text END AS text
   FROM pages_in)"""
 
