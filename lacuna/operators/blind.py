@@ -1,12 +1,12 @@
 """Unreadable regions that bear on a question."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna import values as V
 from lacuna.functions import text as X
 from lacuna.functions import tokens as T
-from lacuna.operators.ranges import islands
+from lacuna.operators.ranges import islands, rank_rows
 
 REGION = ["document_id", "page_start", "page_end"]
 _BIN = 64
@@ -99,10 +99,7 @@ def match_regions(regions: DataFrame, weights: DataFrame, hits: DataFrame) -> Da
     pair = ["query_id", *REGION]
     scored = region_scores(regions, weights)
     near = near_hits(regions, hits).withColumn("near_hit", F.lit(True))
-    order = Window.partitionBy("query_id").orderBy(
-        F.col("query_relevant").desc(), F.col("match_score").desc(), F.col("page_count").desc(), "page_start"
-    )
-    return (
+    reported = (
         scored.join(near, pair, "full")
         .withColumn("query_relevant", F.coalesce("query_relevant", F.lit(False)))
         .withColumn("near_hit", F.coalesce("near_hit", F.lit(False)))
@@ -110,8 +107,9 @@ def match_regions(regions: DataFrame, weights: DataFrame, hits: DataFrame) -> Da
         .withColumn("matched_terms", F.coalesce("matched_terms", F.array().cast("array<string>")))
         .where(F.col("query_relevant") | F.col("near_hit"))
         .join(regions, REGION)
-        .withColumn("rank", F.row_number().over(order))
     )
+    order = [("query_relevant", True), ("match_score", True), ("page_count", True)]
+    return rank_rows(reported, "query_id", order, "page_start", "rank")
 
 
 def page_span(start: Column, end: Column) -> Column:
@@ -121,19 +119,17 @@ def page_span(start: Column, end: Column) -> Column:
 
 
 def coverage_notes(matched: DataFrame) -> DataFrame:
-    """The sentence shown above an answer when pages on the topic are unreadable."""
-    relevant = matched.where(F.col("query_relevant"))
-    first = Window.partitionBy("query_id").orderBy("rank")
-    where = (
-        relevant.withColumn("_k", F.row_number().over(first))
-        .where(F.col("_k") <= 3)
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_k", page_span(F.col("page_start"), F.col("page_end")).alias("s")))).alias("_w"))
-    )
-    totals = relevant.groupBy("query_id").agg(
-        F.sum("page_count").alias("pages"), F.count(F.lit(1)).alias("regions")
+    """The sentence shown above an answer when pages on the topic are unreadable.
+
+    Relevant regions rank first, so the three named are those of rank 1 to 3.
+    """
+    named = F.when(F.col("rank") <= 3, F.struct("rank", page_span(F.col("page_start"), F.col("page_end")).alias("s")))
+    totals = matched.where(F.col("query_relevant")).groupBy("query_id").agg(
+        F.sum("page_count").alias("pages"),
+        F.count(F.lit(1)).alias("regions"),
+        F.array_sort(F.collect_list(named)).alias("_w"),
     )
-    return totals.join(where, "query_id").select(
+    return totals.select(
         "query_id",
         F.format_string(
             "%d page(s) of this document bearing on your question could not be read "

@@ -16,24 +16,51 @@ def _bucket(position: Column, width: int) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
-def number_rows(df: DataFrame, key: str, position: str, out: str, width: int = BUCKET_WIDTH) -> DataFrame:
-    """1-based rank of each row within its key, by a whole-number position."""
+def number_rows(df: DataFrame, keys: str | list[str], position: str, out: str, width: int = BUCKET_WIDTH) -> DataFrame:
+    """1-based rank of each row within its keys, by a unique whole-number position."""
+    keys = [keys] if isinstance(keys, str) else keys
     keyed = df.withColumn("_bucket", _bucket(F.col(position), width))
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy(key, "_bucket")
+        keyed.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    within = Window.partitionBy(key, "_bucket").orderBy(position)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(position)
     return (
         keyed.withColumn("_rank", F.row_number().over(within))
-        .join(offsets, [key, "_bucket"])
+        .join(offsets, [*keys, "_bucket"])
         .withColumn(out, F.col("_offset") + F.col("_rank"))
         .drop("_bucket", "_rank", "_offset")
     )
 
 
+def rank_rows(
+    df: DataFrame, key: str, groups: list[tuple[str, bool]], position: str, out: str
+) -> DataFrame:
+    """1-based rank within `key` by discrete columns, then by position.
+
+    `groups` lists (column, descending).  Rows with equal columns, copies for
+    instance, are numbered in buckets of the position; only one count per
+    different combination of columns meets inside the key.
+    """
+    names = [n for n, _ in groups]
+    order = [F.col(n).desc() if down else F.col(n).asc() for n, down in groups]
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(key, *names)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
+    )
+    return (
+        number_rows(df, [key, *names], position, "_inside")
+        .join(offsets, [key, *names])
+        .withColumn(out, F.col("_before") + F.col("_inside"))
+        .drop("_before", "_inside")
+    )
+
+
 def islands(df: DataFrame, key: str, position: str, width: int = BUCKET_WIDTH) -> DataFrame:
     """Maximal runs of consecutive positions per key: (key, page_start, page_end).
 

@@ -1,9 +1,11 @@
 """Findings, site panels, comparison matrix and coverage figures."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna import values as V
+from lacuna.functions.places import feature_label
+from lacuna.operators.ranges import rank_rows
 from lacuna.operators.statements import type_summary
 
 UNRESOLVABLE = "unresolvable_with_open_data"
@@ -42,11 +44,8 @@ def change_my_mind(statements: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 def verify_next(statements: DataFrame) -> DataFrame:
     """Open tasks with their place in the queue: priority first, then order made."""
-    queue = Window.partitionBy("finding_id").orderBy("priority", "ordinal")
-    return (
-        statements.where((F.col("type") == "recommendation") & ~F.col("rejected"))
-        .withColumn("queue_position", F.row_number().over(queue))
-    )
+    tasks = statements.where((F.col("type") == "recommendation") & ~F.col("rejected"))
+    return rank_rows(tasks, "finding_id", [("priority", False)], "ordinal", "queue_position")
 
 
 def finding_coverage(statements: DataFrame, conflicts: DataFrame, spots: DataFrame, interventions: DataFrame) -> DataFrame:
@@ -221,8 +220,6 @@ def first_tags(tags: Column, n: int = 8) -> Column:
 
 def map_features(features: DataFrame) -> DataFrame:
     """Features as shown on a map: label, link and the first eight tags."""
-    from lacuna.functions.places import feature_label
-
     return features.select(
         "osm_type", "osm_id", "category", feature_label(F.col("name"), F.col("category")).alias("label"),
         "latitude", "longitude", "distance_m",
