@@ -65,10 +65,34 @@ def lines_with_ends(text: Column) -> Column:
     )
 
 
-def lines(text: Column) -> Column:
-    return F.transform(
-        lines_with_ends(text), lambda s: F.regexp_replace(s, rf"(?:{LINE_END})\z", "")
+def numbered_lines(text: Column) -> Column:
+    """Lines as (line, size, text); size counts the terminator.
+
+    Text whose only line end is the newline, nearly all text, is split directly.
+    """
+    plain = F.split(text, "\n", -1)
+    whole = F.transform(
+        plain,
+        lambda s, i: F.struct(i.alias("line"), (F.length(s) + 1).alias("size"), s.alias("text")),
+    )
+    last = F.struct(
+        (F.size(plain) - 1).alias("line"), F.length(F.element_at(plain, -1)).alias("size"), F.element_at(plain, -1).alias("text")
+    )
+    full = F.slice(whole, 1, F.size(plain) - 1)
+    by_newline = F.when(F.endswith(text, F.lit("\n")) | (text == ""), full).otherwise(
+        F.concat(full, F.array(last))
     )
+    by_any_end = F.transform(
+        lines_with_ends(text),
+        lambda s, i: F.struct(
+            i.alias("line"), F.length(s).alias("size"), F.regexp_replace(s, rf"(?:{LINE_END})\z", "").alias("text")
+        ),
+    )
+    return F.when(text.rlike(r"[\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), by_any_end).otherwise(by_newline)
+
+
+def lines(text: Column) -> Column:
+    return F.transform(numbered_lines(text), lambda s: s["text"])
 
 
 def running_totals(numbers: Column) -> Column:

@@ -38,8 +38,7 @@ def _segments(plain: Column) -> Column:
         F.split(plain, "\n", -1).alias("body"),
         _marked_lines(plain, SECTION, X.MARK + "$0").alias("section"),
         _marked_lines(plain, CLAUSE, X.MARK + "$0").alias("clause"),
-        _marked_lines(plain, CAPTION_LINE, X.MARK + "$0").alias("caption"),
-        _marked_lines(plain, CAPTION_LINE, "$0" + X.MARK).alias("caption_end"),
+        _marked_lines(plain, CAPTION_LINE, X.MARK + "$0" + X.HEADING_MARK).alias("caption"),
     )
 
     def rebuilt(line: Column) -> Column:
@@ -53,7 +52,7 @@ def _segments(plain: Column) -> Column:
             F.when(opens, X.MARK).otherwise(""),
             F.when(heading, X.HEADING_MARK).otherwise(""),
             line["body"],
-            F.when(F.endswith(line["caption_end"], F.lit(X.MARK)), X.MARK).otherwise(""),
+            F.when(F.endswith(line["caption"], F.lit(X.HEADING_MARK)), X.MARK).otherwise(""),
         )
 
     return F.split(F.array_join(F.transform(lined, rebuilt), "\n"), X.MARK, -1)
@@ -168,22 +167,27 @@ def with_segments(pages: DataFrame, running_header: str | None = V.RUNNING_HEADE
         return F.struct(
             X.strip(F.regexp_replace(body, header, "") if header else body).alias("cleaned"),
             segment["at"].alias("at"),
-            F.try_element_at(F.col("_numbers"), heading).alias("section_number"),
-            X.strip(F.try_element_at(F.col("_titles"), heading)).alias("section_title"),
+            # Read twice on purpose: a column read once would be computed per segment.
+            F.try_element_at(F.col("_headings"), heading)["number"].alias("section_number"),
+            X.strip(F.try_element_at(F.col("_headings"), heading)["title"]).alias("section_title"),
             F.nullif(F.concat(group(1), group(2), group(3)), F.lit("")).alias("clause_marker"),
         )
 
     plain = pages.withColumn("_plain", X.shield(F.col("text")))
     laid = (
-        plain.withColumn("_numbers", F.regexp_extract_all("_plain", F.lit(SECTION), F.lit(1)))
-        .withColumn("_titles", F.regexp_extract_all("_plain", F.lit(SECTION), F.lit(2)))
-        .withColumn("_placed", _placed(_segments(F.col("_plain"))))
+        plain.withColumn(
+            "_headings",
+            F.arrays_zip(
+                F.regexp_extract_all("_plain", F.lit(SECTION), F.lit(1)).alias("number"),
+                F.regexp_extract_all("_plain", F.lit(SECTION), F.lit(2)).alias("title"),
+            ),
+        ).withColumn("_placed", _placed(_segments(F.col("_plain"))))
     )
     kept = F.filter(
         F.transform(F.filter("_placed", lambda s: F.length(s["body"]) >= V.MIN_CHUNK_CHARS), cleaned),
         lambda s: F.length(s["cleaned"]) >= V.MIN_CHUNK_CHARS,
     )
-    return laid.withColumn("segments", kept).drop("_plain", "_numbers", "_titles", "_placed")
+    return laid.withColumn("segments", kept).drop("_plain", "_headings", "_placed")
 
 
 def overlapping_region(regions: Column, start: Column, end: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lacuna import values as V
 from lacuna.functions import text as X
 from lacuna.operators import blind, chunks, pages, search
+from lacuna.session import materialise
 
 
 @dataclass
@@ -27,13 +28,18 @@ def ingest(raw_pages: DataFrame) -> DataFrame:
 
 
 def answer(chunked: DataFrame, questions: DataFrame, k: int = V.TOP_K) -> Answers:
+    """Hits, unreadable regions and coverage notes of all questions.
+
+    The postings of asked-for terms, the kept hits and the unreadable regions are
+    small next to the corpus and read by several outputs, so each is stored once.
+    """
     fits = search.fits_broadcast(questions)
     asked = search.query_terms(questions)
-    posted = search.relevant_postings(chunked, asked, fits)
-    weights = search.query_weights(posted, asked)
+    posted = materialise(search.relevant_postings(chunked, asked, fits))
+    weights = materialise(search.query_weights(posted, asked))
     ranked = search.top_hits(search.scores(posted, weights, questions, fits), k)
-    kept = search.evidence_floor(ranked)
-    regions = blind.blind_regions(chunked)
+    kept = materialise(search.evidence_floor(ranked))
+    regions = materialise(blind.blind_regions(chunked))
     spots = blind.match_regions(regions, weights, kept)
     hits = search.matched_terms(kept, posted, asked, fits)
     return Answers(hits, spots, blind.coverage_notes(spots), regions, weights)

@@ -6,7 +6,7 @@ On a cluster the caller brings a session; only local runs build one here.
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -35,3 +36,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = os.path.join(tempfile.mkdtemp(prefix="lacuna-"), "checkpoints")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, through reliable shared storage.
+
+    For compact results that several outputs of one plan read, so the corpus is
+    not read again for each and a lost executor costs no recomputation.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
