@@ -1,4 +1,8 @@
-"""Terms: tokenising, singular forms, query expansion, content words."""
+"""Terms: tokenising, singular forms, query expansion, content words.
+
+These run once per token, so they are written as SQL text: one expression each,
+evaluated in the JVM.  `text` arguments are column names or SQL expressions.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -6,54 +10,70 @@ from pyspark.sql import functions as F
 from lacuna import values as V
 
 TOKEN = r"[A-Za-z]+|\p{Nd}+(?:\.\p{Nd}+)*"
+_STOPWORDS = ", ".join(f"'{w}'" for w in V.STOPWORDS)
 
 
-def keep_token(token: Column) -> Column:
-    """Not a stopword, and more than one letter unless it is a number."""
-    return ~token.isin(V.STOPWORDS) & ((F.length(token) > 1) | token.rlike(r"^\p{Nd}+$"))
+def _keep(t: str) -> str:
+    return rf"{t} NOT IN ({_STOPWORDS}) AND (length({t}) > 1 OR {t} RLIKE r'^\p{{Nd}}$')"
 
 
-def singular(token: Column) -> Column:
-    """Singular form of a plural term, null where there is nothing to take off."""
-    n = F.length(token)
+def _singular(t: str) -> str:
+    n = f"length({t})"
     stem = (
-        F.when((n <= 3) | ~token.rlike("^[a-z]+$"), None)
-        .when(token.endswith("ies"), F.concat(F.left(token, n - 3), F.lit("y")))
-        .when(token.rlike("(?:s|x|z|ch|sh)es$"), F.left(token, n - 2))
-        .when(token.endswith("s") & ~token.rlike("[sui]s$|is$") , F.left(token, n - 1))
+        f"CASE WHEN {n} <= 3 OR NOT {t} RLIKE '^[a-z]+$' THEN NULL "
+        f"WHEN endswith({t}, 'ies') THEN concat(left({t}, {n} - 3), 'y') "
+        f"WHEN {t} RLIKE '(?:s|x|z|ch|sh)es$' THEN left({t}, {n} - 2) "
+        f"WHEN endswith({t}, 's') AND NOT {t} RLIKE '[sui]s$' THEN left({t}, {n} - 1) END"
     )
-    return F.when(~stem.isin(V.STOPWORDS), stem)
+    return stem
+
+
+def _raw_tokens(text: str) -> str:
+    return f"transform(regexp_extract_all({text}, r'{TOKEN}', 0), t -> lower(t))"
+
+
+def keep_token(token: str) -> Column:
+    """Not a stopword, and more than one letter unless it is a digit."""
+    return F.expr(_keep(token))
+
+
+def singular(token: str) -> Column:
+    """Singular form of a plural term, null where there is nothing to take off."""
+    return F.expr(f"CASE WHEN ({_singular(token)}) NOT IN ({_STOPWORDS}) THEN {_singular(token)} END")
+
+
+def raw_tokens(text: str) -> Column:
+    return F.expr(_raw_tokens(text))
 
 
-def raw_tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+def _terms(text: str) -> str:
+    kept = f"filter({_raw_tokens(text)}, t -> {_keep('t')})"
+    pairs = f"transform({kept}, t -> array(t, {_singular('t')}))"
+    # A null stem fails the test as well, and a kept token passes it again.
+    return f"filter(flatten({pairs}), t -> t NOT IN ({_STOPWORDS}))"
 
 
-def terms(text: Column) -> Column:
+def terms(text: str) -> Column:
     """Terms of a text in order; each plural is followed by its singular."""
-    kept = F.filter(raw_tokens(text), keep_token)
-    both = F.flatten(F.transform(kept, lambda t: F.array(t, singular(t))))
-    return F.array_compact(both)
+    return F.expr(_terms(text))
 
 
-def _synonyms(term: Column) -> Column:
-    out = None
-    for word, extra in V.SYNONYMS.items():
-        branch = F.array(*[F.lit(x) for x in extra])
-        out = F.when(term == word, branch) if out is None else out.when(term == word, branch)
-    return out.otherwise(F.array().cast("array<string>"))
+_SYNONYM_CASES = " ".join(
+    f"WHEN '{word}' THEN array({', '.join(repr(x) for x in extra)})" for word, extra in V.SYNONYMS.items()
+)
 
 
-def expanded(term_list: Column) -> Column:
-    """Terms plus synonyms, one hop, repeats kept."""
-    return F.concat(term_list, F.flatten(F.transform(term_list, _synonyms)))
+def expanded(text: str) -> Column:
+    """Terms of a question plus synonyms, one hop, repeats kept."""
+    extra = f"flatten(transform({_terms(text)}, t -> CASE t {_SYNONYM_CASES} ELSE cast(array() AS array<string>) END))"
+    return F.expr(f"concat({_terms(text)}, {extra})")
 
 
-def content_words(text: Column) -> Column:
+def content_words(text: str) -> Column:
     """Distinct words that carry content, for lexical overlap."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9.]+"), F.lit(0))
-    return F.array_distinct(
-        F.filter(words, lambda w: ~w.isin(V.STOPWORDS) & (F.length(w) > 2))
+    return F.expr(
+        f"array_distinct(filter(regexp_extract_all(lower({text}), '[a-z0-9.]+', 0), "
+        f"w -> length(w) > 2 AND w NOT IN ({_STOPWORDS})))"
     )
 
 

@@ -51,7 +51,7 @@ def region_scores(regions: DataFrame, weights: DataFrame) -> DataFrame:
 
     `weights` holds one row per question and term with its idf.
     """
-    described = regions.select(*REGION, T.terms(F.col("descriptor")).alias("terms"))
+    described = regions.select(*REGION, T.terms("descriptor").alias("terms"))
     posted = (
         X.unnest(described.withColumn("length", F.size("terms")), "terms", "term")
         .groupBy(*REGION, "length", "term")

@@ -38,7 +38,7 @@ def tokenised(chunks: DataFrame) -> DataFrame:
         *CHUNK,
         (F.col("page_quality") != "unreadable").alias("readable"),
         T.is_definition(F.col("text")).alias("defines"),
-        T.terms(F.col("text")).alias("terms"),
+        T.terms("text").alias("terms"),
     ).withColumn("length", F.size("terms"))
 
 
@@ -73,7 +73,7 @@ def contribution(weight: Column, idf_: Column, tf: Column, length: Column, avg_l
 def query_terms(questions: DataFrame) -> DataFrame:
     """Expanded question terms by position; repeats are kept, they add weight."""
     listed = questions.select(
-        "query_id", "document_id", T.expanded(T.terms(F.col("question"))).alias("terms")
+        "query_id", "document_id", T.expanded("question").alias("terms")
     )
     return X.unnest(listed, "terms", "term", "position").drop("terms")
 

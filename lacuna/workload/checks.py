@@ -16,7 +16,7 @@ def _turns(spark, sf_dir):
 
 
 def content_words(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", T.content_words(F.col("text")).alias("w"))
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", T.content_words("text").alias("w"))
     flat = X.unnest(docs, "w", "word")
     return flat.groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
 
@@ -26,7 +26,7 @@ def quote_overlap(spark, sf_dir):
     t = _turns(spark, sf_dir)
     before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("quote"))
     pairs = t.where(F.col("role") == "assistant").join(before, ["conv_id", "turn"])
-    share = T.overlap(T.content_words(F.col("text")), T.content_words(F.col("quote")))
+    share = T.overlap(T.content_words("text"), T.content_words("quote"))
     return pairs.select("conv_id", "turn", F.round(share, 4).alias("overlap"), (share < V.MIN_LEXICAL_SUPPORT).alias("unsupported"))
 
 

@@ -17,17 +17,17 @@ from lacuna.workload.standins import (
 
 
 def tokens(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", T.terms(F.col("text")).alias("t"))
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", T.terms("text").alias("t"))
     flat = X.unnest(docs, "t", "term", "position")
     return finish(flat.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_terms"), F.sum(F.length("term")).alias("n_letters"), F.min("term").alias("least"), F.max("term").alias("greatest")))
 
 
 def stems(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", T.raw_tokens(F.col("text")).alias("t"))
-    words = X.unnest(docs, "t", "word").where(T.keep_token(F.col("word")))
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", T.raw_tokens("text").alias("t"))
+    words = X.unnest(docs, "t", "word").where(T.keep_token("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("stem", T.singular(F.col("word"))).where(F.col("stem").isNotNull())
+    return counted.withColumn("stem", T.singular("word")).where(F.col("stem").isNotNull())
 
 
 def expanded_terms(spark, sf_dir):
@@ -35,7 +35,7 @@ def expanded_terms(spark, sf_dir):
     words = F.split(F.col("text"), " ", -1)
     domain = [k for k in V.SYNONYMS]
     mixed = F.array_join(F.transform(words, lambda w, i: F.concat(F.element_at(F.array(*[F.lit(d) for d in domain]), (i % len(domain) + 1).cast("int")), F.lit(" "), w)), " ")
-    q = read_table(spark, sf_dir, "benchmark").select("item_id", T.expanded(T.terms(mixed)).alias("t"))
+    q = read_table(spark, sf_dir, "benchmark").withColumn("mixed", mixed).select("item_id", T.expanded("mixed").alias("t"))
     flat = X.unnest(q, "t", "term")
     return flat.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("n"))
 

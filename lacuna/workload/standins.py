@@ -3,7 +3,7 @@
 Each stand-in is derived from a whole table, in Spark here and in SQL beside it.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna import values as V
@@ -103,31 +103,13 @@ SUSPECT_SQL = _SUSPECT
 _ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii"]
 
 
-def _line_markup(line: Column, i0: Column) -> Column:
-    i, n = i0 + 1, F.length(line)
-    s = lambda c: c.cast("string")
-    rows = []
-    for r in (1, 2, 3, 4):
-        extra = F.when((n + r) % 3 == 0, "").otherwise(f" 1.{20 + r}")
-        row = F.concat(F.lit(f"\n{r} Lot "), s(n % 9), F.lit(f".{10 + r} "), s(n % 7), F.lit(".5"), extra)
-        rows.append(row if r < 4 else F.when(n % 2 == 0, row).otherwise(""))
-    caption = F.when(n % 5 == 0, "Limits").otherwise("Base and total limits")
-    return (
-        F.when(n % 6 == 0, F.concat(s(i), F.lit("."), s(n % 50 + 1), F.lit(" Provision "), s(n), F.lit("\n"), line))
-        .when(n % 6 == 1, F.concat(F.lit("("), F.chr(97 + n % 26), F.lit(") "), line))
-        .when(n % 6 == 2, F.concat(s(1 + n % 99), F.lit(". "), line))
-        .when(n % 6 == 3, F.concat(F.element_at(F.array(*[F.lit(x) for x in _ROMAN]), (n % 7 + 1).cast("int")), F.lit(". "), line))
-        .when(n % 6 == 4, F.concat(F.lit("Table "), s(i), F.lit(": "), caption, F.lit(" of lot "), s(n), *rows, F.lit("\n"), line))
-        .otherwise(F.concat(line, F.lit(" Keep a buffer of "), s(n % 90 + 5), F.lit(" m from the edge of the lake.")))
-    )
-
-
 def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.array_join(F.transform(F.split("raw_text", "\n", -1), _line_markup), "\n")
-    return pages(spark, sf_dir).withColumn("raw_text", marked)
+    marked = f"array_join(transform(split(raw_text, '\\n', -1), (l, i0) -> {_line_sql('(i0 + 1)', 'array({})', 'int')}), '\\n')"
+    return pages(spark, sf_dir).withColumn("raw_text", F.expr(marked))
 
 
-def _line_sql() -> str:
+def _line_sql(i: str = "i", array: str = "[{}]", whole: str = "INT") -> str:
+    """What becomes of line `l`, number `i`; the same text for both engines."""
     rows = ""
     for r in (1, 2, 3, 4):
         row = (
@@ -135,13 +117,14 @@ def _line_sql() -> str:
             f"(CASE WHEN (length(l) + {r}) % 3 = 0 THEN '' ELSE ' 1.{20 + r}' END)"
         )
         rows += f" || {row}" if r < 4 else f" || (CASE WHEN length(l) % 2 = 0 THEN {row} ELSE '' END)"
-    roman = "[" + ", ".join(f"'{x}'" for x in _ROMAN) + "]"
+    roman = array.format(", ".join(f"'{x}'" for x in _ROMAN))
+    roman = f"{roman}[length(l) % 7{' + 1' if array == '[{}]' else ''}]"
     return f"""CASE length(l) % 6
-      WHEN 0 THEN i || '.' || (length(l) % 50 + 1) || ' Provision ' || length(l) || chr(10) || l
-      WHEN 1 THEN '(' || chr((97 + length(l) % 26)::INT) || ') ' || l
+      WHEN 0 THEN {i} || '.' || (length(l) % 50 + 1) || ' Provision ' || length(l) || chr(10) || l
+      WHEN 1 THEN '(' || chr(cast(97 + length(l) % 26 AS {whole})) || ') ' || l
       WHEN 2 THEN (1 + length(l) % 99) || '. ' || l
-      WHEN 3 THEN {roman}[length(l) % 7 + 1] || '. ' || l
-      WHEN 4 THEN 'Table ' || i || ': ' || (CASE WHEN length(l) % 5 = 0 THEN 'Limits' ELSE 'Base and total limits' END)
+      WHEN 3 THEN {roman} || '. ' || l
+      WHEN 4 THEN 'Table ' || {i} || ': ' || (CASE WHEN length(l) % 5 = 0 THEN 'Limits' ELSE 'Base and total limits' END)
         || ' of lot ' || length(l){rows} || chr(10) || l
       ELSE l || ' Keep a buffer of ' || (length(l) % 90 + 5) || ' m from the edge of the lake.' END"""
 
