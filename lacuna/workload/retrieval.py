@@ -8,8 +8,8 @@ from lacuna.functions import tokens as T
 from lacuna.operators import blind as B
 from lacuna.operators import pages as P
 from lacuna.operators import search as S
-from lacuna.operators.chunks import chunk_pages
 from lacuna.plans import ask
+from lacuna.session import materialise
 from lacuna.sources.tables import read_table
 from lacuna.workload.standins import (
     CHUNKS, QUESTIONS, STRUCTURED, damaged_pages, finish, page_chunks, questions, structured_pages, terms_sql,
@@ -155,7 +155,8 @@ def numeric_provisions(spark, sf_dir):
 
 
 def _chunked(spark, sf_dir):
-    return chunk_pages(P.grade_pages(structured_pages(spark, sf_dir)))
+    """The chunk table, stored once: a corpus is ingested once and asked often."""
+    return materialise(ask.ingest(structured_pages(spark, sf_dir)))
 
 
 def passage_hits(spark, sf_dir):
