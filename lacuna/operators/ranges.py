@@ -9,7 +9,7 @@ summary rows per bucket meet inside the key.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_WIDTH = 1 << 17
+BUCKET_WIDTH = 1 << 12
 
 
 def _bucket(position: Column, width: int) -> Column:

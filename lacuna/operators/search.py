@@ -204,31 +204,50 @@ def why_matched(matched: Column) -> Column:
 
 # --- numbers with regulatory force ---------------------------------------------
 
-MEASURE = (
-    rf"(?i)(?<![\p{{L}}\p{{N}}_.])({X.DIGIT}+(?:\.{X.DIGIT}+)?){X.SPACE}*"
+# Not after a word character or dot; the digit is tested first because it fails soonest.
+_NOT_INSIDE = rf"(?={X.DIGIT})(?<![\p{{L}}\p{{N}}_.])"
+_MEASURE_BODY = (
+    rf"({X.DIGIT}+(?:\.{X.DIGIT}+)?){X.SPACE}*"
     rf"(m(?!{X.WORD})|metre|meter|sqm|sq\.?{X.SPACE}?m|%|ha(?!{X.WORD}))"
 )
+MEASURE = f"(?i){_NOT_INSIDE}{_MEASURE_BODY}"
 
 
 def numeric_provisions(evidence: DataFrame, keys: list[str]) -> DataFrame:
-    """Every measure in the text of `evidence`, with its context and reliability."""
-    flat = evidence.withColumn("_flat", X.collapse(F.col("text")))
-    found = F.arrays_zip(
-        F.regexp_extract_all("_flat", F.lit(MEASURE), F.lit(0)).alias("whole"),
-        F.regexp_extract_all("_flat", F.lit(MEASURE), F.lit(1)).alias("number"),
-        F.regexp_extract_all("_flat", F.lit(MEASURE), F.lit(2)).alias("unit"),
-        X.match_starts(F.col("_flat"), MEASURE).alias("at"),
+    """Every measure in the text of `evidence`, with its context and reliability.
+
+    One pass marks the measures; each piece between marks starts with one.
+    """
+    flat = evidence.withColumn("_flat", X.shield(X.collapse(F.col("text"))))
+    pieces = F.split(F.regexp_replace("_flat", MEASURE, X.MARK + "$0"), X.MARK, -1)
+    split = flat.withColumn("_pieces", pieces)
+    laid = F.arrays_zip(F.col("_pieces").alias("piece"), X.running_lengths(F.col("_pieces")).alias("at"))
+    found = F.slice(laid, 2, F.greatest(F.size("_pieces") - 1, F.lit(0)))
+
+    def measure(p: Column) -> Column:
+        def part(n: int) -> Column:
+            return F.regexp_extract(p["piece"], rf"(?i)\A{_MEASURE_BODY}", n)
+
+        start = F.greatest(p["at"] - V.PROVISION_CONTEXT, F.lit(0))
+        stop = F.least(p["at"] + F.length(part(0)) + V.PROVISION_CONTEXT, F.length("_flat"))
+        return F.struct(
+            p["at"].alias("at"),
+            part(1).cast("double").alias("value"),
+            F.translate(F.lower(part(2)), ". ", "").alias("unit"),
+            F.substring(F.col("_flat"), start + 1, stop - start).alias("context"),
+        )
+
+    # Contexts are cut before the explode, so the text is not copied per measure.
+    measured = X.unnest(
+        split.withColumn("_m", F.transform(found, measure)).drop("_pieces", "_flat", "text"), "_m", "m"
     )
-    start = F.greatest(F.col("m.at") - V.PROVISION_CONTEXT, F.lit(0))
-    stop = F.least(F.col("m.at") + F.length("m.whole") + V.PROVISION_CONTEXT, F.length("_flat"))
     risky = F.coalesce(F.col("table_risk").isin(V.RISKY_LEVELS), F.lit(False))
-    measured = F.when(F.col("_flat").rlike(MEASURE), found)
-    return X.unnest(flat.withColumn("_m", measured), "_m", "m").select(
+    return measured.select(
         *keys,
-        F.col("m.at").alias("at"),
-        F.col("m.number").cast("double").alias("value"),
-        F.translate(F.lower("m.unit"), ". ", "").alias("unit"),
-        F.substring("_flat", start + 1, stop - start).alias("context"),
+        "m.at",
+        "m.value",
+        "m.unit",
+        "m.context",
         F.col("text_was_repaired").alias("from_repaired_text"),
         risky.alias("from_risky_table"),
         (~(F.col("text_was_repaired") | risky)).alias("is_reliable"),

@@ -16,6 +16,7 @@ from lacuna.operators import geography as G
 from lacuna.operators import pages as P
 from lacuna.operators import reports as O
 from lacuna.operators import search as S
+from lacuna.session import materialise
 from lacuna.sources.tables import read_table
 from lacuna.workload import geography as geo
 from lacuna.workload import statements as ST
@@ -36,7 +37,8 @@ def _sides(spark, sf_dir):
     risk = F.when(F.col("page_number") % 4 == 0, "severe")
     evidence = graded.select(_finding_id().alias("finding_id"), "page_number", "text",
                              (F.col("page_number") % 3 == 0).alias("text_was_repaired"), risk.alias("table_risk"))
-    provisions = S.numeric_provisions(evidence, ["finding_id", "page_number"])
+    # Compact next to the pages and read by three rules.
+    provisions = materialise(S.numeric_provisions(evidence, ["finding_id", "page_number"]))
     raw = pages(spark, sf_dir)
     kinds = F.array_compact(F.array(
         F.when(F.col("page_number") % 2 == 0, F.struct(F.lit("stream").alias("category"), F.lit("unnamed stream").alias("label"), (F.col("n_chars") / 7.0).alias("distance_m"))),

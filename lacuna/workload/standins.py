@@ -44,7 +44,8 @@ def sql_text(value: str) -> str:
 # --- documents: a source is a document, its texts in id order are the pages --------
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", spread=True).select(
+    # Numbering deals the texts out by source and bucket, so no other spreading is needed.
+    docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("document_id"), F.col("text").alias("raw_text"), "n_chars"
     )
     return number_rows(docs, "document_id", "doc_id", "page_number")
