@@ -40,30 +40,35 @@ def document_id() -> Column:
     return F.concat(F.lit("doc_"), F.left("sha256", F.lit(10)))
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import io
-
-    from pypdf import PdfReader  # optional dependency, needed on the executors
-
-    for batch in batches:
-        for row in batch.itertuples():
-            try:
-                pages = PdfReader(io.BytesIO(row.content)).pages
-            except Exception:  # a malformed file becomes one unreadable page
-                yield pd.DataFrame({"document_id": [row.document_id], "page_number": [1], "raw_text": [""]})
-                continue
-            for number, page in enumerate(pages, 1):
+def _extractor():
+    """The page reader, defined inside so that it travels to executors by value."""
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        from pypdf import PdfReader  # optional dependency, needed on the executors
+
+        for batch in batches:
+            for row in batch.itertuples():
                 try:
-                    text = page.extract_text() or ""
-                except Exception:  # a page that fails becomes empty text
-                    text = ""
-                yield pd.DataFrame({"document_id": [row.document_id], "page_number": [number], "raw_text": [text]})
+                    pages = PdfReader(io.BytesIO(row.content)).pages
+                except Exception:  # a malformed file becomes one unreadable page
+                    yield pd.DataFrame({"document_id": [row.document_id], "page_number": [1], "raw_text": [""]})
+                    continue
+                for number, page in enumerate(pages, 1):
+                    try:
+                        text = page.extract_text() or ""
+                    except Exception:  # a page that fails becomes empty text
+                        text = ""
+                    yield pd.DataFrame({"document_id": [row.document_id], "page_number": [number], "raw_text": [text]})
+
+    return extract
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:
     """One row per page, page by page, so a large file is never held as text."""
     keyed = files.select(document_id().alias("document_id"), "content")
-    return keyed.mapInPandas(_extract, "document_id string, page_number long, raw_text string")
+    return keyed.mapInPandas(_extractor(), "document_id string, page_number long, raw_text string")
 
 
 class DocumentTable:
