@@ -167,6 +167,37 @@ _HARD = r"""WITH RECURSIVE cuts AS (
   FROM cuts c JOIN documents d USING (doc_id) WHERE c.piece_no > 0)
 SELECT doc_id, piece_no::BIGINT AS piece_no, substr(text, (upto - n + 1)::BIGINT, n) AS piece FROM taken"""
 
+_SPLIT = r"""WITH RECURSIVE cleaned AS (
+  SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents
+), parts AS (
+  SELECT doc_id, string_split(regexp_replace(t, '([.;:])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM cleaned WHERE length(t) > 1400
+), packed AS (
+  SELECT doc_id, list_reduce(list_transform(p, lambda x: {'done': []::VARCHAR[], 'buf': x}), lambda a, b:
+    CASE WHEN length(a.buf) + 1 + length(b.buf) > 1400 THEN {'done': list_append(a.done, a.buf), 'buf': b.buf}
+    ELSE {'done': a.done, 'buf': a.buf || ' ' || b.buf} END) AS r FROM parts
+), flat AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS piece FROM (SELECT doc_id, list_append(r.done, r.buf) AS l FROM packed)
+  UNION ALL SELECT doc_id, 1, t FROM cleaned WHERE length(t) <= 1400
+), laid AS (
+  SELECT *, coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM flat
+), cuts AS (
+  SELECT doc_id, p, off, 0 AS k, piece AS rest, ''::VARCHAR AS taken, 0::BIGINT AS upto FROM laid WHERE length(piece) > 1400
+  UNION ALL
+  SELECT doc_id, p, off, k + 1, substr(rest, w + 1), left(rest, w), upto + w FROM (
+    SELECT *, CASE WHEN length(rest) <= 1400 THEN length(rest)
+      WHEN strpos(reverse(substr(rest, 701, 700)), ' ') > 0 THEN 1400 - strpos(reverse(substr(rest, 701, 700)), ' ')
+      ELSE 1400 END AS w FROM cuts WHERE length(rest) > 0)
+), pieces AS (
+  SELECT doc_id, p, 0 AS k, piece AS t, off AS at_char FROM laid WHERE length(piece) <= 1400
+  UNION ALL
+  SELECT doc_id, p, k, regexp_replace(taken, '^\s+|\s+$', '', 'g'), off + upto - length(taken) FROM cuts WHERE k > 0
+), grouped AS (
+  SELECT *, sum(CASE WHEN first OR length(t) >= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p, k) AS g FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) = 1 AS first FROM pieces WHERE t <> '' OR k = 0)
+)
+SELECT doc_id, (g - 1)::BIGINT AS piece_no, arg_min(at_char, p * 100000 + k)::BIGINT AS start_at,
+  length(trim(string_agg(t, ' ' ORDER BY p, k))) AS n_chars FROM grouped GROUP BY doc_id, g"""
+
 _OVERLAP = rf"""WITH {SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, lens AS (
   SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
   FROM ln
@@ -196,7 +227,7 @@ QUERIES = {
     "signup_asof": (signup_asof, _SIGNUP),
     "packed_sentences": (packed_sentences, _PACKED),
     "hard_cuts": (hard_cuts, _HARD),
-    "split_passages": (split_passages, None),
+    "split_passages": (split_passages, _SPLIT),
     "chunks": (chunks, None),
     "chunk_labels": (chunk_labels, None),
     "region_overlap": (region_overlap, _OVERLAP),
