@@ -167,9 +167,8 @@ _HARD = r"""WITH RECURSIVE cuts AS (
   FROM cuts c JOIN documents d USING (doc_id) WHERE c.piece_no > 0)
 SELECT doc_id, piece_no::BIGINT AS piece_no, substr(text, (upto - n + 1)::BIGINT, n) AS piece FROM taken"""
 
-_SPLIT = r"""WITH RECURSIVE cleaned AS (
-  SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents
-), parts AS (
+# Needs cleaned(doc_id, t); gives merged(doc_id, piece_no, start_at, t).
+_PIECES = r"""parts AS (
   SELECT doc_id, string_split(regexp_replace(t, '([.;:])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM cleaned WHERE length(t) > 1400
 ), packed AS (
   SELECT doc_id, list_reduce(list_transform(p, lambda x: {'done': []::VARCHAR[], 'buf': x}), lambda a, b:
@@ -194,9 +193,12 @@ _SPLIT = r"""WITH RECURSIVE cleaned AS (
 ), grouped AS (
   SELECT *, sum(CASE WHEN first OR length(t) >= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p, k) AS g FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) = 1 AS first FROM pieces WHERE t <> '' OR k = 0)
-)
-SELECT doc_id, (g - 1)::BIGINT AS piece_no, arg_min(at_char, p * 100000 + k)::BIGINT AS start_at,
-  length(trim(string_agg(t, ' ' ORDER BY p, k))) AS n_chars FROM grouped GROUP BY doc_id, g"""
+), merged AS (
+  SELECT doc_id, (g - 1)::BIGINT AS piece_no, arg_min(at_char, p * 100000 + k)::BIGINT AS start_at,
+    trim(string_agg(t, ' ' ORDER BY p, k)) AS t FROM grouped GROUP BY doc_id, g)"""
+_SPLIT = rf"""WITH RECURSIVE cleaned AS (
+  SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents
+), {_PIECES} SELECT doc_id, piece_no, start_at, length(t) AS n_chars FROM merged"""
 
 _OVERLAP = rf"""WITH {SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, lens AS (
   SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
@@ -210,6 +212,30 @@ _OVERLAP = rf"""WITH {SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, lens AS (
     ON s.doc_id = g.doc_id AND g.b < s.ce AND g.b + length(g.segment) > s.cs GROUP BY ALL)
 SELECT document_id, page_number, segs.b AS start_at, caption FROM segs LEFT JOIN hit ON hit.doc_id = segs.doc_id AND hit.b = segs.b"""
 
+_CHUNK_ROWS = rf"""WITH RECURSIVE {SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, offsets AS (
+  SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM ln
+), spans AS (
+  SELECT r.doc_id, r.region_index, r.risk, a.o AS cs, coalesce(z.o, length(s.text)) AS ce
+  FROM risks r JOIN structured s USING (doc_id) JOIN offsets a ON a.doc_id = r.doc_id AND a.line_no = start_line
+    LEFT JOIN offsets z ON z.doc_id = r.doc_id AND z.line_no = end_line + 1
+), page AS (SELECT *, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 120 AS blind FROM structured
+), cleaned AS (SELECT segs.doc_id || '_' || b AS doc_id, segment AS t FROM segs JOIN page USING (doc_id) WHERE NOT blind
+), {_PIECES}, placed AS (
+  SELECT g.doc_id, g.document_id, g.page_number, num, nullif({_MARK}, '') AS marker, b + m.start_at AS s, m.t, length(p.text) AS n
+  FROM segs g JOIN merged m ON m.doc_id = g.doc_id || '_' || b JOIN page p ON p.doc_id = g.doc_id
+    LEFT JOIN heads h ON h.doc_id = g.doc_id AND h.start_at = head_at
+), hit AS (
+  SELECT c.doc_id, c.s, arg_min(x.risk, x.region_index) AS risk FROM placed c JOIN spans x
+    ON x.doc_id = c.doc_id AND c.s < x.ce AND c.s + length(c.t) > x.cs GROUP BY ALL)
+SELECT document_id || ':p' || page_number || ':' || c.s AS chunk_id, document_id, page_number, c.s AS char_start, least(c.s + length(t), n) AS char_end, t AS text,
+  concat_ws(' ', chr(167) || num, '(' || marker || ')', 'p. ' || page_number) AS label, risk AS table_risk,
+  risk IS NULL OR risk IN ('none', 'low') AS safe_to_quote, CASE WHEN risk IN ('severe', 'ambiguous_columns') THEN 1 ELSE 0 END::BIGINT AS n_caveats
+FROM placed c LEFT JOIN hit ON hit.doc_id = c.doc_id AND hit.s = c.s
+UNION ALL
+SELECT document_id || ':p' || page_number || ':unreadable', document_id, page_number, 0, greatest(length(text), 1),
+  '[Page ' || page_number || ' contains no machine-readable text. It is a scan or drawing and has been rendered as an image.]',
+  'p. ' || page_number, NULL, true, 1 FROM page WHERE blind"""
+
 _SIGNUP = """SELECT p.event_id, p.user_id, s.event_id AS latest_signup
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON p.user_id = s.user_id AND p.ts >= s.ts"""
@@ -228,7 +254,7 @@ QUERIES = {
     "packed_sentences": (packed_sentences, _PACKED),
     "hard_cuts": (hard_cuts, _HARD),
     "split_passages": (split_passages, _SPLIT),
-    "chunks": (chunks, None),
+    "chunks": (chunks, _CHUNK_ROWS),
     "chunk_labels": (chunk_labels, None),
     "region_overlap": (region_overlap, _OVERLAP),
     "line_offsets": (line_offsets, _LINES),
