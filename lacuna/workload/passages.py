@@ -212,7 +212,7 @@ _OVERLAP = rf"""WITH {SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, lens AS (
     ON s.doc_id = g.doc_id AND g.b < s.ce AND g.b + length(g.segment) > s.cs GROUP BY ALL)
 SELECT document_id, page_number, segs.b AS start_at, caption FROM segs LEFT JOIN hit ON hit.doc_id = segs.doc_id AND hit.b = segs.b"""
 
-_CHUNK_ROWS = rf"""WITH RECURSIVE {SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, offsets AS (
+CHUNK_ROWS = rf"""{SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, offsets AS (
   SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM ln
 ), spans AS (
   SELECT r.doc_id, r.region_index, r.risk, a.o AS cs, coalesce(z.o, length(s.text)) AS ce
@@ -226,7 +226,8 @@ _CHUNK_ROWS = rf"""WITH RECURSIVE {SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, o
     LEFT JOIN heads h ON h.doc_id = g.doc_id AND h.start_at = head_at
 ), hit AS (
   SELECT c.doc_id, c.s, arg_min(x.risk, x.region_index) AS risk FROM placed c JOIN spans x
-    ON x.doc_id = c.doc_id AND c.s < x.ce AND c.s + length(c.t) > x.cs GROUP BY ALL)
+    ON x.doc_id = c.doc_id AND c.s < x.ce AND c.s + length(c.t) > x.cs GROUP BY ALL
+), chunk_rows AS (
 SELECT document_id || ':p' || page_number || ':' || c.s AS chunk_id, document_id, page_number, c.s AS char_start, least(c.s + length(t), n) AS char_end, t AS text,
   concat_ws(' ', chr(167) || num, '(' || marker || ')', 'p. ' || page_number) AS label, risk AS table_risk,
   risk IS NULL OR risk IN ('none', 'low') AS safe_to_quote, CASE WHEN risk IN ('severe', 'ambiguous_columns') THEN 1 ELSE 0 END::BIGINT AS n_caveats
@@ -234,7 +235,7 @@ FROM placed c LEFT JOIN hit ON hit.doc_id = c.doc_id AND hit.s = c.s
 UNION ALL
 SELECT document_id || ':p' || page_number || ':unreadable', document_id, page_number, 0, greatest(length(text), 1),
   '[Page ' || page_number || ' contains no machine-readable text. It is a scan or drawing and has been rendered as an image.]',
-  'p. ' || page_number, NULL, true, 1 FROM page WHERE blind"""
+  'p. ' || page_number, NULL, true, 1 FROM page WHERE blind)"""
 
 _SIGNUP = """SELECT p.event_id, p.user_id, s.event_id AS latest_signup
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p
@@ -254,7 +255,7 @@ QUERIES = {
     "packed_sentences": (packed_sentences, _PACKED),
     "hard_cuts": (hard_cuts, _HARD),
     "split_passages": (split_passages, _SPLIT),
-    "chunks": (chunks, _CHUNK_ROWS),
+    "chunks": (chunks, f"WITH RECURSIVE {CHUNK_ROWS} SELECT * FROM chunk_rows"),
     "chunk_labels": (chunk_labels, None),
     "region_overlap": (region_overlap, _OVERLAP),
     "line_offsets": (line_offsets, _LINES),

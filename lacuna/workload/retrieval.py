@@ -11,6 +11,7 @@ from lacuna.operators import search as S
 from lacuna.plans import ask
 from lacuna.session import materialise
 from lacuna.sources.tables import read_table
+from lacuna.workload.passages import CHUNK_ROWS
 from lacuna.workload.standins import (
     CHUNKS, QUESTIONS, STRUCTURED, damaged_pages, finish, page_chunks, questions, structured_pages, terms_sql,
 )
@@ -298,6 +299,11 @@ SELECT document_id, page_number, s AS start_at, regexp_extract(whole, '[0-9]+(?:
     WHEN rep THEN 'Read from text that was mis-encoded and repaired. The digits were reconstructed; confirm against the source page.' END AS caveat
 FROM found"""
 
+_PASSAGES = f"""{CHUNK_ROWS}, chunks AS (
+  SELECT document_id, page_number, char_start AS chunk_ordinal, text,
+    CASE WHEN chunk_id LIKE '%:unreadable' THEN 'unreadable' ELSE 'clean' END AS page_quality FROM chunk_rows)"""
+_PASSAGE_HITS = "WITH RECURSIVE " + _FLOOR.replace(CHUNKS, _PASSAGES, 1)
+
 QUERIES = {
     "tokens": (tokens, f"WITH {_DOC_TERMS} SELECT doc_id, count(*) AS n_terms, sum(length(term))::BIGINT AS n_letters, min(term) AS least, max(term) AS greatest FROM dt GROUP BY 1"),
     "stems": (stems, _STEMS),
@@ -317,6 +323,6 @@ QUERIES = {
     "coverage_note": (coverage_note, _NOTE),
     "image_pages": (image_pages, _IMAGES),
     "numeric_provisions": (numeric_provisions, _PROVISIONS),
-    "passage_hits": (passage_hits, None),
+    "passage_hits": (passage_hits, f"{_PASSAGE_HITS} SELECT query_id, document_id, page_number, chunk_ordinal, round(score, 4) AS score, rank FROM kept"),
     "passage_evidence": (passage_evidence, None),
 }
