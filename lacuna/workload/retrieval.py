@@ -304,6 +304,13 @@ _PASSAGES = f"""{CHUNK_ROWS}, chunks AS (
     CASE WHEN chunk_id LIKE '%:unreadable' THEN 'unreadable' ELSE 'clean' END AS page_quality FROM chunk_rows)"""
 _PASSAGE_HITS = "WITH RECURSIVE " + _FLOOR.replace(CHUNKS, _PASSAGES, 1)
 
+_EVIDENCE = rf"""{_PASSAGE_HITS}, m AS (
+  SELECT k.query_id, k.rank, list_sort(list_distinct(list(a.term))) AS d FROM kept k JOIN posted p USING (document_id, page_number, chunk_ordinal)
+    JOIN asked a ON a.query_id = k.query_id AND a.term = p.term GROUP BY ALL)
+SELECT k.query_id, k.rank, c.chunk_id, k.page_number, c.char_start, c.char_end, trim(regexp_replace(c.text, '\s+', ' ', 'g')) AS quote, c.label AS citation_label,
+  c.safe_to_quote AS is_safe_verbatim, c.table_risk, c.caveats, 'Matched on: ' || array_to_string(d[1:8], ', ') AS why_matched, round(k.score, 4) AS score
+FROM kept k JOIN m USING (query_id, rank) JOIN chunk_rows c ON c.document_id = k.document_id AND c.page_number = k.page_number AND c.char_start = k.chunk_ordinal"""
+
 QUERIES = {
     "tokens": (tokens, f"WITH {_DOC_TERMS} SELECT doc_id, count(*) AS n_terms, sum(length(term))::BIGINT AS n_letters, min(term) AS least, max(term) AS greatest FROM dt GROUP BY 1"),
     "stems": (stems, _STEMS),
@@ -324,5 +331,5 @@ QUERIES = {
     "image_pages": (image_pages, _IMAGES),
     "numeric_provisions": (numeric_provisions, _PROVISIONS),
     "passage_hits": (passage_hits, f"{_PASSAGE_HITS} SELECT query_id, document_id, page_number, chunk_ordinal, round(score, 4) AS score, rank FROM kept"),
-    "passage_evidence": (passage_evidence, None),
+    "passage_evidence": (passage_evidence, _EVIDENCE),
 }
