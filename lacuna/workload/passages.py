@@ -8,7 +8,7 @@ from lacuna.operators import pages as P
 from lacuna.operators import tables as T
 from lacuna.operators.ranges import latest_before
 from lacuna.sources.tables import read_table
-from lacuna.workload.standins import STRUCTURED, damaged_pages, finish, pages, structured_pages
+from lacuna.workload.standins import GRADED, STRUCTURED, damaged_pages, finish, pages, structured_pages
 from lacuna.workload.structure import _EXPLAIN, REGIONS
 
 
@@ -249,6 +249,13 @@ m AS (SELECT doc_id, line_no, length(line) + CASE WHEN line_no < n - 1 THEN 1 EL
 SELECT doc_id, line_no, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
 FROM m WHERE n_chars > 0"""
 
+# The plain texts hold no headings, clauses or captions, so a page is one segment.
+_LABELS = rf"""WITH RECURSIVE {GRADED}, cleaned AS (
+  SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM graded WHERE quality <> 'unreadable'
+), {_PIECES}
+SELECT document_id, page_number, 'p. ' || page_number AS label, quality = 'unreadable' OR substitutions = 0 AS safe,
+  CASE WHEN quality = 'unreadable' THEN 1 ELSE (SELECT count(*) FROM merged m WHERE m.doc_id = graded.doc_id) END AS n FROM graded"""
+
 QUERIES = {
     "clause_boundaries": (clause_boundaries, f"WITH {BOUNDARIES} SELECT doc_id, kind, start_at FROM starts"),
     "segments": (segments, f"WITH {SEGMENTS} SELECT document_id, page_number, b AS start_at, segment, nullif({_MARK}, '') AS clause_marker FROM segs"),
@@ -258,7 +265,7 @@ QUERIES = {
     "hard_cuts": (hard_cuts, _HARD),
     "split_passages": (split_passages, _SPLIT),
     "chunks": (chunks, f"WITH RECURSIVE {CHUNK_ROWS} SELECT * EXCLUDE (caveats) FROM chunk_rows"),
-    "chunk_labels": (chunk_labels, None),
+    "chunk_labels": (chunk_labels, _LABELS),
     "region_overlap": (region_overlap, _OVERLAP),
     "line_offsets": (line_offsets, _LINES),
 }
