@@ -22,7 +22,7 @@ from lacuna.workload import geography as geo
 from lacuna.workload import statements as ST
 from lacuna.workload.passages import SEGMENTS
 from lacuna.workload.retrieval import _PROVISIONS
-from lacuna.workload.standins import PAGES, finish, pages, structured_pages
+from lacuna.workload.standins import finish, pages, structured_pages
 
 
 def _finding_id():

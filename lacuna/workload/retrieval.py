@@ -13,7 +13,7 @@ from lacuna.session import materialise
 from lacuna.sources.tables import read_table
 from lacuna.workload.passages import CHUNK_ROWS
 from lacuna.workload.standins import (
-    CHUNKS, QUESTIONS, STRUCTURED, damaged_pages, finish, page_chunks, questions, structured_pages, terms_sql,
+    CHUNKS, QUESTIONS, STRUCTURED, finish, page_chunks, questions, structured_pages, terms_sql,
 )
 
 
