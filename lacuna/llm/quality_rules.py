@@ -31,7 +31,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "100 * n_symbols > 10 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "n_lines >= 10 AND 100 * n_dup_lines > 30 * n_lines",
     "capitals": "n_upper > n_lower",
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
 }
