@@ -1,12 +1,14 @@
 """Words of a text as Spark's own expressions give them, for operators without Python."""
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import whole_text
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are put in lower case.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lowered(column: str = "text") -> Column:
@@ -17,3 +19,13 @@ def lowered(column: str = "text") -> Column:
     """
     text = whole_text(column)
     return F.when(text.rlike("[\u212a\u0130]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+
+
+def words(column: str = "text") -> Column:
+    """All words of the whole text, as written."""
+    return F.regexp_extract_all(whole_text(column), F.lit(ANY_CASE), F.lit(0))
+
+
+def lowered_word(word: Column) -> Column:
+    """A-Z of one word in lower case, every other character as it is."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, UPPER.lower()))

@@ -1,8 +1,8 @@
 """Registered queries of this folder, with their SQL where SQL can say the same."""
 
-from lacuna.llm import licenses, quality_rules, secrets, sharding, token_counts
+from lacuna.llm import decontamination, licenses, quality_rules, secrets, sharding, token_counts
 
-MODULES = [quality_rules, sharding, secrets, licenses, token_counts]
+MODULES = [quality_rules, sharding, secrets, licenses, decontamination, token_counts]
 
 
 def all_queries() -> dict:
