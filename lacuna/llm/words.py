@@ -42,20 +42,22 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _hash_slice(raw: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word in a slice that cuts no word."""
+def _hash_slice(raw: np.ndarray, word: np.ndarray, prefix: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word, or of its first bytes, in a slice that cuts no word."""
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if prefix:
+        end = np.minimum(end, start + prefix)
     power, inverse = _power(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
     return start, mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: Iterable[str | None], word_bytes: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: Iterable[str | None], word_bytes: np.ndarray, lower: bool, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and where each text's begin.
 
-    The second array has one entry more than there are texts.
+    With `prefix`, of the first so many bytes of each word.  The second array has one entry more than there are texts.
     """
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     begin = np.cumsum([0, *(len(c) + 1 for c in coded)])
@@ -73,7 +75,7 @@ def word_hashes(texts: Iterable[str | None], word_bytes: np.ndarray, lower: bool
             else:  # one word longer than a slice
                 gaps = np.flatnonzero(~word[to:])
                 to = to + int(gaps[0]) + 1 if len(gaps) else len(raw)
-        s, h = _hash_slice(raw[at:to], word[at:to])
+        s, h = _hash_slice(raw[at:to], word[at:to], prefix)
         starts.append(s + at)
         hashes.append(h)
         at = to
