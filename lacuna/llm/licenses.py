@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lacuna.llm.common import read, whole_text
+from lacuna.llm.common import read, stored, whole_text
 from lacuna.llm.native_words import WORD, lowered
 
 # Phrases that are reported wherever their words stand, and their labels.
@@ -103,7 +103,7 @@ def merged(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """A result for each document: words, places of the phrases, labels and the best share."""
-    found = votes(docs)
+    found = stored(votes(docs), "license-votes")  # read twice, and small beside the texts
     label = F.element_at(F.create_map(*(F.lit(x) for n, (_, name, _) in enumerate(_ALL) for x in (n, name))), F.col("template"))
     base = F.col("template") < len(PHRASES)
     whole = F.size("covered") == F.col("pairs")
