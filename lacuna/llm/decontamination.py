@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import read, stored, whole_text
-from lacuna.llm.native_words import lowered_word, words
+from lacuna.llm.native_words import words
 
 WINDOW = 10
 #: Share of the words around an anchor in the item that a proximity match has around the posting.
@@ -33,15 +33,14 @@ NEAR = 0.8
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """item_id, item (a key) and its words."""
-    split = benchmark.select(F.col("item_id").cast("string"), F.transform(words(), lowered_word).alias("words"))
+    split = benchmark.select(F.col("item_id").cast("string"), words().alias("words"))
     return stored(split.where(F.size("words") > 0).distinct().withColumn("item", F.xxhash64("item_id", "words")), "benchmark-items")
 
 
 def _each_word(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, pos, word of all words, and an empty word behind the last; `words` goes along."""
-    split = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), words().alias("words"))
-    each = split.select("doc_id", "text_key", "words", F.posexplode(F.concat("words", F.array(F.lit("")))))
-    return each.withColumnsRenamed({"col": "word"}).withColumn("term", lowered_word(F.col("word")))
+    """doc_id, text_key, pos, term of all words, and an empty term behind the last; `words` goes along."""
+    split = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), F.array_append(words(), "").alias("words"))
+    return split.select("doc_id", "text_key", "words", F.posexplode("words")).withColumnsRenamed({"col": "term"})
 
 
 def frequencies(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -90,17 +89,15 @@ def index(docs: DataFrame, terms: DataFrame | None = None, width: int = WINDOW)
     pos, the number of words.
     """
     each = _each_word(docs)
+    end = F.col("term") == ""
     if terms is None:
-        asked = each.withColumn("known", F.col("word") != "")
+        kept = each
     else:
-        asked = each.join(terms.select("term", F.lit(True).alias("known")), "term", "left")
-    kept = asked.where(F.col("known") | (F.col("word") == ""))
-    lower = lambda w: F.transform(w, lowered_word)
+        known = F.coalesce("known", F.lit(False))
+        kept = each.join(terms.select("term", F.lit(True).alias("known")), "term", "left").where(known | end)
     before, after = _around(F.col("words"), F.col("pos"), width)
-    ends = F.col("word") == ""
     return stored(kept.select(
-        F.when(~ends, F.col("term")).alias("term"), "doc_id", "text_key", "pos",
-        F.when(~ends, lower(before)).alias("before"), F.when(~ends, lower(after)).alias("after"),
+        F.when(~end, F.col("term")).alias("term"), "doc_id", "text_key", "pos", F.when(~end, before).alias("before"), F.when(~end, after).alias("after"),
     ), "postings")
 
 
@@ -134,12 +131,17 @@ def proximity(lists: DataFrame, share: float = NEAR) -> DataFrame:
     return lists.withColumn("share", common).where(F.col("share") >= share).select("doc_id", "text_key", "item", "pos", "share")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """A row per document: n_words, n_hit, and `items`, the ids of items with windows in it."""
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """All exact matches (see `phrases`), and the postings they were found by."""
     items = benchmark_items(benchmark)
     places, pairs = anchors(items, frequencies(docs, items), width)
     postings = index(docs, stored(places.select("term").distinct(), "anchor-terms"), width)
-    found = phrases(offset_lists(postings, places), pairs)
+    return phrases(offset_lists(postings, places), pairs), postings
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """A row per document: n_words, n_hit, and `items`, the ids of items with windows in it."""
+    found, postings = matches(docs, benchmark, width)
     hits = found.select("doc_id", "text_key", F.lit(None).cast("int").alias("n_words"), "item_id", F.explode(F.sequence("low", "high")).alias("hit")).distinct()
     ends = postings.where("term IS NULL").select(
         "doc_id", "text_key", F.col("pos").alias("n_words"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("int").alias("hit"))
@@ -149,6 +151,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     return one.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies", "col")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The documents without any exact match; columns as they came."""
+    found = stored(matches(docs, benchmark, width)[0].select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct(), "contaminated")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"))
+    clean = rows.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left_anti")
+    return clean.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(

@@ -6,26 +6,11 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import whole_text
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are put in lower case.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def lowered(column: str = "text") -> Column:
-    """A-Z in lower case and every other character as it is.
-
-    The quick `lower` differs in words with other capitals, and makes an ASCII word
-    of one only from the two characters tested here.
-    """
-    text = whole_text(column)
-    return F.when(text.rlike("[\u212a\u0130]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+#: What stands between words once A-Z are in lower case.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(column: str = "text") -> Column:
-    """All words of the whole text, as written."""
-    return F.regexp_extract_all(whole_text(column), F.lit(ANY_CASE), F.lit(0))
-
-
-def lowered_word(word: Column) -> Column:
-    """A-Z of one word in lower case, every other character as it is."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, UPPER.lower()))
+    """All words of the whole text, A-Z in lower case and every other character as it is."""
+    lowered = F.translate(whole_text(column), UPPER, UPPER.lower())
+    return F.array_remove(F.split(lowered, BETWEEN), "")
