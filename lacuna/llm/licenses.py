@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lacuna.llm.common import read, stored, whole_text
-from lacuna.llm.native_words import WORD, lowered
+from lacuna.llm.native_words import words
 
 # Phrases that are reported wherever their words stand, and their labels.
 PHRASES = {
@@ -66,9 +66,8 @@ def votes(docs: DataFrame) -> DataFrame:
     The latter carries n_words and how many identical rows there are; with it, one
     pass over the texts is enough.  Pairs that match nothing go before any shuffle.
     """
-    words = docs.select(
-        "doc_id", F.xxhash64(whole_text()).alias("text_key"), F.regexp_extract_all(lowered(), F.lit(WORD), F.lit(0)).alias("words"))
-    each = words.select("doc_id", "text_key", "words", F.posexplode(F.concat("words", F.array(F.lit(""))))).withColumnsRenamed({"pos": "i", "col": "w"})
+    split = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), F.array_append(words(), "").alias("words"))
+    each = split.select("doc_id", "text_key", "words", F.posexplode("words")).withColumnsRenamed({"pos": "i", "col": "w"})
     following = F.get("words", F.col("i") + 1)
     paired = each.select("doc_id", "text_key", "i", "w", following.alias("w2"), F.xxhash64("w", following).alias("pair"))
     t = F.broadcast(template_pairs(docs.sparkSession))  # a fixed list
