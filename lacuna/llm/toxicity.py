@@ -155,6 +155,13 @@ def scored(docs: DataFrame, model: Linear) -> DataFrame:
     return docs.withColumn("score", F.pandas_udf(score, "double")(F.col("text")))
 
 
+def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted to be toxic; columns as they came."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    kept = scored(rows, learn(docs, labels)).where("score < 0.5")
+    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rows = scored(docs.select("doc_id", "text"), learn(docs, read(spark, sf_dir, "labels")))
