@@ -79,5 +79,5 @@ def synthesis_statements(replies: DataFrame, claims: DataFrame) -> DataFrame:
         derived_from=F.transform("c", lambda c: c["id"]),
         transformation="Summarised by a language model from the quoted passages only.",
         confidence="medium",
-        confidence_basis="Generated from retrieved passages; wording is the model's own.",
+        confidence_reason="Generated from retrieved passages; wording is the model's own.",
     )

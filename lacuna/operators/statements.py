@@ -40,7 +40,7 @@ SCHEMA = {
     "derived_from": "array<string>",
     "transformation": "string",
     "confidence": "string",
-    "confidence_basis": "string",
+    "confidence_reason": "string",
     "falsified_by": "string",
     "why_needed": "string",
     "demoted_from": "string",
@@ -90,7 +90,7 @@ def invariants() -> list[tuple[str, Column]]:
             (type_ != "inference") | (F.size(F.coalesce(F.col("derived_from"), F.array())) > 0),
         ),
         ("inference names its transformation", (type_ != "inference") | _filled("transformation")),
-        ("inference gives a confidence basis", (type_ != "inference") | _filled("confidence_basis")),
+        ("inference says why it is so sure", (type_ != "inference") | _filled("confidence_reason")),
         ("assumption can be falsified", (type_ != "assumption") | _filled("falsified_by")),
         ("recommendation responds to something", (type_ != "recommendation") | _filled("responds_to")),
         (
@@ -210,7 +210,7 @@ def apply_demotions(statements: DataFrame) -> DataFrame:
             ),
         ),
         "confidence": F.when(from_fact, "low"),
-        "confidence_basis": F.when(from_fact, reason),
+        "confidence_reason": F.when(from_fact, reason),
         "falsified_by": F.when(from_inference, reason),
         "why_needed": F.when(
             from_inference, "Retained after demotion so the original claim remains auditable."

@@ -31,6 +31,7 @@ def analyse(
     site_statements: DataFrame,
     nearest: DataFrame,
     document_title: str,
+    water_rule: dict,
     k: int = V.AGENT_TOP_K,
 ) -> Findings:
     """Answer questions and set them against what was measured at each place.
@@ -54,8 +55,8 @@ def analyse(
             assembly.unreliable_number_statements(provisions),
         ]
     )
-    met = conflicts.all_conflicts(claims, provisions, nearest, evidence.select("*", keyed), spots)
-    stated = assembly.union_all([site_statements, on_document, conflicts.conflict_statements(claims, met)])
+    met = conflicts.all_conflicts(claims, provisions, nearest, evidence.select("*", keyed), spots, water_rule)
+    stated = assembly.union_all([site_statements, on_document, conflicts.conflict_statements(claims, met, water_rule)])
     valid, quarantined = split_valid(stated)
     risky = evidence.groupBy(keyed).agg(F.bool_or(F.coalesce(F.col("table_risk").isin(V.RISKY_LEVELS), F.lit(False))).alias("r"))
     blind = spots.select("finding_id").distinct().withColumn("b", F.lit(True))

@@ -176,6 +176,9 @@ PANELS = [
     ("climate", "Climate observations", ["precipitation", "rainfall"]),
     ("terrain", "Terrain", ["elevation", "relief"]),
 ]
+# How much a sentence quotes of a region's introduction, and how many claims a conflict names.
+SHOWN_CHARS = 170
+RELATED_IDS = 3
 PAGE_IMAGE_LIMIT = 25
 STALE_AFTER_DAYS = 30
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024

@@ -53,7 +53,7 @@ def _sides(spark, sf_dir):
 
 
 def _conflicts(spark, sf_dir):
-    return K.all_conflicts(*_sides(spark, sf_dir))
+    return K.all_conflicts(*_sides(spark, sf_dir), WATER_RULE)
 
 
 def conflict_rules(spark, sf_dir):
@@ -71,10 +71,19 @@ def conflicts_sorted(spark, sf_dir):
 
 def conflict_statements(spark, sf_dir):
     claims, provisions, nearest, evidence, spots = _sides(spark, sf_dir)
-    made = K.conflict_statements(claims, K.all_conflicts(claims, provisions, nearest, evidence, spots))
+    made = K.conflict_statements(claims, K.all_conflicts(claims, provisions, nearest, evidence, spots, WATER_RULE), WATER_RULE)
     return finish(made.select("finding_id", "ordinal", "type", F.array_join("derived_from", ",").alias("derived_from"), "priority", "confidence"))
 
 
+#: A neutral rule about water, as a jurisdiction would word its own.
+WATER_RULE = {
+    "title": "How far water is says nothing yet about the strip along it",
+    "regulation": "Building is restricted along water",
+    "why": "Within the strip hardly anything may be built.",
+    "blocking": ["The map does not say how wide the strip is here.", "The strip starts at a bank that only a survey shows."],
+    "resolvers": ["The official map of strips along water.", "A survey of the bank.", "The outline of the plot."],
+    "who": "the office that keeps the map",
+}
 _SIDES = rf"""{SEGMENTS}, claims AS (
   SELECT document_id || ':' || page_number AS finding_id, b AS ordinal, 'c_' || doc_id || '_' || b AS id, segment AS text FROM segs
 ), watery AS (
@@ -91,25 +100,25 @@ _SIDES = rf"""{SEGMENTS}, claims AS (
     CASE WHEN page_number % 3 = 0 THEN 'nearest mapped water body (Lake ' || page_number || ') at ' || round_even(n_chars / 3.0::DOUBLE, 0)::BIGINT || ' m' END AS wa
   FROM pn WHERE page_number % 2 = 0 OR page_number % 3 = 0
 ), found AS (
-  SELECT r.finding_id, 1 AS ordinal, 'context_vs_regulation' AS kind, '{K.WATER_RULE["title"]}' AS title,
+  SELECT r.finding_id, 1 AS ordinal, 'context_vs_regulation' AS kind, '{WATER_RULE["title"]}' AS title,
     'OpenStreetMap places the ' || array_to_string(list_filter([st, wa], lambda x: x IS NOT NULL), ' and the ') || '.' AS measured_side,
-    '{K.WATER_RULE["regulation"]}; ' || coalesce('buffers of ' || w || ' appear in the retrieved provisions', 'buffer provisions apply') || '.' AS regulatory_side,
-    'unresolvable_with_open_data' AS resolvability, 1 AS severity, related, 4 AS n_resolvers
+    '{WATER_RULE["regulation"]}; ' || coalesce('buffers of ' || w || ' appear in the retrieved provisions', 'buffer provisions apply') || '.' AS regulatory_side,
+    'unresolvable_with_open_data' AS resolvability, 1 AS severity, related, 3 AS n_resolvers
   FROM related r JOIN near USING (finding_id) LEFT JOIN widths USING (finding_id)
   UNION ALL
-  SELECT p.finding_id, 2, 'source_vs_source', 'Governing figures come from tables whose structure was lost',
+  SELECT p.finding_id, 2, 'source_vs_source', '{K.WORDING["table_title"]}',
     '1 retrieved passage(s) came from tables on p. ' || p.page_number || ' whose grid was lost' ||
       CASE WHEN count(v.value) > 0 THEN ', including ' || count(v.value) || ' numeric value(s)' ELSE '' END || '.',
-    'A value of these tables cannot be tied to its column.', 'resolvable', 2, '', 1
+    '{K.WORDING["table_side"]}', 'resolvable', 2, '', 1
   FROM pn p LEFT JOIN prov v ON v.finding_id = p.finding_id WHERE p.page_number % 4 = 0 GROUP BY p.finding_id, p.page_number
   UNION ALL
-  SELECT finding_id, 3, 'source_vs_source', 'Some figures were reconstructed from mis-encoded text',
+  SELECT finding_id, 3, 'source_vs_source', '{K.WORDING["repaired_title"]}',
     count(*) || ' value(s) on p. ' || page_number || ' came from text that extracted incorrectly and was repaired.',
-    'Repair is a character mapping, not optical recognition.', 'resolvable', 3, '', 1
+    '{K.WORDING["repaired_side"]}', 'resolvable', 3, '', 1
   FROM prov WHERE page_number % 3 = 0 GROUP BY finding_id, page_number
   UNION ALL
   SELECT finding_id, 11, 'evidence_vs_absence', (n_chars % 15 + 1) || ' page(s) bearing on this question could not be read',
-    'Evidence was retrieved from the readable portion of the document.',
+    '{K.WORDING["blind_measured"]}',
     'Pages ' || page_number || chr(8211) || (page_number + n_chars % 15) || ' carry no machine-readable text. Introduced as: ' || chr(8220) || 'Annexure' || chr(8221),
     'resolvable', CASE WHEN n_chars % 15 + 1 > 10 THEN 1 ELSE 2 END, '', 1
   FROM pn WHERE page_number % 5 = 0)"""
@@ -133,7 +142,7 @@ def critical_question(spark, sf_dir):
 _CRITICAL = f"""WITH {_SIDES}, n AS (SELECT document_id AS comparison, count(*) AS n_sites FROM pages_in GROUP BY 1),
 o AS (SELECT split_part(finding_id, ':', 1) AS comparison, count(*) AS unresolvable FROM found WHERE severity = 1 AND kind = 'context_vs_regulation' GROUP BY 1)
 SELECT comparison, n_sites, coalesce(unresolvable, 0) AS unresolvable, CASE
-  WHEN unresolvable >= n_sites THEN 'Every site carries the same unresolved constraint ' || chr(8212) || ' ' || lower('{K.WATER_RULE["title"]}') || '. Open data cannot separate them on it. {K.WATER_RULE["resolvers"][0]}'
+  WHEN unresolvable >= n_sites THEN 'Every site carries the same unresolved constraint ' || chr(8212) || ' ' || lower('{WATER_RULE["title"]}') || '. Open data cannot separate them on it. {WATER_RULE["resolvers"][0]}'
   WHEN unresolvable > 0 THEN unresolvable || ' of these sites carry an unresolved regulatory constraint that the others do not. That difference is the decision.'
   ELSE 'No unresolvable regulatory conflict was detected for any of these sites on this question. That is not the same as none existing ' || chr(8212) || ' it means none was found in the readable portion of the document.' END AS critical_question
 FROM n LEFT JOIN o USING (comparison)"""
@@ -144,16 +153,16 @@ def change_my_mind(spark, sf_dir):
     return listed.groupBy("finding_id", "would_change_if", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
-_RESOLVERS = "[" + ", ".join(f"'{r}'" for r in K.WATER_RULE["resolvers"]) + "]"
+_RESOLVERS = "[" + ", ".join(f"'{r}'" for r in WATER_RULE["resolvers"]) + "]"
 _MIND = f"""WITH {_SIDES}, {ST.MADE}
 SELECT finding_id, CASE WHEN n % 10 = 0 THEN '' ELSE 'A survey.' END AS would_change_if, 'assumption' AS origin, count(*) AS n FROM made WHERE type = 'assumption' GROUP BY ALL
 UNION ALL
 SELECT finding_id, r, 'conflict', count(*) FROM (
   SELECT finding_id, unnest(CASE WHEN ordinal = 1 THEN {_RESOLVERS}
-    WHEN ordinal = 2 THEN ['Reading the table on p. ' || split_part(finding_id, ':', 2) || ' directly in the source PDF.']
-    WHEN ordinal = 3 THEN ['Confirming the figure on p. ' || split_part(finding_id, ':', 2) || '.']
+    WHEN ordinal = 2 THEN ['A look at the table as printed on p. ' || split_part(finding_id, ':', 2) || '.']
+    WHEN ordinal = 3 THEN ['A look at the figure as printed on p. ' || split_part(finding_id, ':', 2) || '.']
     ELSE [split_part(regulatory_side, ' carry', 1) AS x] END) AS r FROM found WHERE ordinal <> 11
-  UNION ALL SELECT finding_id, 'Reading ' || lower(left(split_part(regulatory_side, ' carry', 1), 1)) || substr(split_part(regulatory_side, ' carry', 1), 2) || ' of the source document.' FROM found WHERE ordinal = 11
+  UNION ALL SELECT finding_id, 'A reading of ' || lower(left(split_part(regulatory_side, ' carry', 1), 1)) || substr(split_part(regulatory_side, ' carry', 1), 2) || '.' FROM found WHERE ordinal = 11
 ) GROUP BY ALL""".replace("[split_part(regulatory_side, ' carry', 1) AS x]", "['']")
 
 

@@ -50,7 +50,7 @@ def made(spark, sf_dir):
         derived_from=F.when(n % 8 == 0, F.array()).otherwise(F.array(F.concat(F.lit("stm_"), (k - 1).cast("string")))),
         transformation=F.when(n % 13 == 0, "").otherwise("Compared."),
         confidence=pick(k, "high", "medium", "low"),
-        confidence_basis=F.when(n % 11 == 0, "").otherwise("Observed."),
+        confidence_reason=F.when(n % 11 == 0, "").otherwise("Observed."),
         falsified_by=F.when(n % 10 == 0, "").otherwise("A survey."),
         responds_to=F.when(n % 12 == 0, "").otherwise("A gap."),
         priority=k % 7,
@@ -120,7 +120,7 @@ _RULES = [
     ("fact is sourced", "type = 'fact' AND source_kind = 'absent'"),
     ("inference has parents", "type = 'inference' AND n % 8 = 0"),
     ("inference names its transformation", "type = 'inference' AND n % 13 = 0"),
-    ("inference gives a confidence basis", "type = 'inference' AND n % 11 = 0"),
+    ("inference says why it is so sure", "type = 'inference' AND n % 11 = 0"),
     ("assumption can be falsified", "type = 'assumption' AND n % 10 = 0"),
     ("recommendation responds to something", "type = 'recommendation' AND n % 12 = 0"),
     ("priority is 1 to 5", "type = 'recommendation' AND k % 7 NOT BETWEEN 1 AND 5"),

@@ -9,6 +9,7 @@ from lacuna.operators import critic, reports
 from lacuna.operators import statements as S
 from lacuna.plans.analyse import analyse
 from lacuna.plans.ask import ingest
+from lacuna.workload.reports import WATER_RULE
 
 PROVIDER = ("provider string, endpoint string, retrieved_at timestamp, licence string, limitation string")
 
@@ -30,7 +31,7 @@ def finding(spark):
     nearest = spark.createDataFrame([("q1", "water", "Big Lake", 120.5), ("q2", "water", "Big Lake", 120.5)],
                                     "finding_id string, category string, label string, distance_m double")
     site = A.nearest_statements(who, nearest)
-    return analyse(ingest(raw), questions, site, nearest, "Plan")
+    return analyse(ingest(raw), questions, site, nearest, "Plan", WATER_RULE)
 
 
 def test_conflicts_of_both_sides(finding):
@@ -51,7 +52,7 @@ def test_statements_carry_their_caveats(finding):
     assert all(r.limitation for r in rows if r.agent == "site" and r.type == "fact")
     missing = [r for r in rows if r.finding_id == "q1" and r.type == "assumption" and r.agent == "site"]
     assert len(missing) == 6
-    assert any("No passage in the indexed regulation" in r.text for r in rows if r.finding_id == "q2")
+    assert any(r.text == A.WORDING["silent"] for r in rows if r.finding_id == "q2")
 
 
 def test_confidence_is_capped_where_pages_are_unread(finding):
@@ -78,7 +79,7 @@ def one(spark, **fields):
 
 @pytest.mark.parametrize("fields,rule", [
     (dict(type="fact", text="x", source_kind="absent"), "fact is sourced"),
-    (dict(type="inference", text="x", transformation="t", confidence_basis="b"), "inference has parents"),
+    (dict(type="inference", text="x", transformation="t", confidence_reason="b"), "inference has parents"),
     (dict(type="assumption", text="x"), "assumption can be falsified"),
     (dict(type="recommendation", text="x", responds_to="y", priority=6), "priority is 1 to 5"),
     (dict(type="fact", text="x", source_kind="document", quote="q", page_number=1, char_start=5, char_end=5), "span end exceeds start"),
@@ -102,7 +103,7 @@ def test_demotion_keeps_identity_and_stops_at_assumption(spark):
 
 
 def test_confidence_only_falls(spark):
-    df = one(spark, type="inference", text="x", transformation="t", confidence="low", confidence_basis="b",
+    df = one(spark, type="inference", text="x", transformation="t", confidence="low", confidence_reason="b",
              derived_from=F.array(F.lit("a")))
     assert S.reduce_confidence(df, F.lit(True), "medium", F.lit("r"), "c").first().confidence == "low"
 

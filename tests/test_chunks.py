@@ -1,9 +1,11 @@
-"""Chunking against a plain-Python cut of the same pages."""
+"""What must hold for the passages of any page, and a page cut by hand."""
 
 import random
+import re
 
+import pytest
 
-from brute import cut, pack
+from lacuna import values as V
 from lacuna.operators.chunks import chunk_pages, with_pieces
 from lacuna.operators.pages import grade_pages
 
@@ -23,30 +25,97 @@ def page(rng):
     return "\n".join(out)
 
 
-def test_chunks_match_plain_python(spark):
+def bare(text):
+    return "".join(text.split())
+
+
+@pytest.fixture(scope="module")
+def cut_pages(spark):
     rng = random.Random(7)
     texts = [page(rng) for _ in range(120)]
     pages = spark.createDataFrame(
-        [("d", i + 1, t) for i, t in enumerate(texts)], "document_id string, page_number int, raw_text string"
+        [("d", i, t) for i, t in enumerate(texts)], "document_id string, page_number int, raw_text string"
     )
     got = {}
-    rows = chunk_pages(grade_pages(pages)).where("page_quality != 'unreadable'").collect()
-    for r in rows:
-        got.setdefault(r.page_number, []).append((r.char_start, r.text, r.section_number, r.clause_marker))
-    for i, t in enumerate(texts):
-        if len(t.strip()) >= 120:
-            assert sorted(got.get(i + 1, [])) == sorted(cut(t)), i
-    assert len(rows) > 300
+    for r in chunk_pages(grade_pages(pages)).where("page_quality != 'unreadable'").collect():
+        got.setdefault(r.page_number, []).append(r)
+    return texts, {i: sorted(rows, key=lambda r: r.char_start) for i, rows in got.items()}
+
+
+def test_passages_keep_order_sizes_and_words(cut_pages):
+    texts, got = cut_pages
+    assert sum(map(len, got.values())) > 300
+    for i, rows in got.items():
+        left = bare(re.sub(V.RUNNING_HEADER, "", texts[i], flags=re.I))
+        for r in rows:
+            at = left.find(bare(r.text)[:40])
+            assert at >= 0, (i, r.char_start)
+            left = left[at:]
+            assert V.MIN_CHUNK_CHARS <= len(r.text) <= V.MAX_CHUNK_CHARS + V.MIN_CHUNK_CHARS
+            assert V.RUNNING_HEADER not in r.text and r.text == r.text.strip()
+
+
+def test_nothing_long_is_lost(cut_pages):
+    """Only stretches under the least size are dropped, a handful of words each."""
+    texts, got = cut_pages
+    for i, rows in got.items():
+        header = len(re.findall(V.RUNNING_HEADER, texts[i])) * 60
+        boundaries = 2 + len(re.findall(r"(?m)^\s*(?:[ivx]+\.|\(\w\)|\d|.*Table)", texts[i])) * 2
+        assert len(bare(texts[i])) - sum(len(bare(r.text)) for r in rows) <= header + boundaries * V.MIN_CHUNK_CHARS
+
 
+def test_a_clause_marker_opens_its_passage(cut_pages):
+    texts, got = cut_pages
+    marked = [(i, r) for i, rows in got.items() for r in rows if r.clause_marker]
+    assert len(marked) > 50
+    for i, r in marked:
+        # The first passage of a clause begins with its marker; later ones carry it on.
+        assert re.search(rf"(?m)^\s*\(?{re.escape(r.clause_marker)}[.)]", texts[i])
+    for i, r in ((i, r) for i, rows in got.items() for r in rows if r.section_number):
+        assert re.search(rf"(?m)^\s*{re.escape(r.section_number)}\s", texts[i][: r.char_start + len(r.text)])
 
-def test_packing_matches_plain_python(spark):
+
+def test_a_page_cut_by_hand(spark):
+    rule = "Plots keep a margin of 4.5 m to the road on every side of the building."
+    text = f"2.1 Margins of plots\n{rule}\ni. {rule}\n(b) {rule}\nshort\nTable 3: Limits\n{rule}"
+    pages = spark.createDataFrame([("d", 1, text)], "document_id string, page_number int, raw_text string")
+    rows = sorted(chunk_pages(grade_pages(pages)).collect(), key=lambda r: r.char_start)
+    assert [(r.text, r.section_number, r.clause_marker) for r in rows] == [
+        (f"2.1 Margins of plots\n{rule}", "2.1", None),
+        (f"i. {rule}", "2.1", "i"),
+        (f"(b) {rule}\nshort", "2.1", "b"),
+        (rule, "2.1", None),
+    ]
+    assert [r.char_start for r in rows] == [text.index(x) for x in ("2.1", "i. ", "(b)")] + [text.index("Limits") + 6]
+
+
+def test_packing(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice(["word ", "Upper ", "end. ", "x" * 90 + " ", "y" * 1500, "\n", "a: "])
                      for _ in range(rng.randint(1, 200))).strip() for _ in range(150)]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "i int, cleaned string, at int")
     for r in with_pieces(df).collect():
-        expect = [(5 + o, p) for o, p in pack(texts[r.i])]
-        assert [(p.at, p.text) for p in r.pieces] == expect
+        parts = [p.text for p in r.pieces]
+        assert bare("".join(parts)) == bare(texts[r.i])
+        assert all(len(p) <= V.MAX_CHUNK_CHARS + V.MIN_CHUNK_CHARS for p in parts)
+        assert all(len(p) >= V.MIN_CHUNK_CHARS for p in parts[1:])
+        assert [p.at for p in r.pieces] == sorted(p.at for p in r.pieces)
+
+
+def test_packing_by_hand(spark):
+    one, two = "A" + "b" * 797 + "c.", "D" + "e" * 797 + "f."
+    solid = "g" * 1400 + "h" * 100
+    cases = {
+        "One. Two. Three.": [(0, "One. Two. Three.")],
+        f"{one} {two}": [(0, one), (801, two)],
+        f"{one} Short one.": [(0, f"{one} Short one.")],
+        solid: [(0, "g" * 1400), (1400, "h" * 100)],
+        f"{one} {two} Tail.": [(0, one), (801, f"{two} Tail.")],
+    }
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(cases)], "i int, cleaned string, at int")
+    want = list(cases.values())
+    for r in with_pieces(df).collect():
+        assert [(p.at, p.text) for p in r.pieces] == want[r.i], r.i
 
 
 def test_placeholder_for_unreadable_page(spark):
