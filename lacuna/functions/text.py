@@ -30,7 +30,7 @@ _RESERVED = MARK + HEADING_MARK
 
 
 def unnest(df: DataFrame, array: str | Column, out: str, position: str | None = None) -> DataFrame:
-    """One row per array element, empty arrays giving none.
+    """One row per array element; empty arrays and null elements give none.
 
     A plain `explode` makes the optimizer test the array's size first, which
     computes a costly array twice; the outer form is filtered afterwards instead.

@@ -12,14 +12,23 @@ REGION = ["document_id", "page_start", "page_end"]
 _BIN = 64
 
 
-def page_text(chunks: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Readable chunk text of each wanted (document_id, page_number), collapsed."""
-    readable = chunks.where(F.col("page_quality") != "unreadable")
+def page_ends(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Add to wanted (document_id, page_number, side) the end of the page's readable text that faces the region.
+
+    side -1: the page's last DESCRIPTOR_TAIL characters; 1: its first.  Of each chunk
+    only so much travels as can show; the ends of a page's chunks, joined, end as the
+    page does.
+    """
+    shown = F.lit(V.DESCRIPTOR_TAIL)
+    text = X.collapse(F.col("text"))
+    slim = chunks.where(F.col("page_quality") != "unreadable").select(
+        "document_id", "page_number", "chunk_ordinal", F.left(text, shown).alias("head"), F.right(text, shown).alias("tail"))
+    facing = F.when(F.col("side") < 0, F.col("tail")).otherwise(F.col("head"))
     return (
-        readable.join(wanted, ["document_id", "page_number"])
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("chunk_ordinal", "text"))).alias("_c"))
-        .withColumn("page_text", F.array_join(F.transform("_c", lambda c: X.collapse(c["text"])), " "))
+        slim.join(wanted, ["document_id", "page_number"])
+        .groupBy(*REGION, "side")
+        .agg(F.array_sort(F.collect_list(F.struct("chunk_ordinal", facing.alias("text")))).alias("_c"))
+        .withColumn("page_text", F.array_join(F.transform("_c", lambda c: c["text"]), " "))
         .drop("_c")
     )
 
@@ -31,7 +40,7 @@ def blind_regions(chunks: DataFrame) -> DataFrame:
     neighbours = runs.select(*REGION, (F.col("page_start") - 1).alias("page_number"), F.lit(-1).alias("side")).union(
         runs.select(*REGION, (F.col("page_end") + 1).alias("page_number"), F.lit(1).alias("side"))
     )
-    texts = page_text(chunks, neighbours, [*REGION, "side"])
+    texts = page_ends(chunks, neighbours)
     beside = texts.groupBy(*REGION).agg(
         F.max(F.when(F.col("side") == -1, F.col("page_text"))).alias("before"),
         F.max(F.when(F.col("side") == 1, F.col("page_text"))).alias("after"),
@@ -118,12 +127,12 @@ def page_span(start: Column, end: Column) -> Column:
     )
 
 
-def coverage_notes(matched: DataFrame) -> DataFrame:
+def coverage_notes(matched: DataFrame, named_regions: int = V.NAMED_REGIONS) -> DataFrame:
     """The sentence shown above an answer when pages on the topic are unreadable.
 
-    Relevant regions rank first, so the three named are those of rank 1 to 3.
+    Relevant regions rank first, so those named are the first by rank; all are counted.
     """
-    named = F.when(F.col("rank") <= 3, F.struct("rank", page_span(F.col("page_start"), F.col("page_end")).alias("s")))
+    named = F.when(F.col("rank") <= named_regions, F.struct("rank", page_span(F.col("page_start"), F.col("page_end")).alias("s")))
     totals = matched.where(F.col("query_relevant")).groupBy("query_id").agg(
         F.sum("page_count").alias("pages"),
         F.count(F.lit(1)).alias("regions"),
@@ -141,8 +150,8 @@ def coverage_notes(matched: DataFrame) -> DataFrame:
     )
 
 
-def describe() -> Column:
-    """One region in words."""
+def describe(before_chars: int = V.DESCRIBED_BEFORE, after_chars: int = V.DESCRIBED_AFTER) -> Column:
+    """One region in words, with so much of the text around it."""
     pages = F.when(F.col("page_start") == F.col("page_end"), F.format_string("page %d", "page_start")).otherwise(
         F.format_string("pages %d–%d (%d pages)", "page_start", "page_end", "page_count")
     )
@@ -153,18 +162,18 @@ def describe() -> Column:
         F.lit("."),
         F.when(
             F.col("descriptor") != "",
-            F.format_string(" The text immediately before it reads: “%s”", F.left("descriptor", F.lit(200))),
+            F.format_string(" The text immediately before it reads: “%s”", F.left("descriptor", F.lit(before_chars))),
         ).otherwise(""),
         F.when(
             F.col("following_context") != "",
-            F.format_string(" The text immediately after it reads: “%s”", F.left("following_context", F.lit(160))),
+            F.format_string(" The text immediately after it reads: “%s”", F.left("following_context", F.lit(after_chars))),
         ).otherwise(""),
     )
 
 
-def page_images(base: str = "/api/corpus/page") -> Column:
-    """Image addresses of a region's first pages."""
-    last = F.least(F.col("page_end"), F.col("page_start") + (V.PAGE_IMAGE_LIMIT - 1))
+def page_images(base: str = "/api/corpus/page", at_most: int | None = None) -> Column:
+    """Image addresses of a region's pages, all or the first so many."""
+    last = F.col("page_end") if at_most is None else F.least(F.col("page_end"), F.col("page_start") + (at_most - 1))
     return F.transform(
         F.sequence("page_start", last),
         lambda p: F.concat(F.lit(base + "/"), p.cast("string"), F.lit("/image")),

@@ -153,7 +153,7 @@ def with_pieces(segments: DataFrame) -> DataFrame:
     )
 
 
-def with_segments(pages: DataFrame, running_header: str | None = V.RUNNING_HEADER) -> DataFrame:
+def with_segments(pages: DataFrame, running_header: str | None = None) -> DataFrame:
     """Add `segments`: cleaned segments of at least 60 characters of each page."""
     header = "(?iu)" + running_header.replace(r"\s", X.SPACE) if running_header else None
 
@@ -197,7 +197,7 @@ def overlapping_region(regions: Column, start: Column, end: Column) -> Column:
     )
 
 
-def chunk_pages(graded: DataFrame, running_header: str | None = V.RUNNING_HEADER) -> DataFrame:
+def chunk_pages(graded: DataFrame, running_header: str | None = None) -> DataFrame:
     """Chunks of graded pages; an unreadable page yields one placeholder.
 
     A projection from end to end: page text is read once and nothing is shuffled.

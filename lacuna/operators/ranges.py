@@ -16,8 +16,18 @@ def _bucket(position: Column, width: int) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
+def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys in which null equals null."""
+    renamed = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return df.join(renamed, same).drop(*(f"_of_{k}" for k in keys))
+
+
 def number_rows(df: DataFrame, keys: str | list[str], position: str, out: str, width: int = BUCKET_WIDTH) -> DataFrame:
-    """1-based rank of each row within its keys, by a unique whole-number position."""
+    """1-based rank of each row within its keys, by a unique whole-number position.
+
+    Null keys are a key of their own; rows without a position come first.
+    """
     keys = [keys] if isinstance(keys, str) else keys
     keyed = df.withColumn("_bucket", _bucket(F.col(position), width))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -27,9 +37,9 @@ def number_rows(df: DataFrame, keys: str | list[str], position: str, out: str, w
         .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     within = Window.partitionBy(*keys, "_bucket").orderBy(position)
+    ranked = keyed.withColumn("_rank", F.row_number().over(within))
     return (
-        keyed.withColumn("_rank", F.row_number().over(within))
-        .join(offsets, [*keys, "_bucket"])
+        _join_offsets(ranked, offsets, [*keys, "_bucket"])
         .withColumn(out, F.col("_offset") + F.col("_rank"))
         .drop("_bucket", "_rank", "_offset")
     )
@@ -42,7 +52,8 @@ def rank_rows(
 
     `groups` lists (column, descending).  Rows with equal columns, copies for
     instance, are numbered in buckets of the position; only one count per
-    different combination of columns meets inside the key.
+    different combination of columns meets inside the key.  Nulls are values like
+    any other.
     """
     names = [n for n, _ in groups]
     order = [F.col(n).desc() if down else F.col(n).asc() for n, down in groups]
@@ -54,8 +65,7 @@ def rank_rows(
         .drop("_n")
     )
     return (
-        number_rows(df, [key, *names], position, "_inside")
-        .join(offsets, [key, *names])
+        _join_offsets(number_rows(df, [key, *names], position, "_inside"), offsets, [key, *names])
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_before", "_inside")
     )

@@ -149,8 +149,11 @@ def undifferentiating(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("differentiating") & F.col("all_established"))
 
 
-def comparison_matrix(cells: DataFrame, sites: list[str] | None = None) -> DataFrame:
-    """One row per dimension, one column per site."""
+def comparison_matrix(cells: DataFrame, sites: list[str]) -> DataFrame:
+    """One row per dimension, one column for each site asked for.
+
+    `cells` is the long form, for any number of sites; this is for showing a few.
+    """
     return cells.groupBy("row_order", "label").pivot("site", sites).agg(F.first("value"))
 
 
@@ -213,18 +216,14 @@ def failed_agents(traces: DataFrame) -> DataFrame:
     return traces.where(~F.col("ok")).select("finding_id", "agent", "error")
 
 
-def first_tags(tags: Column, n: int = 8) -> Column:
-    """The first n entries of a tag map."""
-    return F.map_from_entries(F.slice(F.map_entries(tags), 1, n))
-
-
-def map_features(features: DataFrame) -> DataFrame:
-    """Features as shown on a map: label, link and the first eight tags."""
+def map_features(features: DataFrame, tags: int | None = None) -> DataFrame:
+    """Features as shown on a map: label, link and tags, all or the first so many."""
+    shown = F.col("tags") if tags is None else F.map_from_entries(F.slice(F.map_entries("tags"), 1, tags))
     return features.select(
         "osm_type", "osm_id", "category", feature_label(F.col("name"), F.col("category")).alias("label"),
         "latitude", "longitude", "distance_m",
         F.concat_ws("/", F.lit("https://www.openstreetmap.org"), "osm_type", "osm_id").alias("osm_url"),
-        first_tags(F.col("tags")).alias("tags"),
+        shown.alias("tags"),
     )
 
 

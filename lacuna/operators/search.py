@@ -14,24 +14,6 @@ from lacuna.functions import tokens as T
 
 CHUNK = ["document_id", "page_number", "chunk_ordinal"]
 
-# Question text up to this size yields at most a few hundred thousand term rows.
-BROADCAST_QUESTION_BYTES = 1 << 20
-
-
-def fits_broadcast(questions: DataFrame) -> bool:
-    """Whether tables with one row per question term may be broadcast.
-
-    Measured on the questions themselves; above the bound the joins stay shuffled
-    and adaptive execution splits their hot terms.
-    """
-    size = questions.select(F.sum(F.octet_length("question")).alias("b")).first()["b"]
-    return (size or 0) <= BROADCAST_QUESTION_BYTES
-
-
-def _small(df: DataFrame, fits: bool) -> DataFrame:
-    return F.broadcast(df) if fits else df
-
-
 def tokenised(chunks: DataFrame) -> DataFrame:
     """Chunk keys with their terms in order; text does not travel further."""
     return chunks.select(
@@ -78,7 +60,7 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return X.unnest(listed, "terms", "term", "position").drop("terms")
 
 
-def relevant_postings(chunks: DataFrame, asked: DataFrame, fits: bool = False) -> DataFrame:
+def relevant_postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     """Postings of asked-for terms, partitioned by page.
 
     Each chunk also posts the empty term, which carries its length, so document
@@ -97,7 +79,7 @@ def relevant_postings(chunks: DataFrame, asked: DataFrame, fits: bool = False) -
         X.unnest(with_marker, "terms", "term")
         .drop("terms")
         .where(F.col("document_id").isNotNull() & F.col("term").isNotNull())
-        .join(_small(vocabulary, fits), ["document_id", "term"], "left_semi")
+        .join(vocabulary, ["document_id", "term"], "left_semi")
         .repartition("document_id", "page_number")
         .groupBy(*CHUNK, "readable", "defines", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -130,7 +112,7 @@ def query_weights(posted: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
-def scores(posted: DataFrame, weights: DataFrame, questions: DataFrame, fits: bool = False) -> DataFrame:
+def scores(posted: DataFrame, weights: DataFrame, questions: DataFrame) -> DataFrame:
     """One row per (question, readable chunk) with a positive score.
 
     `matched` and `distinctive` count the different terms met, for the evidence floor.
@@ -142,7 +124,7 @@ def scores(posted: DataFrame, weights: DataFrame, questions: DataFrame, fits: bo
     share = contribution(F.col("weight"), F.col("idf"), F.col("tf"), F.col("length"), F.col("avg_len"))
     boost = F.when(F.col("wants") & F.col("defines"), V.DEFINITION_BOOST).otherwise(1.0)
     return (
-        posted.join(_small(weighted, fits), ["document_id", "term"])
+        posted.join(weighted, ["document_id", "term"])
         .groupBy(*CHUNK, "query_id")
         .agg(
             F.sum(F.when(F.col("readable"), share * boost)).alias("score"),
@@ -181,12 +163,12 @@ def evidence_floor(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_ok", F.bool_or(strong).over(question)).where("_ok").drop("_ok")
 
 
-def matched_terms(hits: DataFrame, posted: DataFrame, asked: DataFrame, fits: bool = False) -> DataFrame:
+def matched_terms(hits: DataFrame, posted: DataFrame, asked: DataFrame) -> DataFrame:
     """Add `matched_terms`: the question's terms met in the hit, in question order."""
     listed = (
         posted.select(*CHUNK, "term")
-        .join(_small(hits.select(*CHUNK, "query_id"), fits), CHUNK)
-        .join(_small(asked.select("query_id", "term", "position"), fits), ["query_id", "term"])
+        .join(hits.select(*CHUNK, "query_id"), CHUNK)
+        .join(asked.select("query_id", "term", "position"), ["query_id", "term"])
         .groupBy(*CHUNK, "query_id")
         .agg(F.array_sort(F.collect_list(F.struct("position", "term"))).alias("_m"))
     )
@@ -196,10 +178,10 @@ def matched_terms(hits: DataFrame, posted: DataFrame, asked: DataFrame, fits: bo
     )
 
 
-def why_matched(matched: Column) -> Column:
-    """First eight distinct matched terms in alphabetical order."""
-    first = F.slice(F.array_sort(F.array_distinct(matched)), 1, 8)
-    return F.concat(F.lit("Matched on: "), F.array_join(first, ", "))
+def why_matched(matched: Column, named: int | None = V.NAMED_TERMS) -> Column:
+    """Distinct matched terms in alphabetical order; the first so many, or all with None."""
+    terms = F.array_sort(F.array_distinct(matched))
+    return F.concat(F.lit("Matched on: "), F.array_join(terms if named is None else F.slice(terms, 1, named), ", "))
 
 
 # --- numbers with regulatory force ---------------------------------------------

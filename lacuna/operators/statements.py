@@ -121,7 +121,7 @@ def display_reference() -> Column:
         F.when(F.col("source_kind") == "document", F.format_string("%s, p. %d", "document_title", "page_number")),
         F.when(
             F.col("source_kind") == "dataset",
-            F.format_string("%s (%s)", "provider", F.date_format("retrieved_at", "yyyy-MM-dd")),
+            F.concat("provider", F.coalesce(F.concat(F.lit(" ("), F.date_format("retrieved_at", "yyyy-MM-dd"), F.lit(")")), F.lit(""))),
         ),
         F.col("source_note"),
         F.lit("unsourced"),

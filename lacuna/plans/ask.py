@@ -22,26 +22,26 @@ class Answers:
     weights: DataFrame
 
 
-def ingest(raw_pages: DataFrame) -> DataFrame:
-    """Chunks of pages(document_id, page_number, raw_text)."""
-    return chunks.chunk_pages(pages.grade_pages(raw_pages))
+def ingest(raw_pages: DataFrame, running_header: str | None = None) -> DataFrame:
+    """Chunks of pages(document_id, page_number, raw_text); a pattern names the document's running header."""
+    return chunks.chunk_pages(pages.grade_pages(raw_pages), running_header)
 
 
 def answer(chunked: DataFrame, questions: DataFrame, k: int = V.TOP_K) -> Answers:
     """Hits, unreadable regions and coverage notes of all questions.
 
-    The postings of asked-for terms, the kept hits and the unreadable regions are
-    small next to the corpus and read by several outputs, so each is stored once.
+    Terms asked for, their postings, the kept hits and the unreadable regions are
+    small next to the corpus and read by several outputs, so each is stored once; by
+    their stored size Spark decides whether to broadcast them.
     """
-    fits = search.fits_broadcast(questions)
-    asked = search.query_terms(questions)
-    posted = materialise(search.relevant_postings(chunked, asked, fits))
+    asked = materialise(search.query_terms(questions))
+    posted = materialise(search.relevant_postings(chunked, asked))
     weights = materialise(search.query_weights(posted, asked))
-    ranked = search.top_hits(search.scores(posted, weights, questions, fits), k)
+    ranked = search.top_hits(search.scores(posted, weights, questions), k)
     kept = materialise(search.evidence_floor(ranked))
     regions = materialise(blind.blind_regions(chunked))
     spots = blind.match_regions(regions, weights, kept)
-    hits = search.matched_terms(kept, posted, asked, fits)
+    hits = search.matched_terms(kept, posted, asked)
     return Answers(hits, spots, blind.coverage_notes(spots), regions, weights)
 
 

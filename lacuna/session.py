@@ -5,6 +5,7 @@ On a cluster the caller brings a session; only local runs build one here.
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,12 +40,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, through reliable shared storage.
+    """Compute once, write as Parquet to the shared folder, and read back.
 
-    For compact results that several outputs of one plan read, so the corpus is
-    not read again for each and a lost executor costs no recomputation.
+    For compact results that several outputs of one plan read: the corpus is not read
+    again for each, a lost executor costs no recomputation, and readers see the true
+    size, by which Spark chooses their joins, and only the columns they use.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

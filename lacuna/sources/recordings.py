@@ -34,25 +34,21 @@ PAYLOADS = {
     "open-meteo-era5": OPEN_METEO,
 }
 
-# What must be said beside every value of a provider.
-CATALOGUE = [
-    ("nominatim", "geocoding", "ODbL 1.0", "Returns area centroids for place names; may be imprecise or stale."),
-    ("overpass", "spatial features", "ODbL 1.0", "Crowd-sourced: counts are what has been mapped, not what exists."),
-    ("open-meteo-era5", "historical climate", "Free for non-commercial use", "A grid of about 9 km; values describe the cell, not the site."),
-    ("opentopodata-srtm30m", "elevation", "Public domain", "Cannot resolve plot-level grade; may reflect canopy or rooftops."),
-]
+def _raw_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, Column]:
+    raw = spark.read.schema(ENVELOPE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return raw, F.col("key").isNotNull() & F.col("provider").isNotNull()
 
 
-def source_catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOGUE, "provider string, provides string, licence string, limitation string")
+def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """All readable recordings under a folder; `broken_recordings` names the others."""
+    raw, sound = _raw_recordings(spark, path)
+    return raw.where(sound).withColumn("captured_at", F.try_to_timestamp("captured_at"))
 
 
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """All readable recordings under a folder; a broken file yields no row."""
-    raw = spark.read.schema(ENVELOPE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return raw.where(F.col("key").isNotNull() & F.col("provider").isNotNull()).withColumn(
-        "captured_at", F.try_to_timestamp("captured_at")
-    )
+def broken_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """Files under the folder that hold no recording: (file)."""
+    raw, sound = _raw_recordings(spark, path)
+    return raw.withColumn("file", F.col("_metadata.file_path")).where(~sound).select("file").distinct()
 
 
 def write_recordings(recordings: DataFrame, path: str) -> None:

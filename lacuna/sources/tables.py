@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """One table of a folder.
 
-    With `spread`, a file too small to be split is dealt out to all cores before
-    heavy per-row work.  Inputs that already have a partition per core, as any
-    large table has, are left as they are.
+    With `spread`, a table that is read as one partition, and so is no larger than
+    one, is dealt out to all cores before heavy per-row work.
     """
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
+    if spread and df.rdd.getNumPartitions() == 1:
         df = df.repartition(cores)
     return df

@@ -1,12 +1,8 @@
-"""Uploaded PDFs: guards, text extraction, and an append-only document table."""
+"""Uploaded files: guards and an append-only document table."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna import values as V
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -15,62 +11,24 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("sha256", F.sha2("content", 256))
 
 
-def refusal() -> Column:
-    """Why a file is not accepted; null when it is."""
-    return F.when(
-        F.col("length") > V.MAX_UPLOAD_BYTES,
-        F.format_string("File is %.1f MB; at most 25 MB are accepted.", F.col("length") / 1e6),
-    ).when(F.substring("content", 1, 4) != F.lit(b"%PDF"), "That file is not a PDF.")
+def refusal(max_bytes: int | None = None) -> Column:
+    """Why a file is not accepted; null when it is.  Sizes are judged only where a limit is given."""
+    no_pdf = F.when(F.substring("content", 1, 4) != F.lit(b"%PDF"), "That file is not a PDF.")
+    if max_bytes is None:
+        return no_pdf
+    return F.coalesce(F.when(F.col("length") > max_bytes, F.format_string("File is %.1f MB.", F.col("length") / 1e6)), no_pdf)
 
 
-def guard(files: DataFrame, held: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refused) files; at most eight documents are held at a time."""
-    checked = files.withColumn("problem", refusal())
-    room = max(V.MAX_DOCUMENTS - held, 0)
-    sound = checked.where(F.col("problem").isNull())
-    accepted = sound.orderBy("path").limit(room)
-    over = sound.join(accepted.select("path"), "path", "left_anti").withColumn(
-        "problem", F.lit(f"At most {V.MAX_DOCUMENTS} documents are held at a time.")
-    )
-    refused = checked.where(F.col("problem").isNotNull()).unionByName(over.select(*checked.columns))
-    return accepted.drop("problem"), refused
+def guard(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) files; a file is judged by itself, however many there are."""
+    checked = files.withColumn("problem", refusal(max_bytes))
+    return checked.where(F.col("problem").isNull()).drop("problem"), checked.where(F.col("problem").isNotNull())
 
 
 def document_id() -> Column:
     return F.concat(F.lit("doc_"), F.left("sha256", F.lit(10)))
 
 
-def _extractor():
-    """The page reader, defined inside so that it travels to executors by value."""
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        from pypdf import PdfReader  # optional dependency, needed on the executors
-
-        for batch in batches:
-            for row in batch.itertuples():
-                try:
-                    pages = PdfReader(io.BytesIO(row.content)).pages
-                except Exception:  # a malformed file becomes one unreadable page
-                    yield pd.DataFrame({"document_id": [row.document_id], "page_number": [1], "raw_text": [""]})
-                    continue
-                for number, page in enumerate(pages, 1):
-                    try:
-                        text = page.extract_text() or ""
-                    except Exception:  # a page that fails becomes empty text
-                        text = ""
-                    yield pd.DataFrame({"document_id": [row.document_id], "page_number": [number], "raw_text": [text]})
-
-    return extract
-
-
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """One row per page, page by page, so a large file is never held as text."""
-    keyed = files.select(document_id().alias("document_id"), "content")
-    return keyed.mapInPandas(_extractor(), "document_id string, page_number long, raw_text string")
-
-
 class DocumentTable:
     """Append-only record of uploads in a shared folder; removal adds a tombstone."""
 
@@ -89,10 +47,10 @@ class DocumentTable:
         self._append(gone.withColumn("removed_at", F.current_timestamp()), "removed")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except Exception:  # nothing written yet
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):  # nothing written yet
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
     def list(self) -> DataFrame:
         """Documents present, the newest first."""

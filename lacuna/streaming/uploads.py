@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lacuna.plans.ask import ingest
-from lacuna.session import checkpoint_dir
 
 PAGES = "document_id string, page_number long, raw_text string"
 
@@ -17,13 +16,16 @@ def arriving_pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(PAGES).json(folder)
 
 
-def ingest_stream(pages: DataFrame, out: str, name: str) -> StreamingQuery:
-    """Append the chunks of new pages to a Parquet folder, each page once."""
+def ingest_stream(pages: DataFrame, out: str, progress: str) -> StreamingQuery:
+    """Append the chunks of new pages to a Parquet folder, each page once.
+
+    `progress` is a lasting folder of this stream, by which a restart knows what is done.
+    """
     return (
         ingest(pages)
         .writeStream.format("parquet")
         .option("path", out)
-        .option("checkpointLocation", f"{checkpoint_dir(pages.sparkSession)}/{name}")
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )

@@ -46,7 +46,6 @@ RISKY_LEVELS = ["ambiguous_columns", "severe"]
 # --- chunking ----------------------------------------------------------------
 MAX_CHUNK_CHARS = 1400
 MIN_CHUNK_CHARS = 60
-RUNNING_HEADER = r"Revised Master Plan for Bengaluru\s*-\s*2031\s*\(Draft\)\s*"
 
 # --- retrieval ---------------------------------------------------------------
 STOPWORDS = (
@@ -179,10 +178,12 @@ PANELS = [
 # How much a sentence quotes of a region's introduction, and how many claims a conflict names.
 SHOWN_CHARS = 170
 RELATED_IDS = 3
-PAGE_IMAGE_LIMIT = 25
+# How many matched terms and unreadable regions a sentence names, and how much it quotes of a region's surroundings.
+NAMED_TERMS = 8
+NAMED_REGIONS = 3
+DESCRIBED_BEFORE = 200
+DESCRIBED_AFTER = 160
 STALE_AFTER_DAYS = 30
-MAX_UPLOAD_BYTES = 25 * 1024 * 1024
-MAX_DOCUMENTS = 8
 
 # Checks of an evaluation case, with the metric each one feeds.
 CASE_CHECKS = [

@@ -60,10 +60,9 @@ def corpus_stats(spark, sf_dir):
 
 def _parts(spark, sf_dir):
     q = questions(spark, sf_dir)
-    fits = S.fits_broadcast(q)
     asked = S.query_terms(q)
-    posted = S.relevant_postings(page_chunks(spark, sf_dir), asked, fits)
-    return q, fits, asked, posted, S.query_weights(posted, asked)
+    posted = S.relevant_postings(page_chunks(spark, sf_dir), asked)
+    return q, asked, posted, S.query_weights(posted, asked)
 
 
 def idf(spark, sf_dir):
@@ -72,8 +71,8 @@ def idf(spark, sf_dir):
 
 
 def bm25_scores(spark, sf_dir):
-    q, fits, _, posted, weights = _parts(spark, sf_dir)
-    scored = S.scores(posted, weights, q, fits)
+    q, _, posted, weights = _parts(spark, sf_dir)
+    scored = S.scores(posted, weights, q)
     return scored.select("query_id", "document_id", "page_number", F.round("score", 4).alias("score"), "matched", "distinctive")
 
 
@@ -87,30 +86,29 @@ def bm25_definition_boost(spark, sf_dir):
     q = questions(spark, sf_dir).withColumn(
         "question", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("What is the meaning of "), F.col("question"))).otherwise(F.col("question"))
     )
-    fits = S.fits_broadcast(q)
     asked = S.query_terms(q)
-    posted = S.relevant_postings(chunks, asked, fits)
+    posted = S.relevant_postings(chunks, asked)
     weights = S.query_weights(posted, asked)
-    top = S.top_hits(S.scores(posted, weights, q, fits))
+    top = S.top_hits(S.scores(posted, weights, q))
     return finish(top.select("query_id", "document_id", "page_number", "score", "rank"))
 
 
 def bm25_topk(spark, sf_dir):
-    q, fits, _, posted, weights = _parts(spark, sf_dir)
-    top = S.top_hits(S.scores(posted, weights, q, fits))
+    q, _, posted, weights = _parts(spark, sf_dir)
+    top = S.top_hits(S.scores(posted, weights, q))
     return finish(top.select("query_id", "document_id", "page_number", "score", "rank"))
 
 
 def evidence_floor(spark, sf_dir):
-    q, fits, _, posted, weights = _parts(spark, sf_dir)
-    kept = S.evidence_floor(S.top_hits(S.scores(posted, weights, q, fits)))
+    q, _, posted, weights = _parts(spark, sf_dir)
+    kept = S.evidence_floor(S.top_hits(S.scores(posted, weights, q)))
     return finish(kept.select("query_id", "page_number", "score", "rank", "matched", "distinctive"))
 
 
 def why_matched(spark, sf_dir):
-    q, fits, asked, posted, weights = _parts(spark, sf_dir)
-    kept = S.evidence_floor(S.top_hits(S.scores(posted, weights, q, fits)))
-    hits = S.matched_terms(kept, posted, asked, fits)
+    q, asked, posted, weights = _parts(spark, sf_dir)
+    kept = S.evidence_floor(S.top_hits(S.scores(posted, weights, q)))
+    hits = S.matched_terms(kept, posted, asked)
     return finish(hits.select("query_id", "page_number", "rank", F.array_join("matched_terms", " ").alias("matched_terms"),
                               S.why_matched(F.col("matched_terms")).alias("why")))
 
@@ -279,7 +277,7 @@ SELECT query_id, sum(page_end - page_start + 1) || ' page(s) of this document be
   || ') and are not included in the evidence below.' AS coverage_note FROM relevant GROUP BY query_id"""
 
 _IMAGES = f"""WITH {CHUNKS}, {_REGIONS}
-SELECT document_id, page_start, '/api/corpus/page/' || unnest(generate_series(page_start, least(page_end, page_start + 24))) || '/image' AS url FROM regions"""
+SELECT document_id, page_start, '/api/corpus/page/' || unnest(generate_series(page_start, page_end)) || '/image' AS url FROM regions"""
 
 # The structured pages hold measures only in the sentence put in, so its pattern finds them;
 # a measure needs no word character or dot before it and nothing of a word after its unit.

@@ -133,7 +133,7 @@ def references(spark, sf_dir):
 
 
 _REFS = f"""WITH {MADE} SELECT id, CASE WHEN source_kind = 'document' THEN 'Plan, p. ' || (k % 7)
-  WHEN source_kind = 'dataset' AND n % 6 <> 0 THEN 'survey (2024-05-01)' WHEN source_kind = 'dataset' THEN 'null (2024-05-01)' ELSE 'unsourced' END AS reference,
+  WHEN source_kind = 'dataset' AND n % 6 <> 0 THEN 'survey (2024-05-01)' WHEN source_kind = 'dataset' THEN 'unsourced' ELSE 'unsourced' END AS reference,
   CASE WHEN source_kind = 'document' AND n % 2 = 0 THEN 'Read with care.' WHEN source_kind = 'dataset' THEN 'Coarse grid.' END AS caveat FROM made"""
 
 

@@ -44,3 +44,11 @@ def test_as_of_across_buckets(spark):
     for u, at, i in left:
         before = [(p, v) for k, p, v in right if k == u and p <= at]
         assert got[i] == (max(before)[1] if before else None)
+
+
+def test_null_keys_and_positions_are_kept(spark):
+    df = spark.createDataFrame([("a", 5), ("a", None), (None, 3), (None, 9), ("a", 7)], "key string, at long")
+    got = {(r.key, r.at): r.n for r in number_rows(df, "key", "at", "n", width=4).collect()}
+    assert got == {("a", None): 1, ("a", 5): 2, ("a", 7): 3, (None, 3): 1, (None, 9): 2}
+    ranked = {(r.key, r.at): r.n for r in rank_rows(df.withColumn("g", df["at"] % 2), "key", [("g", False)], "at", "n").collect()}
+    assert len(ranked) == 5 and ranked[None, 3] == 1

@@ -53,6 +53,7 @@ def test_payload_readers(spark, tmp_path):
     rain = G.climate_summary(R.climate_days(rec)).first()
     assert (rain.years_covered, rain.mean_annual_mm, rain.wettest_month, rain.max_daily_date) == (2, 145.5, "2020-02", "2020-02-01")
     assert (rain.days_over_50mm, rain.days_over_100mm) == (3, 2)
+    assert [r.file.rsplit("/", 1)[1] for r in R.broken_recordings(spark, str(tmp_path)).collect()] == ["broken.json"]
     problems = {r.key: r.problem for r in R.verify_recordings(rec).collect()}
     assert problems == {"x1": "no parser registered for mystery"}
 
@@ -90,12 +91,13 @@ def test_cache_key_is_stable(spark):
 
 def test_upload_guards(spark, tmp_path):
     for i in range(9):
-        (tmp_path / f"{i}.pdf").write_bytes(b"%PDF-1.4 " + bytes([i]))
+        (tmp_path / f"{i}.pdf").write_bytes(b"%PDF-1.4 " + bytes([i]) * (i + 1))
     (tmp_path / "notes.pdf").write_bytes(b"hello")
-    accepted, refused = uploads.guard(uploads.read_files(spark, str(tmp_path)))
-    assert accepted.count() == 8
-    problems = sorted(r.problem for r in refused.collect())
-    assert problems == ["At most 8 documents are held at a time.", "That file is not a PDF."]
+    files = uploads.read_files(spark, str(tmp_path))
+    accepted, refused = uploads.guard(files)
+    assert accepted.count() == 9 and [r.problem for r in refused.collect()] == ["That file is not a PDF."]
+    accepted, refused = uploads.guard(files, max_bytes=12)
+    assert accepted.count() == 3 and refused.count() == 7
 
 
 def test_document_table(spark, tmp_path):
@@ -118,7 +120,7 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in (1, 2):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"document_id": "d", "page_number": i, "raw_text": text if i == 1 else "scan"}))
-    q = ingest_stream(arriving_pages(spark, str(tmp_path / "in")), str(tmp_path / "out"), f"s{id(tmp_path)}")
+    q = ingest_stream(arriving_pages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "progress"))
     q.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.page_quality for r in rows) == ["clean", "unreadable"]
