@@ -10,9 +10,11 @@ count as empty, which have no tokens.  Only `doc_id` and `text` are read.
 """
 
 import hashlib
+import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,42 +25,53 @@ from lacuna.llm.common import exists, read, shared_path, whole_text
 
 LIMIT = 512
 CACHE = "tokenizer string, digest string, n_tokens long"
-#: Counts of chunks that a task remembers before it starts afresh.
-MEMO = 400_000
+#: Texts handled at once, and chunks whose counts a task remembers before it starts afresh.
+BATCH = 64
+MEMO = 250_000
 
 
 class ChunkCounter:
-    """Counts of whole texts, as the tokenizer gives them, encoding each chunk once.
+    """Counts of whole texts, as the tokenizer gives them, encoding most words once.
 
     A byte-level vocabulary splits a text by its pattern first, and no token spans
-    the place before a space that follows a character other than white space.
-    Texts are cut there, so their counts are sums over chunks, and most chunks are
-    words seen before.  A text where white space precedes a space is encoded whole.
+    the place before a space that stands between two characters other than white
+    space.  Texts are cut there, so a count is a sum over chunks, most of which were
+    seen before.  New chunks are encoded together, joined as they would stand in a
+    text; each token belongs to the chunk in which it ends.  Other texts, where
+    white space meets a space, are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[str, int] = {}
 
-    def _encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     @staticmethod
     def _chunks(text: str) -> list[str] | None:
-        """The chunks, or None if the text may not be cut at every space."""
+        """The parts between the spaces, or None if one of them begins or ends with white space."""
         parts = text.split(" ")
-        if any(not p or p[-1].isspace() for p in parts[:-1]):
-            return None
-        return [parts[0], *(" " + p for p in parts[1:])]
+        return None if any(not p or p[0].isspace() or p[-1].isspace() for p in parts) else parts
+
+    def _learn(self, parts: list[str]) -> None:
+        text = " " + " ".join(parts)
+        ends = np.cumsum([1 + len(p) for p in parts])
+        tokens = [end for _, end in self.tokenizer.encode(text, add_special_tokens=False).offsets]
+        counts = np.bincount(np.searchsorted(ends, tokens), minlength=len(parts))
+        self.known.update(zip(parts, counts.tolist(), strict=True))
+
+    def _whole(self, texts: list[str]) -> list[int]:
+        return [len(c) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
         cut = [self._chunks(t) for t in texts]
         if len(self.known) > MEMO:
             self.known.clear()
-        new = list({c for chunks in cut if chunks for c in chunks} - self.known.keys())
-        self.known.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, chunks in zip(texts, cut, strict=True) if chunks is None]))
-        return [next(whole) if chunks is None else sum(map(self.known.__getitem__, chunks)) for chunks in cut]
+        # The first chunk of a text has no space before it, so it is another chunk.
+        new = list({p for parts in cut if parts for p in parts[1:]} - self.known.keys())
+        for at in range(0, len(new), 2000):
+            self._learn(new[at : at + 2000])
+        first = self._whole([t if parts is None else parts[0] for t, parts in zip(texts, cut, strict=True)])
+        return [n if parts is None else n + sum(map(self.known.__getitem__, parts[1:])) for n, parts in zip(first, cut, strict=True)]
 
 
 def encode_distinct(texts: DataFrame, vocabulary: str) -> DataFrame:
@@ -68,8 +81,8 @@ def encode_distinct(texts: DataFrame, vocabulary: str) -> DataFrame:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = ChunkCounter(shared.value)
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
+            for at in range(0, len(b), BATCH):
+                part = b.iloc[at : at + BATCH]
                 yield pd.DataFrame({"digest": part["digest"], "n_tokens": counter.counts(part["text"].tolist())})
 
     return texts.select("digest", "text").mapInPandas(encode, "digest string, n_tokens long")

@@ -1,9 +1,9 @@
 from pathlib import Path
 
 import public_tokenizers
-from odd_rows import ROWS, clashing, folder, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from odd_rows import ROWS, clashing, folder, table
 from tokenizers import Tokenizer
 
 from lacuna.llm import token_counts as T
@@ -17,11 +17,21 @@ def plain(text):
     return len(LIBRARY.encode(text or "", add_special_tokens=False).ids)
 
 
+PARTS = ["word", "Word", " ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "\u200b", "'s", "12", "..", "<|endoftext|>", "é", "字", "😀", "x", "\u0301"]
+COUNTER = T.ChunkCounter(VOCABULARY)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14), max_size=4))
+def test_chunks_count_as_the_whole(texts):
+    texts = ["".join(parts) for parts in texts]
+    assert COUNTER.counts(texts) == [plain(t) for t in texts]
+
+
 @settings(max_examples=500, deadline=None)
-@given(st.lists(st.sampled_from(["word", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", " ", "'s", "12", "..", "<|endoftext|>", "é", "😀", "x"]), max_size=14))
-def test_chunks_count_as_the_whole(parts):
-    text = "".join(parts)
-    assert T.ChunkCounter(VOCABULARY).counts([text]) == [plain(text)]
+@given(st.text(max_size=40))
+def test_any_text_counts_as_the_whole(text):
+    assert COUNTER.counts([text]) == [plain(text)]
 
 
 def test_odd_rows(spark, tmp_path):
