@@ -138,6 +138,20 @@ def failed_checks(checked: DataFrame, checks: list[str]) -> DataFrame:
     return checked.withColumn("failed", F.array_join(names, ", ")).where(F.col("failed") != "").select("case_id", "failed")
 
 
+def of_kind(checked: DataFrame, cases: DataFrame, kinds: list[str]) -> DataFrame:
+    """The checked cases of some kinds; cases(case_id, kind)."""
+    return checked.join(cases.where(F.col("kind").isin(kinds)).select("case_id", "kind"), "case_id")
+
+
+def report_counts(metrics: DataFrame) -> DataFrame:
+    """How many metrics were measured and not, and how many of those measured are perfect."""
+    measured = F.col("status") == "measured"
+    return metrics.agg(
+        F.count_if(measured).alias("measured"), F.count_if(~measured).alias("not_measured"),
+        F.count_if(measured & (F.col("value") == 100)).alias("passed"),
+    )
+
+
 def indexed_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
     """Upper-middle median and p95, both elements of the data, per key.
 

@@ -10,13 +10,14 @@ from lacuna.workload import (
     evaluation,
     geography,
     passages,
+    readings,
     reports,
     retrieval,
     statements,
     structure,
 )
 
-MODULES = [documents, structure, passages, retrieval, geography, statements, checks, reports, evaluation]
+MODULES = [documents, structure, passages, retrieval, geography, statements, checks, reports, readings, evaluation]
 
 
 def all_queries() -> dict:

@@ -69,6 +69,12 @@ def grounding(spark, sf_dir):
     return finish(C.ungrounded(C.sentence_support(said, known)))
 
 
+def verification_rows(spark, sf_dir):
+    """The sentences of answers that the questions' words do not carry, one by one."""
+    said, known = _spoken(spark, sf_dir)
+    return finish(C.verification_rows(C.sentence_support(said, known), said))
+
+
 _SUPPORT = rf"""sentences AS (
   SELECT conv_id AS finding_id, turn AS id, generate_subscripts(s, 1) - 1 AS sentence_no, unnest(s) AS sentence
   FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM conversations WHERE role = 'assistant')
@@ -106,6 +112,8 @@ QUERIES = {
     "sentence_support": (sentence_support, f"WITH {_SUPPORT} SELECT * FROM support"),
     "grounding": (grounding, f"""WITH {_SUPPORT} SELECT finding_id, id, count(*) FILTER (NOT supported) AS unsupported_sentences,
   min(sentence_no) FILTER (NOT supported) AS first_unsupported FROM support GROUP BY ALL HAVING count(*) FILTER (NOT supported) > 0"""),
+    "verification_rows": (verification_rows, f"""WITH {_SUPPORT} SELECT finding_id, id AS statement_id, 'require_verification' AS action, sentence_no, sentence
+  FROM support JOIN sentences USING (finding_id, id, sentence_no) WHERE NOT supported"""),
     "findings_by_action": (findings_by_action, f"WITH {_FOUND} SELECT finding_id, action, count(*) AS n FROM found GROUP BY ALL"),
     "checks_with_findings": (checks_with_findings, f"WITH {_FOUND} SELECT c.check_name, count(f.id) AS n FROM {_RAN} LEFT JOIN found f USING (check_name) GROUP BY 1"),
 }

@@ -48,7 +48,7 @@ def _inputs(spark, sf_dir):
     k = F.col("doc_id")
     cases = read_table(spark, sf_dir, "labels").select(
         k.alias("case_id"),
-        F.when(F.col("quality") == 1, F.array(k % 17 + 2)).otherwise(F.array().cast("array<bigint>")).alias("expected_pages"),
+        F.when(F.col("quality") == 1, F.array(k % 17 + 1 + k % 2)).otherwise(F.array().cast("array<bigint>")).alias("expected_pages"),
         F.when(F.col("toxic") == 0, "the").alias("expected_phrase"),
         F.when(k % 3 == 0, 5).alias("blind_first"),
         F.when(k % 3 == 0, 7).alias("blind_last"),
@@ -73,7 +73,7 @@ def case_checks(spark, sf_dir):
 _CHECKS = """checks AS (
   SELECT doc_id AS case_id,
     CASE WHEN quality = 1 THEN doc_id % 7 <> 3 END AS page_recall,
-    CASE WHEN quality = 1 THEN false END AS page_precision_at_1,
+    CASE WHEN quality = 1 THEN doc_id % 7 <> 3 AND doc_id % 2 = 0 END AS page_precision_at_1,
     CASE WHEN toxic = 0 THEN doc_id % 7 <> 3 AND contains(lower(text || ' ' || text), 'the') END AS phrase_found,
     CASE WHEN doc_id % 3 = 0 THEN 5 - doc_id % 2 <= 5 AND 6 + doc_id % 4 >= 7 END AS blind_spot_reported,
     CASE WHEN doc_id % 4 = 1 THEN doc_id % 3 <> 0 END AS no_false_blind_spot,
@@ -102,6 +102,18 @@ def metric_report(spark, sf_dir):
     return E.report(check_tally(spark, sf_dir))
 
 
+def checks_of_kind(spark, sf_dir):
+    """Checked cases of two of four kinds; a label's kind is what it says of the text."""
+    kind = F.concat_ws("-", F.when(F.col("quality") == 1, "good").otherwise("poor"), F.when(F.col("toxic") == 1, "toxic").otherwise("mild"))
+    cases = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), kind.alias("kind"))
+    kept = E.of_kind(case_checks(spark, sf_dir), cases, ["good-toxic", "poor-mild"])
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"))
+
+
+def report_counts(spark, sf_dir):
+    return E.report_counts(metric_report(spark, sf_dir))
+
+
 _TALLY = " UNION ALL ".join(
     f"SELECT '{c}' AS \"check\", count(*) FILTER ({c}) AS hits, count({c}) AS total, "
     f"coalesce(round(100 * count(*) FILTER ({c}) / nullif(count({c}), 0), 1), 0.0) AS percent FROM checks" for c in NAMES)
@@ -144,6 +156,10 @@ QUERIES = {
     "metric_report": (metric_report, f"""WITH {_CHECKS}, t AS ({_TALLY})
 SELECT {_METRIC} AS name, 'measured' AS status, percent AS value, '%' AS unit, hits AS numerator, total AS denominator, NULL::VARCHAR AS reason_not_measured FROM t
 UNION ALL SELECT unnest({V.UNMEASURED_METRICS}), 'not_measured', NULL, '%', NULL, NULL, 'No language model configured; this run generates no prose.'"""),
+    "checks_of_kind": (checks_of_kind, f"""WITH {_CHECKS}, k AS (SELECT doc_id AS case_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END || '-' || CASE WHEN toxic = 1 THEN 'toxic' ELSE 'mild' END AS kind FROM labels)
+SELECT kind, count(*) AS cases, count(*) FILTER ({_PASSED}) AS passed FROM checks JOIN k USING (case_id) WHERE kind IN ('good-toxic', 'poor-mild') GROUP BY kind"""),
+    "report_counts": (report_counts, f"""WITH {_CHECKS}, t AS ({_TALLY})
+SELECT count(*) AS measured, {len(V.UNMEASURED_METRICS)}::BIGINT AS not_measured, count(*) FILTER (percent = 100) AS passed FROM t"""),
     "latency_quantiles": (latency_quantiles, _LATENCY),
     "highlight_span": (highlight_span, """SELECT doc_id, length(substr(text, 1, doc_id % 300))::BIGINT AS n_before,
   CASE WHEN doc_id % 300 >= length(text) THEN '' ELSE substr(text, doc_id % 300 + 1, 200) END AS marked, greatest(length(text) - (doc_id % 300 + 200), 0)::BIGINT AS n_after FROM documents"""),
