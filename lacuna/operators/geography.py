@@ -36,20 +36,22 @@ def features_around(sites: DataFrame, features: DataFrame) -> DataFrame:
     """(site, feature) pairs within the category's radius.
 
     sites(site, latitude, longitude); features(feature_id, category, name,
-    latitude, longitude).  Each site names the grid cells its widest search box
-    touches and meets features on the cell, so candidates stay local.
+    latitude, longitude).  For each category a site names the grid cells that a box
+    of the category's radius touches, and meets features on category and cell, so
+    a category with a short reach is not looked for further.
     """
-    widest = max(r for _, r, _ in V.QUERY_PLAN)
-    dlat = F.lit(widest / _DEGREE_M)
-    dlon = dlat / F.greatest(F.lit(0.01), F.cos(F.radians(F.abs("site_latitude") + dlat)))
+    reaches = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(r / _DEGREE_M).alias("dlat")) for c, r, _ in V.QUERY_PLAN))
     located = sites.select(
-        "site", F.col("latitude").alias("site_latitude"), F.col("longitude").alias("site_longitude")
+        "site", F.col("latitude").alias("site_latitude"), F.col("longitude").alias("site_longitude"), F.inline(reaches)
     )
+    dlat = F.col("dlat")
+    dlon = dlat / F.greatest(F.lit(0.01), F.cos(F.radians(F.abs("site_latitude") + dlat)))
     lat_cells = F.sequence(_lat_cell(F.col("site_latitude") - dlat), _lat_cell(F.col("site_latitude") + dlat))
     lon_cells = F.sequence(_lon_cell(F.col("site_longitude") - dlon), _lon_cell(F.col("site_longitude") + dlon))
     spread = (
         located.withColumn("_y", F.explode(lat_cells))
         .withColumn("_x", F.explode(F.array_distinct(F.transform(lon_cells, lambda x: F.pmod(x, F.lit(_LON_CELLS))))))
+        .drop("dlat")
     )
     placed = features.withColumn("_y", _lat_cell(F.col("latitude"))).withColumn(
         "_x", F.pmod(_lon_cell(F.col("longitude")), F.lit(_LON_CELLS))
@@ -58,7 +60,7 @@ def features_around(sites: DataFrame, features: DataFrame) -> DataFrame:
         F.col("site_latitude"), F.col("site_longitude"), F.col("latitude"), F.col("longitude")
     )
     return (
-        placed.join(spread, ["_y", "_x"])
+        placed.join(spread, ["category", "_y", "_x"])
         .withColumn("_exact", distance)
         .where(F.col("_exact") <= _radius_of(F.col("category")))
         .withColumn("distance_m", F.round("_exact", 1))
