@@ -55,20 +55,30 @@ def blind_regions(chunks: DataFrame) -> DataFrame:
     )
 
 
-def region_scores(regions: DataFrame, weights: DataFrame) -> DataFrame:
-    """Lexical match of every (question, region) pair that shares a term.
-
-    `weights` holds one row per question and term with its idf.
-    """
+def region_terms(regions: DataFrame) -> DataFrame:
+    """Terms of each region's introduction with their counts."""
     described = regions.select(*REGION, T.terms("descriptor").alias("terms"))
-    posted = (
+    return (
         X.unnest(described.withColumn("length", F.size("terms")), "terms", "term")
         .groupBy(*REGION, "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+
+
+def region_scores(regions: DataFrame, weights: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Lexical match of (question, region) pairs: those given, or all that share a term.
+
+    `weights` holds one row per question and term with its idf.  With `pairs`, a
+    term that many questions ask for meets only the regions that are asked about.
+    """
+    known = weights.select("query_id", "document_id", "term", "idf")
+    posted = region_terms(regions)
+    if pairs is None:
+        met = posted.join(known, ["document_id", "term"])
+    else:
+        met = posted.join(pairs.select("query_id", *REGION), REGION).join(known, ["query_id", "document_id", "term"])
     return (
-        posted.join(weights.select("query_id", "document_id", "term", "idf"), ["document_id", "term"])
-        .groupBy(*REGION, "query_id")
+        met.groupBy(*REGION, "query_id")
         .agg(
             (F.sum(F.col("idf") * F.col("tf")) / (1 + F.ln(1 + F.max("length")))).alias("match_score"),
             F.array_sort(F.collect_list("term")).alias("matched_terms"),
@@ -83,6 +93,12 @@ def region_scores(regions: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
+def on_topic(regions: DataFrame, weights: DataFrame) -> DataFrame:
+    """(question, region) pairs that share a distinctive term, without which none is relevant."""
+    rare = weights.where(F.col("idf") >= V.DISTINCTIVE_IDF).select("query_id", "document_id", "term")
+    return region_terms(regions).join(rare, ["document_id", "term"]).select("query_id", *REGION).distinct()
+
+
 def near_hits(regions: DataFrame, hits: DataFrame) -> DataFrame:
     """(question, region) pairs with a hit within three pages of the region.
 
@@ -106,8 +122,9 @@ def near_hits(regions: DataFrame, hits: DataFrame) -> DataFrame:
 def match_regions(regions: DataFrame, weights: DataFrame, hits: DataFrame) -> DataFrame:
     """Regions to report per question: on topic, or next to a hit that passed the floor."""
     pair = ["query_id", *REGION]
-    scored = region_scores(regions, weights)
-    near = near_hits(regions, hits).withColumn("near_hit", F.lit(True))
+    near = near_hits(regions, hits)
+    scored = region_scores(regions, weights, on_topic(regions, weights).union(near).distinct())
+    near = near.withColumn("near_hit", F.lit(True))
     reported = (
         scored.join(near, pair, "full")
         .withColumn("query_relevant", F.coalesce("query_relevant", F.lit(False)))

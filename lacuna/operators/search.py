@@ -89,21 +89,15 @@ def relevant_postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
 def query_weights(posted: DataFrame, asked: DataFrame) -> DataFrame:
     """(query, term) with multiplicity, idf and document statistics.
 
-    The empty term's row holds the document's chunk count and total length; it is
-    spread over the document's asked-for terms, of which there are few.
+    The empty term, one row per chunk, gives a document's chunk count and total length.
     """
-    marker = F.col("term") == ""
-    whole = Window.partitionBy("document_id")
+    totals = posted.where(F.col("term") == "").groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("length").alias("_terms"))
     frequency = (
         posted.groupBy("document_id", "term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("_terms"))
-        .withColumn("_all", F.max(F.when(marker, F.struct("df", "_terms"))).over(whole))
-        .select(
-            "document_id",
-            "term",
-            (F.col("_all._terms") / F.col("_all.df")).alias("avg_len"),
-            idf(F.col("df"), F.col("_all.df")).alias("idf"),
-        )
+        .agg(F.count(F.lit(1)).alias("df"))
+        .join(totals, "document_id")
+        .select("document_id", "term", (F.col("_terms") / F.col("_n")).alias("avg_len"), idf(F.col("df"), F.col("_n")).alias("idf"))
     )
     return (
         asked.groupBy("query_id", "document_id", "term")
