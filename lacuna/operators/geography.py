@@ -19,15 +19,9 @@ def _lon_cell(lon: Column) -> Column:
     return F.floor((lon + 180) / _CELL).cast("long")
 
 
-def query_plan(spark) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, c, r) for i, (c, r, _) in enumerate(V.QUERY_PLAN)], "category_order int, category string, radius_m int"
-    )
-
-
 def _radius_of(category: Column) -> Column:
     out = F
-    for name, radius, _ in V.QUERY_PLAN:
+    for name, radius in V.QUERY_PLAN:
         out = out.when(category == name, radius)
     return out.otherwise(None)
 
@@ -40,7 +34,7 @@ def features_around(sites: DataFrame, features: DataFrame) -> DataFrame:
     of the category's radius touches, and meets features on category and cell, so
     a category with a short reach is not looked for further.
     """
-    reaches = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(r / _DEGREE_M).alias("dlat")) for c, r, _ in V.QUERY_PLAN))
+    reaches = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(r / _DEGREE_M).alias("dlat")) for c, r in V.QUERY_PLAN))
     located = sites.select(
         "site", F.col("latitude").alias("site_latitude"), F.col("longitude").alias("site_longitude"), F.inline(reaches)
     )

@@ -73,7 +73,7 @@ def panel_of(text: Column) -> Column:
     """The first panel whose keyword occurs; a fact is shown in one panel only."""
     low = F.lower(text)
     out = F
-    for key, _, keywords in V.PANELS:
+    for key, keywords in V.PANELS:
         hit = F.lit(False)
         for word in keywords:
             hit = hit | F.contains(low, F.lit(word))
@@ -86,7 +86,7 @@ def site_panels(facts: DataFrame, findings: DataFrame) -> DataFrame:
 
     The constraints panel never has facts: no open source fills it.
     """
-    keys = [k for k, _, _ in V.PANELS] + ["constraints"]
+    keys = [k for k, _ in V.PANELS] + ["constraints"]
     all_panels = findings.select(
         "finding_id", F.posexplode(F.array(*[F.lit(k) for k in keys])).alias("panel_order", "panel")
     )

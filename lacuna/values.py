@@ -92,18 +92,18 @@ AREA_PLACE_TYPES = [
     "suburb", "neighbourhood", "quarter", "city", "town", "village", "state", "county",
     "administrative", "postcode", "residential", "city_district",
 ]
-# category -> search radius in metres, with the element filters asked for.
+# Category and search radius in metres.
 QUERY_PLAN = [
-    ("rail_station", 3000, ['node["railway"="station"]', 'node["railway"="halt"]', 'node["station"="subway"]']),
-    ("bus_stop", 1000, ['node["highway"="bus_stop"]']),
-    ("major_road", 1000, ['way["highway"="motorway"]', 'way["highway"="trunk"]', 'way["highway"="primary"]']),
-    ("water", 1200, ['way["natural"="water"]', 'relation["natural"="water"]']),
-    ("stream", 1200, ['way["waterway"="stream"]', 'way["waterway"="drain"]', 'way["waterway"="river"]']),
-    ("hospital", 3000, ['node["amenity"="hospital"]', 'way["amenity"="hospital"]']),
-    ("school", 2000, ['node["amenity"="school"]', 'way["amenity"="school"]']),
-    ("park", 1500, ['way["leisure"="park"]', 'node["leisure"="park"]']),
+    ("rail_station", 3000),
+    ("bus_stop", 1000),
+    ("major_road", 1000),
+    ("water", 1200),
+    ("stream", 1200),
+    ("hospital", 3000),
+    ("school", 2000),
+    ("park", 1500),
 ]
-CATEGORIES = [c for c, _, _ in QUERY_PLAN]
+CATEGORIES = [c for c, _ in QUERY_PLAN]
 # (category, [(tag key, accepted values)]) in matching order.
 CATEGORY_RULES = [
     ("rail_station", [("railway", ["station", "halt"]), ("station", ["subway"])]),
@@ -168,12 +168,12 @@ DIMENSIONS = [
     ("density", "Mapped feature density", ["features mapped near this point"]),
 ]
 PANELS = [
-    ("location", "Location & administrative context", ["resolves to"]),
-    ("mobility", "Mobility & surrounding features", ["rail station", "bus stop", "major road", "features mapped"]),
-    ("water", "Water & watercourses", ["water", "stream"]),
-    ("amenities", "Amenities", ["hospital", "school", "park"]),
-    ("climate", "Climate observations", ["precipitation", "rainfall"]),
-    ("terrain", "Terrain", ["elevation", "relief"]),
+    ("location", ["resolves to"]),
+    ("mobility", ["rail station", "bus stop", "major road", "features mapped"]),
+    ("water", ["water", "stream"]),
+    ("amenities", ["hospital", "school", "park"]),
+    ("climate", ["precipitation", "rainfall"]),
+    ("terrain", ["elevation", "relief"]),
 ]
 # How much a sentence quotes of a region's introduction, and how many claims a conflict names.
 SHOWN_CHARS = 170

@@ -167,7 +167,7 @@ def hav_sql(a, b, c, d):
 _CLAT, _CLON = "(12.85::DOUBLE + (c_custkey % 211) / 1000.0)", "(77.50::DOUBLE + (c_custkey * 7 % 223) / 1000.0)"
 _SLAT, _SLON = "(12.85::DOUBLE + (s_suppkey * 13 % 197) / 1000.0)", "(77.50::DOUBLE + (s_suppkey * 17 % 199) / 1000.0)"
 _CAT = "CASE c_custkey % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(TAGS) if c) + " END"
-_RADIUS = "CASE category " + " ".join(f"WHEN '{c}' THEN {r}" for c, r, _ in V.QUERY_PLAN) + " END"
+_RADIUS = "CASE category " + " ".join(f"WHEN '{c}' THEN {r}" for c, r in V.QUERY_PLAN) + " END"
 AROUND = f"""features AS (
   SELECT c_custkey AS feature_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, {_CLAT} AS lat, {_CLON} AS lon, {_CAT} AS category FROM customer
 ), sites AS (SELECT s_suppkey AS site, {_SLAT} AS slat, {_SLON} AS slon FROM supplier

@@ -277,8 +277,8 @@ _CELLS = f"""{SITE}, cells AS (
     count(f.text) > 0 AS established
   FROM sites s CROSS JOIN {_DIMS} LEFT JOIN st f ON f.finding_id = s.site::VARCHAR AND f.type = 'fact' AND contains(lower(f.text), keyword)
   GROUP BY ALL)"""
-_PANEL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}'" for k, _, ws in V.PANELS) + " END"
-_PANELS = "(VALUES " + ", ".join(f"('{k}')" for k in [k for k, _, _ in V.PANELS] + ["constraints"]) + ") AS p(panel)"
+_PANEL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in V.PANELS) + " END"
+_PANELS = "(VALUES " + ", ".join(f"('{k}')" for k in [k for k, _ in V.PANELS] + ["constraints"]) + ") AS p(panel)"
 
 QUERIES = {
     "conflict_rules": (conflict_rules, f"WITH {_SIDES} SELECT finding_id, kind, title, measured_side, regulatory_side, resolvability, severity, related, n_resolvers FROM found"),
