@@ -15,7 +15,8 @@ that links reach.
 4. The token-group matrix holds the union of the groups' tokens.  A class can only
    link with a member of a group whose union holds one of its probing tokens: that
    bounds the overlap.  Tokens that occur in one group alone open nothing.  For the
-   others, classes of different groups are compared, if sizes allow a link.
+   others, classes of different groups are compared, if their sizes and what is left
+   of both from the token on allow a link.
 5. A comparison first looks at parity sketches, whose distance is a lower bound of
    the sets' difference; only pairs that pass are compared shingle by shingle.
 
@@ -35,20 +36,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lacuna.llm.common import read, stored
+from lacuna.llm.common import read, stored, whole_text
 from lacuna.llm.links import components
 from lacuna.llm.words import SPACE, mix, window_hashes, word_hashes
 
 WIDTH = 5
 PERCENT = 80
-#: Bits of a parity sketch.
-SKETCH = 1024
+#: Least bits of a parity sketch; it has about as many as its set has tokens.
+SKETCH = 256
 #: Texts handled at once in a task.
 SLICE = 256
 #: A shingle is common from so many documents on, as far as the partial counts show.
-COMMON = 24
+COMMON = 8
 #: Partial counts below this stay in their task.
-PARTIAL = 3
+PARTIAL = 2
 #: Common shingles told to every task, the most frequent first: 16 bytes each.
 MAX_COMMON = 1_000_000
 
@@ -69,11 +70,35 @@ def digest(tokens: np.ndarray) -> int:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parity of how many tokens fall on each bit."""
-    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    """Parity of how many tokens fall on each bit; the number of bits is a power of two."""
+    bits = max(SKETCH, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else SKETCH
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def least_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of how many tokens two sets do not share, from their sketches.
+
+    The longer sketch is folded to the length of the other: the parity of a bit of
+    half as many is that of the two bits it takes over.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "little")
+    for half in (4 * n for n in _halves(len(a), len(b))):
+        x = (x >> half) ^ (x & ((1 << half) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _halves(longer: int, shorter: int) -> list[int]:
+    """Byte lengths from the longer down to twice the shorter."""
+    out = []
+    while longer > shorter:
+        out.append(longer)
+        longer //= 2
+    return out
+
+
 def probing(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The tokens of which similar sets share one: the rarest, by (count if common, hash)."""
     n = len(tokens)
@@ -129,7 +154,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """doc_id, set digest `key`, set size `n` and sketch of every row."""
+    """doc_id, text_key, set digest `key`, set size `n` and sketch of every row."""
 
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -139,11 +164,12 @@ def members(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(found, columns=["key", "n", "sketch"])
 
     measured = F.pandas_udf(measure, "key long, n int, sketch binary")
-    return docs.select("doc_id", measured("text").alias("m")).select("doc_id", "m.*")
+    named = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), measured("text").alias("m"))
+    return named.select("doc_id", "text_key", "m.*")
 
 
 def probes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """token, key, n: a row for each probing token of each class."""
+    """token, key, n, at: a row for each probing token of each class, with its place in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MAX_COMMON entries
 
     def rows(b: pd.DataFrame) -> pd.DataFrame:
@@ -154,20 +180,35 @@ def probes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
         sizes = [len(t) for t in tokens]
         return pd.DataFrame({
             "token": np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64),
-            "key": np.repeat(np.array([digest(s) for s in sets], np.int64), sizes), "n": np.repeat([len(s) for s in sets], sizes)})
+            "key": np.repeat(np.array([digest(s) for s in sets], np.int64), sizes), "n": np.repeat([len(s) for s in sets], sizes),
+            "at": np.concatenate([*map(np.arange, sizes), np.zeros(0, int)])})
 
-    return _by_text(docs.select("text"), "token long, key long, n int", rows)
+    return _by_text(docs.select("text"), "token long, key long, n int, at int", rows)
 
 
 def lists(probed: DataFrame) -> DataFrame:
-    """Tokens of more than one class: token, key, n, and the list's leader, its smallest set."""
-    order = Window.partitionBy("token").orderBy("n", "key")
-    leader = [F.first(c).over(order).alias(f"leader_{c}") for c in ("key", "n")]
+    """Tokens of more than one class: token, key, n, at, and the same of the list's leader.
+
+    The leader is the class with the fewest rarer tokens before this one: of a family
+    of near copies the original, or what is nearest to it.
+    """
+    order = Window.partitionBy("token").orderBy("at", "n", "key")
+    leader = [F.first(c).over(order).alias(f"leader_{c}") for c in ("key", "n", "at")]
     rows = probed.select("*", *leader, F.lead("key").over(order).alias("next"), F.lag("key").over(order).alias("last"))
     # Copies of a class in one list stand side by side.
     fresh = F.col("last").isNull() | (F.col("last") != F.col("key"))
     alone = F.col("last").isNull() & F.col("next").isNull()
-    return rows.where(fresh & ~alone).select("token", "key", "n", "leader_key", "leader_n")
+    return rows.where(fresh & ~alone).drop("last", "next")
+
+
+def _room(x: str, y: str, percent: int) -> str:
+    """Whether two classes can link whose first common token is the row's.
+
+    Before it they share nothing, so what they share is at most what is left from it
+    on.  Every link has a row, that of its first common token, for which this holds.
+    """
+    left = f"least({x}n - {x}at, {y}n - {y}at)"
+    return f"{100 + percent} * {left} >= {percent} * ({x}n + {y}n) AND 100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n)"
 
 
 def _could_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -175,11 +216,10 @@ def _could_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def least_apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint8) ^ np.frombuffer(b"".join(b), np.uint8)
-        return pd.Series(np.bitwise_count(x.reshape(len(a), -1)).sum(axis=1, dtype=np.int64))
+    def bound(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([least_apart(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
-    apart = F.pandas_udf(least_apart, "long")("sketch_a", "sketch_b")
+    apart = F.pandas_udf(bound, "long")("sketch_a", "sketch_b")
     # Of x + y tokens in all, a link has at most (100 - percent) / (100 + percent) not in both.
     room = (F.col("n_a") + F.col("n_b")) * (100 - percent)
     return both.withColumn("apart", apart).where(F.col("apart") * (100 + percent) <= room).select("a", "b")
@@ -224,23 +264,18 @@ def class_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> Dat
     classes = stored(rows.where("n > 0").groupBy("key").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "classes")
     listed = stored(lists(probes(docs, common_shingles(docs), percent)), "token-lists")
-    fits = f"100 * n_small >= {percent} * n_large"
-    led = (
-        listed.where("key != leader_key").selectExpr("leader_key", "key", "leader_n AS n_small", "n AS n_large")
-        .where(fits).select(*_ordered("leader_key", "key")).distinct()
-    )
+    led = listed.where("key != leader_key").where(_room("", "leader_", percent)).select(*_ordered("leader_key", "key")).distinct()
     led = stored(led, "leader-pairs")
     first = stored(verified(led, classes, docs, percent), "leader-links")
     groups = components(first)
     # The matrix: which groups have which token.
-    grouped = listed.select("token", "key", "n").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
+    grouped = listed.select("token", "key", "n", "at").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
     grouped = stored(grouped, "token-groups")
     opened = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("token")
     still = stored(grouped.join(opened, "token", "left_semi"), "open-tokens")
     x, y = still.alias("x"), still.alias("y")
     pairs = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
-               & (F.col("x.n") * 100 >= F.col("y.n") * percent))
+        x.join(y, F.expr(f"x.token = y.token AND x.group < y.group AND {_room('x.', 'y.', percent)}"))
         .select(*_ordered("x.key", "y.key")).distinct().join(led, ["a", "b"], "left_anti")
     )
     second = verified(pairs, classes, docs, percent)
@@ -248,20 +283,43 @@ def class_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, text_key, n_shingles, component_id and `kept` of every row.
+
+    Of each class the row with the smallest id (then text) is kept, and every row
+    without a set; rows that are the same in id and text are so in this too.
+    """
     rows = stored(members(docs), "shingle-members")
     groups = class_links(docs, rows, percent)
-    smallest = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    of_class = smallest.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
-    of_class = stored(of_class, "class-least")
-    of_group = of_class.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = of_class.join(of_group, "group").select("key", "component_id")
-    out = rows.where("n > 0").select("doc_id", "key", "n").join(named, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.unionAll(rows.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    least = rows.where("n > 0").groupBy("key").agg(F.min(row).alias("least"))
+    of_class = stored(least.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key")), "class-least")
+    of_group = of_class.groupBy("group").agg(F.min("least").alias("first"))
+    named = of_class.join(of_group, "group").select("key", "first")
+    size = F.col("n").cast("long").alias("n_shingles")
+    linked = rows.where("n > 0").join(named, "key").select(
+        "doc_id", "text_key", size, F.col("first.doc_id").alias("component_id"), (row == F.col("first")).alias("kept"))
+    alone = rows.where("n = 0").select("doc_id", "text_key", size, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionAll(alone)
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents with one of each class, and all without a set; columns as they came.
+
+    Rows are joined to their verdicts by id and text.  Rows the same in both are
+    merged in their tasks first, and stand again where they are no copies of anything.
+    """
+    verdict = similar_documents(docs, percent).where("kept").groupBy("doc_id", "text_key").agg(F.max("n_shingles").alias("n"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"))
+    merged = rows.groupBy("id", "text_key").agg(F.first("doc").alias("doc"), F.count("*").cast("int").alias("copies"))
+    v = verdict.withColumnsRenamed({"doc_id": "v_id", "text_key": "v_key"})
+    kept = merged.join(v, F.col("id").eqNullSafe(F.col("v_id")) & (F.col("text_key") == F.col("v_key")))
+    times = F.when(F.col("n") > 0, 1).otherwise(F.col("copies"))
+    out = kept.select("doc", F.explode(F.array_repeat(F.lit(0), times)))
+    return out.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(read(spark, sf_dir, "documents"))
+    return similar_documents(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op4_ngram_jaccard_join": (op4_ngram_jaccard_join, None)}

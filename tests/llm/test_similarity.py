@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from odd_rows import ROWS, clashing, folder, table
 
@@ -45,6 +46,19 @@ def run(spark, path):
     return sorted((tuple(r) for r in S.op4_ngram_jaccard_join(spark, path).collect()), key=key)
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 200, 300, 900, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for keep in (0.0, 0.5, 0.9, 1.0):
+            y = np.unique(np.concatenate([x[: int(keep * len(x))], rng.integers(0, 1 << 63, n // 3 + 1, dtype=np.uint64)]))
+            apart = S.least_apart(S.sketch(x), S.sketch(y))
+            assert apart <= len(np.setxor1d(x, y)) and apart == S.least_apart(S.sketch(y), S.sketch(x))
+        assert S.least_apart(S.sketch(x), S.sketch(x)) == 0
+        other = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert n < 100 or S.least_apart(S.sketch(x), S.sketch(other)) > 2 * n / 9
+
+
 def test_odd_rows(spark, tmp_path):
     docs = ROWS + [(None, "same text twice", "x", "x"), (40, "SAME  text\ntwice", "x", "x"), (41, "a b c d e f g h i j k l m", "x", "x"), (42, "a b c d e f g h i j k l m n", "x", "x")]
     assert run(spark, folder(clashing(table(spark, docs)), tmp_path)) == sorted(plain(docs), key=key)
