@@ -20,10 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from lacuna.llm.common import read
 
@@ -33,7 +35,7 @@ BYTE_PENALTY = 10.0
 #: Pieces with scores below this are in the vocabulary but not used.
 UNUSED = -1e8
 #: Words whose cuts a task remembers before it starts afresh, and texts handled at once.
-MEMO = 300_000
+MEMO = 200_000
 SLICE = 128
 
 _WORD = re.compile(" +[^ ]*")
@@ -196,6 +198,8 @@ class Coder:
         # A word of n characters has n + 1 states.  Edges are followed by the distance of
         # their start from the word's, and by length: no two of a step meet in one state.
         step = (start - begin[word[start]]) * (self.v.longest + 1) + length
+        if step.max() < 1 << 15:
+            step = step.astype(np.int16)  # sorted by radix
         order = np.argsort(step, kind="stable")
         start, length, piece, score = start[order], length[order], piece[order], score[order]
         state = start + word[start]
@@ -220,15 +224,16 @@ class Coder:
         owner, edge = (np.concatenate(x) for x in zip(*reversed(taken), strict=True))
         order = np.argsort(owner, kind="stable")
         owner, edge = owner[order], edge[order]
-        ids, bounds = piece[edge].astype(np.int32), np.searchsorted(owner, np.arange(len(words) + 1))
-        for n, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            cut = ids[a:b]
-            if cut.min() < 0:
-                chars = points[start[edge[a:b]]]
-                cut = np.concatenate([
-                    self.v.byte_piece[list(chr(c).encode("utf-8", "surrogatepass"))] if i < 0 else [i]
-                    for i, c in zip(cut, chars, strict=True)]).astype(np.int32)
-            self.known[words[n]] = cut.tobytes()
+        ids, bounds = piece[edge].astype(np.int32), np.searchsorted(owner, np.arange(len(words) + 1)) * 4
+        raw, at = ids.tobytes(), bounds.tolist()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        for n in np.unique(owner[ids < 0]):
+            a, b = bounds[n] // 4, bounds[n + 1] // 4
+            parts = [
+                self.v.byte_piece[list(chr(c).encode("utf-8", "surrogatepass"))] if i < 0 else [i]
+                for i, c in zip(ids[a:b], points[start[edge[a:b]]], strict=True)
+            ]
+            self.known[words[n]] = np.concatenate(parts).astype(np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Piece ids of each whole text."""
@@ -246,29 +251,28 @@ class Coder:
         return self.v.blob[at].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
-def _coded(docs: DataFrame, vocabulary: Vocabulary) -> Column:
-    """ids, and whether decoding gives back the text; both from the whole text."""
+def encoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", exact: str = "round_trip") -> DataFrame:
+    """The documents with their piece ids and whether these decode to the same text.
+
+    Results leave a task in small batches, whatever the size of those that come in.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary
+    at_text = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
-        for texts in batches:
-            ids, exact = [], []
-            for at in range(0, len(texts), SLICE):
-                part = texts.iloc[at : at + SLICE].tolist()
-                found = coder.encode(part)
-                ids += found
-                exact += [coder.decode(f) == (t or "") for f, t in zip(found, part, strict=True)]
-            yield pd.DataFrame({"ids": ids, "exact": exact})
-
-    return F.pandas_udf(run, "ids array<int>, exact boolean")(F.col("text"))
-
-
-def encoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", exact: str = "round_trip") -> DataFrame:
-    """The documents with their piece ids and whether these decode to the same text."""
-    names = [F.col("doc")[c].alias(c) for c in docs.columns]
-    coded = docs.select(F.struct(*docs.columns).alias("doc"), _coded(docs, vocabulary).alias("coded"))
-    return coded.select(*names, F.col("coded.ids").alias(ids), F.col("coded.exact").alias(exact))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = part.column(at_text).to_pylist()
+                found = coder.encode(texts)
+                same = [coder.decode(f) == (t or "") for f, t in zip(found, texts, strict=True)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same, pa.bool_())], [*part.schema.names, ids, exact])
+
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(exact, BooleanType())])
+    return docs.mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", text: str = "text") -> DataFrame:
