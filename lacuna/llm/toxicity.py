@@ -136,10 +136,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Linear:
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"role": b["role"], "f": text_features(b["text"].tolist())})
+            yield pd.DataFrame({"role": b["role"], "f": [f.tobytes() for f in text_features(b["text"].tolist())]})
 
-    rows = texts.select("role", "text").mapInPandas(featured, "role int, f array<int>").collect()
-    by_role = {role: [np.array(r.f, np.int64) for r in rows if r.role == role] for role in (0, 1)}
+    rows = texts.select("role", "text").mapInPandas(featured, "role int, f binary").collect()
+    by_role = {role: [np.frombuffer(r.f, np.int32) for r in rows if r.role == role] for role in (0, 1)}
     return fit(by_role[1], by_role[0], float(prior))
 
 
