@@ -101,6 +101,15 @@ def undifferentiating_rows(spark, sf_dir):
 _SAME = f"""WITH {R._CELLS} SELECT dimension, label FROM cells WHERE site = '0' GROUP BY ALL
 HAVING bool_and(established) AND NOT coalesce(min(value) <> max(value), false)"""
 
+
+def undifferentiating_dimensions(spark, sf_dir):
+    """Dimensions that every site has and none differs in, over all sites."""
+    return O.undifferentiating(O.comparison_rows(R._cells(spark, sf_dir))).select("dimension", "label")
+
+
+_SAME_EVERYWHERE = f"""WITH {R._CELLS} SELECT dimension, label FROM cells GROUP BY ALL
+HAVING bool_and(established) AND NOT coalesce(min(value) <> max(value), false)"""
+
 QUERIES = {
     "climate_reading": (climate_reading, _CLIMATE),
     "terrain_reading": (terrain_reading, _TERRAIN),
@@ -108,4 +117,5 @@ QUERIES = {
     "recording_ages": (recording_ages, _AGES),
     "failed_agents": (failed_agents, _FAILED),
     "undifferentiating_rows": (undifferentiating_rows, _SAME),
+    "undifferentiating_dimensions": (undifferentiating_dimensions, _SAME_EVERYWHERE),
 }
