@@ -11,6 +11,10 @@ window).  The steps:
    intersected on (document, item, offset); what is left is verified word by word in
    the neighbourhoods that the postings carry.
 
+A near match is a stretch of as many words as a window that holds at least `NEAR` of
+the window's words, in any order.  It is found by the rarest words of the window, one
+more than it may lack, and measured in the same neighbourhoods (`all_matches`).
+
 So common terms, which fill most of the texts, have no lists, and texts are never
 shuffled.  Tables made from the benchmark alone are stored and read back, so Spark
 broadcasts them where their true size allows and shuffles beyond that.
@@ -27,7 +31,7 @@ from lacuna.llm.common import read, stored, whole_text
 from lacuna.llm.native_words import words
 
 WINDOW = 10
-#: Share of the words around an anchor in the item that a proximity match has around the posting.
+#: Share of a window's words that a near match has in as many words of the text, in any order.
 NEAR = 0.8
 
 
@@ -49,6 +53,24 @@ def frequencies(docs: DataFrame, items: DataFrame) -> DataFrame:
     return _each_word(docs).select("term").join(asked, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
+def _ranked(items: DataFrame, frequency: DataFrame, width: int) -> DataFrame:
+    """item, s, size of each window, and its places with their terms' frequencies, rarest first (`rare`)."""
+    size = F.least(F.size("words"), F.lit(width))
+    start = F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("s")
+    spots = items.select("item", "words", size.alias("size"), start).select(
+        "item", "size", "s", F.posexplode(F.slice("words", F.col("s") + 1, F.col("size"))).alias("o", "term"))
+    known = stored(frequency, "term-frequencies")
+    n = F.coalesce("n", F.lit(0)).alias("n")
+    return spots.join(known, "term", "left").groupBy("item", "s").agg(
+        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct(n, (F.col("s") + F.col("o")).alias("p")))).alias("rare"))
+
+
+def _places(found: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """item, p, term, and the item's words before and after p, of the places in `found`."""
+    places = found.distinct().join(items.select("item", "words"), "item")
+    return places.select("item", "p", F.expr("words[p]").alias("term"), *_around(F.col("words"), F.col("p"), width, "item_"))
+
+
 def anchors(items: DataFrame, frequency: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The two rarest places of each window.
 
@@ -56,21 +78,30 @@ def anchors(items: DataFrame, frequency: DataFrame, width: int = WINDOW) -> tupl
     item, item_id, size of a window, and `pairs`, the places to intersect.  Both are
     as large as the benchmark.
     """
-    size = F.least(F.size("words"), F.lit(width))
-    start = F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("s")
-    spots = items.select("item", "words", size.alias("size"), start).select(
-        "item", "size", "s", F.posexplode(F.slice("words", F.col("s") + 1, F.col("size"))).alias("o", "term"))
-    known = stored(frequency, "term-frequencies")
-    ranked = spots.join(known, "term").groupBy("item", "s").agg(
-        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", (F.col("s") + F.col("o")).alias("p")))).alias("rare"))
-    # A term that no text has leaves its windows short of words: they cannot occur.
-    found = ranked.where(F.size("rare") == F.col("size")).select("item", "size", F.col("rare")[0]["p"].alias("p1"), F.get("rare", F.lit(1))["p"].alias("p2"))
+    # A window with a term that no text has cannot occur as it is.
+    found = _ranked(items, frequency, width).where(F.col("rare")[0]["n"] > 0).select(
+        "item", "size", F.col("rare")[0]["p"].alias("p1"), F.get("rare", F.lit(1))["p"].alias("p2"))
     found = stored(found.distinct(), "window-anchors")
-    keys = items.select("item", "item_id", "words")
-    pairs = keys.join(found.groupBy("item").agg(F.first("size").alias("size"), F.collect_list(F.struct("p1", "p2")).alias("pairs")), "item")
-    places = found.select("item", F.explode(F.array("p1", "p2")).alias("p")).where("p IS NOT NULL").distinct().join(keys, "item")
-    around = places.select("item", "p", F.expr("words[p]").alias("term"), *_around(F.col("words"), F.col("p"), width, "item_"))
-    return stored(around, "anchors"), stored(pairs.drop("words"), "anchor-pairs")
+    pairs = items.select("item", "item_id").join(
+        found.groupBy("item").agg(F.first("size").alias("size"), F.collect_list(F.struct("p1", "p2")).alias("pairs")), "item")
+    places = found.select("item", F.explode(F.array("p1", "p2")).alias("p")).where("p IS NOT NULL")
+    return stored(_places(places, items, width), "anchors"), stored(pairs, "anchor-pairs")
+
+
+def _needed(size: Column, share: float) -> Column:
+    """How many of so many words are the share."""
+    return F.ceil(F.round(size * share, 6)).cast("int")
+
+
+def near_anchors(items: DataFrame, frequency: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
+    """The places by which all near matches are found: item, p, term, and the item's words before and after p.
+
+    Of its rarest words, one more than a window may lack, a near match has one at
+    least.  Words that no text has are among those it lacks.
+    """
+    few = F.slice("rare", F.lit(1), F.col("size") - _needed(F.col("size"), share) + 1)
+    found = _ranked(items, frequency, width).select("item", F.explode(few).alias("r")).where("r.n > 0").select("item", "r.p")
+    return stored(_places(found, items, width), "near-anchors")
 
 
 def _around(w: Column, at: Column, width: int, prefix: str = "") -> list[Column]:
@@ -124,11 +155,38 @@ def phrases(lists: DataFrame, pairs: DataFrame) -> DataFrame:
         "doc_id", "text_key", "item_id", "begin + x.p - x.a AS low", "begin + x.p + x.b AS high")
 
 
-def proximity(lists: DataFrame, share: float = NEAR) -> DataFrame:
-    """Places with most of the words around an anchor, in any order: doc_id, item, pos, share."""
-    item_words = F.array_distinct(F.concat("item_before", F.array("term"), "item_after"))
-    common = F.size(F.array_intersect(item_words, F.concat("before", F.array("term"), "after"))) / F.size(item_words)
-    return lists.withColumn("share", common).where(F.col("share") >= share).select("doc_id", "text_key", "item", "pos", "share")
+def proximity(lists: DataFrame, share: float = NEAR, width: int = WINDOW) -> DataFrame:
+    """Places with most of a window's words in as many words around an anchor, in any order.
+
+    doc_id, text_key, item, pos, share, and whether the window stands there as it is.
+    A word counts as often as it stands in both.  Only lists of `near_anchors` have all.
+    """
+    runs = lambda w: f"transform(sequence(0, greatest(size({w}) - k, 0)), i -> slice({w}, i + 1, k))"
+    both = "aggregate(array_distinct(w), 0, (t, x) -> t + least(size(filter(w, y -> y = x)), size(filter(d, y -> y = x))))"
+    close = f"filter({runs('item_words')}, w -> size(filter(w, x -> array_contains(doc_words, x))) >= needed)"
+    best = f"coalesce(array_max(flatten(transform({close}, w -> transform({runs('doc_words')}, d -> {both})))), 0)"
+    term = F.array("term")
+    sized = lists.withColumns({
+        "item_words": F.concat(F.reverse("item_before"), term, "item_after"), "doc_words": F.concat(F.reverse("before"), term, "after"),
+    }).withColumn("k", F.least(F.size("item_words"), F.lit(width))).withColumn("needed", _needed(F.col("k"), share))
+    # Outside a window, and by repetition in it, no more distinct words go than places.
+    likely = sized.where("size(array_intersect(item_words, doc_words)) >= size(array_distinct(item_words)) - size(item_words) + needed")
+    exact = _agree(F.col("before"), F.col("item_before")) + _agree(F.col("after"), F.col("item_after")) + 1 >= F.col("k")
+    met = likely.withColumn("exact", exact).withColumn("met", F.when(F.col("exact"), F.col("k")).otherwise(F.expr(best)))
+    return met.where("met >= needed").select("doc_id", "text_key", "item", "pos", (F.col("met") / F.col("k")).alias("share"), "exact")
+
+
+def all_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
+    """Exact and near matches: doc_id, text_key, item_id, exact, and the largest share.
+
+    A row for each document (by id and text) and item; an item without id has rows too.
+    """
+    items = benchmark_items(benchmark)
+    places = near_anchors(items, frequencies(docs, items), width, share)
+    postings = index(docs, stored(places.select("term").distinct(), "anchor-terms"), width)
+    found = proximity(offset_lists(postings, places), share, width)
+    best = found.groupBy("doc_id", "text_key", "item").agg(F.bool_or("exact").alias("exact"), F.max("share").alias("share"))
+    return best.join(items.select("item", "item_id"), "item").drop("item")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -166,6 +224,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = all_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.when(F.col("exact"), "exact").otherwise("near").alias("match"), "share")
+
+
 _SPLIT = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 SQL = rf"""
@@ -184,4 +247,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS
 FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 """
 
-QUERIES = {"op7_benchmark_decontamination": (op7_benchmark_decontamination, SQL)}
+QUERIES = {
+    "op7_benchmark_decontamination": (op7_benchmark_decontamination, SQL),
+    "op7_proximity_matches": (op7_proximity_matches, None),
+}

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from odd_rows import ROWS, clashing, table
@@ -84,3 +86,58 @@ def test_proximity_finds_other_orders(spark):
 def test_no_python_on_the_main_path(spark):
     plan = D.op7_benchmark_decontamination(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan.split("== Physical Plan ==")[1])
+
+
+def near(text, item, share=0.8):
+    """'exact', 'near' or None, by comparing all windows with all stretches."""
+    w, d = split(item), split(text)
+    k = min(10, len(w))
+    need, best = math.ceil(round(k * share, 6)), 0
+    for s in range(len(w) - k + 1) if k else ():
+        for i in range(max(len(d) - k, 0) + 1):
+            if d[i : i + k] == w[s : s + k]:
+                return "exact"
+            best = max(best, (Counter(d[i : i + k]) & Counter(w[s : s + k])).total())
+    return "near" if k and best >= need else None
+
+
+def near_rows(spark, tmp_path, docs, items):
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    items.write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    return sorted(((r.doc_id, r.item_id, r.match) for r in D.op7_proximity_matches(spark, str(tmp_path)).collect()), key=str)
+
+
+def plain_rows(docs, items):
+    found = {(i, t, None if n is None else str(n), x): near(t, x) for i, t, *_ in docs for n, x in items}
+    return sorted(((i, n, m) for (i, _, n, _), m in found.items() if m), key=str)
+
+
+def test_reworded_items_are_near_matches(spark, tmp_path):
+    items = [(1, ITEM), (2, "lazy dogs never answered quixotic letters"), (3, "no such words anywhere"), (None, "nobody owns this item of few words")]
+    docs = ROWS + [
+        (30, "the quick brown fox leaps over the lazy dog and then dozes under an old äpple tree", "en", "a"),
+        (31, "lazy dogs never answered letters", "en", "a"),
+        (32, "the lazy dogs never answered odd letters", "en", "a"),
+        (33, "nobody owns this thing of few words", "en", "a"),
+        (34, ITEM, "en", "a"),
+        (35, "lazy dogs never", "en", "a"),
+    ]
+    got = near_rows(spark, tmp_path, clashing(table(spark, docs)), clashing(spark.createDataFrame(items, "item_id long, text string")))
+    # No text has the word "quixotic"; the item is found by the words that texts have.
+    assert got == plain_rows(docs, items) and {(30, "1", "near"), (31, "2", "near"), (32, "2", "near"), (33, None, "near"), (34, "1", "exact")} <= set(got)
+    assert not {35} & {i for i, *_ in got}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_matches_equal_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(12)]
+    some = lambda lo, hi: " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi)))
+    items = [(i, some(1, 25) + rng.choice(["", " absent"])) for i in range(20)]
+
+    def reworded(text):
+        return " ".join(rng.choice(words + ["odd"]) if rng.random() < 0.15 else w for w in text.split())
+
+    docs = [(i, some(0, 8) + " " + reworded(rng.choice(items)[1].replace("absent", "")) + " " + some(0, 8), "en", "a") for i in range(60)]
+    got = near_rows(spark, tmp_path, table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert got == plain_rows(docs, items) and {"near", "exact"} == {m for *_, m in got}
