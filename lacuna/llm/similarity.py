@@ -8,7 +8,7 @@ that links reach.
 2. The probing tokens of a class are its rarest shingles, so many that two similar
    sets must share one (n - ceil(n * PERCENT / 100) + 1 of n, in one order for all).
    The order puts shingles that many documents share last; which ones those are is
-   counted first, over all documents.
+   counted first, over all documents, from the shingles that a task met more than once.
 3. Groups: classes that share a token are compared with the leader of that token,
    and links make groups.  A family of near copies thus becomes one group at the
    cost of a comparison per token, not per pair.
