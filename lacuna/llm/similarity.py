@@ -42,6 +42,8 @@ from lacuna.llm.words import SPACE, mix, window_hashes, word_hashes
 
 WIDTH = 5
 PERCENT = 80
+#: The characters that separate words.
+SPACES = " \t\n\x0b\x0c\r"
 #: Least bits of a parity sketch; it has about as many as its set has tokens.
 SKETCH = 256
 #: Texts handled at once in a task.
@@ -305,17 +307,16 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each class, and all without a set; columns as they came.
 
-    Rows are joined to their verdicts by id and text.  Rows the same in both are
-    merged in their tasks first, and stand again where they are no copies of anything.
+    Rows are joined to their verdicts by id and text.  Rows with words that are the
+    same in both are merged in their tasks first; rows without any pass as they are.
     """
-    verdict = similar_documents(docs, percent).where("kept").groupBy("doc_id", "text_key").agg(F.max("n_shingles").alias("n"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"))
-    merged = rows.groupBy("id", "text_key").agg(F.first("doc").alias("doc"), F.count("*").cast("int").alias("copies"))
+    worded = F.ltrim(whole_text(), F.lit(SPACES)) != ""
+    verdict = similar_documents(docs, percent).where("kept AND n_shingles > 0").select("doc_id", "text_key").distinct()
+    rows = docs.where(worded).select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"))
+    merged = rows.groupBy("id", "text_key").agg(F.first("doc").alias("doc"))
     v = verdict.withColumnsRenamed({"doc_id": "v_id", "text_key": "v_key"})
-    kept = merged.join(v, F.col("id").eqNullSafe(F.col("v_id")) & (F.col("text_key") == F.col("v_key")))
-    times = F.when(F.col("n") > 0, 1).otherwise(F.col("copies"))
-    out = kept.select("doc", F.explode(F.array_repeat(F.lit(0), times)))
-    return out.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+    kept = merged.join(v, F.col("id").eqNullSafe(F.col("v_id")) & (F.col("text_key") == F.col("v_key")), "left_semi")
+    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns)).unionAll(docs.where(~worded))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,12 @@ def test_repeated_rows(spark, tmp_path):
     rows = [(1, "one two three four five six", "en", "a")] * 3 + [(2, "", "en", "a")] * 2 + [(None, "a b c d e f", "en", "a")] * 2 + ROWS[:1]
     kept = C.drop_near_copies(spark, table(spark, rows), str(tmp_path)).collect()
     assert sorted((r.text for r in kept), key=str) == sorted(["one two three four five six", "", "", "a b c d e f", ROWS[0][1]])
+
+
+def test_rows_without_words_keep_all_their_columns(spark, tmp_path):
+    empty = [(None, "", "en", "a"), (None, None, "de", "b"), (None, "", None, "c"), (7, "", "en", "a"), (7, None, "fr", "b"), (7, "", "en", "d"),
+             (None, " \t\n\x0b\x0c\r", "en", "e"), (8, " ", "en", "f"), (8, " ", "en", "g")]
+    # Other white space is a word here.
+    rows = empty + [(9, " ", "en", "a"), (10, "\x1c", "en", "a"), (11, "one two three", "en", "a"), (12, "one two three", "de", "b")]
+    kept = [tuple(r) for r in C.drop_near_copies(spark, table(spark, rows).repartition(5), str(tmp_path)).collect()]
+    assert sorted(kept, key=repr) == sorted(rows[:-1], key=repr)
