@@ -1,8 +1,9 @@
 """Registered queries of this folder, with their SQL where SQL can say the same."""
 
-from lacuna.llm import decontamination, licenses, pieces, quality_rules, secrets, sharding, similarity, site_quality, token_counts, toxicity
+from lacuna.llm import (decontamination, licenses, pieces, quality_rules, secrets, sharding, similarity, site_quality,
+                        token_counts, toxicity, word_bpe)
 
-MODULES = [quality_rules, sharding, secrets, similarity, site_quality, licenses, decontamination, toxicity, token_counts, pieces]
+MODULES = [quality_rules, sharding, secrets, similarity, site_quality, licenses, decontamination, toxicity, token_counts, pieces, word_bpe]
 
 
 def all_queries() -> dict:
