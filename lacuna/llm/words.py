@@ -95,3 +95,22 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(width):
         total += words[j : n - width + 1 + j] * factors[j]
     return mix(total)
+
+
+def word_spans(texts: Iterable[str | None], word_bytes: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts with a separator behind each, where their words start and end, the words' hashes, and where each text's words begin."""
+    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    begin = np.cumsum([0, *(len(c) + 1 for c in coded)])
+    raw = np.frombuffer(b" ".join([*coded, b""]), np.uint8)
+    if lower:
+        raw = _LOWER[raw]
+    word = word_bytes[raw]
+    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    hashes, at = [], 0
+    while at < len(start):
+        to = max(int(np.searchsorted(end, start[at] + _SLICE, "right")), at + 1)
+        a, b = start[at], end[to - 1]
+        hashes.append(_hash_slice(raw[a:b], word[a:b], None)[1])
+        at = to
+    return raw, start, end, np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.searchsorted(start, begin)
