@@ -9,8 +9,9 @@ than the merges that made them, which their own parts tell.  Back-pointers from
 word's end give the tokens, in time linear in its length.
 
 Normalising and splitting into words follow the vocabulary file.  Neither reaches
-across ASCII white space, so a task remembers tokens by what stands between it, and
-works out only what it has not met.  Special tokens in a text are taken as such.
+across ASCII white space.  Texts of plain characters are split at once, of others what
+stands between white space; a task remembers the tokens of words, and works out only
+those it has not met.  Special tokens in a text are taken as such.
 
 Null and empty texts have no tokens.  A very long text, with or without white space,
 takes memory in proportion to its length.  Repeated rows are encoded each, and their
@@ -32,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from lacuna.llm.common import read
 
@@ -43,10 +45,14 @@ SLICE = 128
 #: Last symbols of words are other symbols than the same bytes inside; this is how far away.
 FINAL = 0x1000
 
-_CHUNK = re.compile("[^ \t-\r]+")
-# How the public vocabulary splits text, and the same for lower-case ASCII without white space.
+# How the vocabulary splits normalised text, and the first letter for bytes that do not show.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+FIRST = 0x100
+
+_CHUNK = re.compile("[^ \t-\r]+")
+#: Characters whose normal form, case and kind are plain: ASCII, Latin letters, usual punctuation; and words of these.
+_OTHER = re.compile("[^ -~\t-\rÀ-ÖØ-öø-ÿ«»‘’“”–—…€]")
+_PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t-\r]+")
 
 
 class Merges:
@@ -88,7 +94,7 @@ class Merges:
             if self.given[i]:
                 self.automaton.add_word(s, i)
         self.automaton.make_automaton()
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known: dict[int, bool] = {}  # by both tokens
 
     def _apart_until(self, left: int, right: int, before: int) -> bool:
         """Whether no merge across the boundary comes before the merge `before`.
@@ -109,32 +115,33 @@ class Merges:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether the symbols of a and b, merged together, give a and b again."""
-        known = self._known.get((a, b))
-        if known is None:
-            if len(self._known) > PAIRS:
-                self._known.clear()
-            known = self._known[a, b] = self._apart_until(a, b, len(self.merge))
+        if len(self._known) > PAIRS:
+            self._known.clear()
+        known = self._known[a << 32 | b] = self._apart_until(a, b, len(self.merge))
         return known
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Tokens of each word of symbols; the words stand one after another, none reaches into the next."""
-        length, final, apart = self.length, self.final, self.apart
-        last = [-1] * (sum(map(len, words)) + 1)  # of each prefix
-        for end, token in self.automaton.iter("".join(words)):
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Tokens of each word of symbols, as 32-bit integers; the words stand one after another, none reaches into the next."""
+        length, final, known = self.length, self.final, self._known
+        text = "".join(words)
+        last = [-1] * (len(text) + 1)  # of each prefix
+        for end, token in self.automaton.iter(text):
             end += 1
             if last[end] < 0:
                 before = last[end - length[token]]
-                if before < 0 or final[before] or apart(before, token):
-                    last[end] = token
-        out, at = [], len(last) - 1
-        for _ in words:
-            tokens = [last[at]]
-            at -= length[tokens[0]]
-            while at and not final[last[at]]:
-                tokens.append(last[at])
-                at -= length[last[at]]
-            out.append(tokens[::-1])
-        return out[::-1]
+                if before >= 0 and not final[before]:
+                    apart = known.get(before << 32 | token)
+                    if not (self.apart(before, token) if apart is None else apart):
+                        continue
+                last[end] = token
+        tokens, at = [], len(text)
+        while at:
+            tokens.append(last[at])
+            at -= length[last[at]]
+        ids = np.array(tokens[::-1], "<u4")
+        ends = np.append(0, np.flatnonzero(np.array(final)[ids]) + 1) * 4
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class WordCoder:
@@ -142,51 +149,62 @@ class WordCoder:
 
     def __init__(self, vocabulary: str):
         told = json.loads(vocabulary)
-        self.merges = Merges(told["model"])
-        library = Tokenizer.from_str(vocabulary)
-        self.normalize = library.normalizer.normalize_str if library.normalizer else str
-        self.split = library.pre_tokenizer.pre_tokenize_str
-        self.plain = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and \
-            [(p.get("pattern") or {}).get("Regex") for p in (told["pre_tokenizer"] or {}).get("pretokenizers", [])] == [SPLIT, None]
-        self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        kinds = [[x["type"] for x in (told[k] or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
+        split = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or split["pattern"] != {"Regex": SPLIT} or told["decoder"]:
+            raise ValueError("a vocabulary that normalises or splits texts in another way")
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search("[ \t-\r]", t["content"]) for t in told["added_tokens"]):
             raise ValueError("a special token that reaches beyond itself")
+        self.merges = Merges(told["model"])
+        self.normalize = Tokenizer.from_str(vocabulary).normalizer.normalize_str
+        self.split = Split(Regex(SPLIT), "removed", invert=True).pre_tokenize_str
+        self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = np.full(max([len(self.merges.symbols) - 1, *self.special.values()]) + 1, "", object)
         for name, i in (told["model"]["vocab"] | self.special).items():
             self.names[i] = name
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _words(self, chunk: str) -> list[str]:
-        """The words of a stretch without special tokens, in the letters of the byte alphabet."""
-        if self.plain and chunk.isascii() and chunk.isprintable():
-            return _ASCII.findall(chunk.lower())
-        return [w for w, _ in self.split(self.normalize(chunk))]
-
-    def _learn(self, chunks: list[str]) -> None:
-        cut: list[list[str | int]] = []
-        for c in chunks:
-            if self.between and len(parts := self.between.split(c)) > 1:
-                cut.append([x for p in parts for x in ([self.special[p]] if p in self.special else self._words(p) if p else [])])
-            else:
-                cut.append(self._words(c))
-        new = list({w for ws in cut for w in ws if isinstance(w, str)} - self.words.keys())
-        if new:
-            self.words.update(zip(new, self.merges.encode([w[:-1] + chr(ord(w[-1]) + FINAL) for w in new]), strict=True))
-        for c, ws in zip(chunks, cut, strict=True):
-            self.chunks[c] = np.array([i for w in ws for i in (self.words[w] if isinstance(w, str) else [w])], "<u4").tobytes()
+        # Letters that stand for bytes: themselves where they show, others in order from FIRST on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = {b: FIRST + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+        self.letters = {b: chr(hidden.get(b, b)) for b in range(256)}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, list[str]] = {}
+
+    def _symbols(self, word: str) -> str:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return word[:-1] + chr(ord(word[-1]) + FINAL)
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a stretch without special tokens."""
+        if not _OTHER.search(text):
+            return _PLAIN.findall(text.lower())
+        out = []
+        for chunk in _CHUNK.findall(text):
+            words = self.chunks.get(chunk)
+            if words is None:
+                words = self.chunks[chunk] = [w for w, _ in self.split(self.normalize(chunk))]
+            out += words
+        return out
+
+    def _parts(self, text: str) -> list[str]:
+        """The words and special tokens of a text."""
+        if self.between and self.between.search(text):
+            return [w for p in self.between.split(text) for w in ([p] if p in self.special else self._words(p))]
+        return self._words(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each whole text, as little-endian 32-bit integers."""
-        cut = [_CHUNK.findall(t) if t else [] for t in texts]
         if len(self.chunks) > MEMO:
             self.chunks.clear()
         if len(self.words) > MEMO:
             self.words.clear()
-        if new := list({c for cs in cut for c in cs} - self.chunks.keys()):
-            self._learn(new)
-        return [b"".join(map(self.chunks.__getitem__, cs)) for cs in cut]
+        if not self.words:
+            self.words = {name: np.array([i], "<u4").tobytes() for name, i in self.special.items()}
+        cut = [self._parts(t) if t else [] for t in texts]
+        if new := list({w for ws in cut for w in ws} - self.words.keys()):
+            self.words.update(zip(new, self.merges.encode([self._symbols(w) for w in new]), strict=True))
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in cut]
 
     def decode(self, ids: bytes | None) -> str:
         """The names of the tokens with a space between, as a vocabulary without decoder gives them."""

@@ -26,7 +26,7 @@ def ids(text):
 
 
 PARTS = ["word", "WORD", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", " ", "'s", "'S", "'ll", "12", "..", "<|endoftext|>", "<|ENDOFTEXT|>",
-         "<|startoftext|>", "<|", "é", "e", "́", "字", "😀", "Σ", "İ", "ﬁ", "½", "\x00", "\x7f", "</w>", "aaaaa", "ing"]
+         "<|startoftext|>", "<|", "é", "e", "́", "字", "😀", "Σ", "İ", "ﬁ", "½", "\x00", "\x7f", "</w>", "aaaaa", "ing", "Ünï", "ß", "ÿ", "×", "÷", "À", "“x”", "’s", "ª", "²"]
 
 
 @settings(max_examples=2000, deadline=None)
