@@ -39,6 +39,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody else uses."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once, write as Parquet to the shared folder, and read back.
 
@@ -46,6 +51,6 @@ def materialise(df: DataFrame) -> DataFrame:
     again for each, a lost executor costs no recomputation, and readers see the true
     size, by which Spark chooses their joins, and only the columns they use.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

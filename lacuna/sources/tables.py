@@ -14,3 +14,9 @@ def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False
     if spread and df.rdd.getNumPartitions() == 1:
         df = df.repartition(cores)
     return df
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, asked of the file system it belongs to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -9,7 +9,8 @@ from lacuna.operators import blind as B
 from lacuna.operators import pages as P
 from lacuna.operators import search as S
 from lacuna.plans import ask
-from lacuna.session import materialise
+from lacuna.plans.index import Index
+from lacuna.session import materialise, new_path
 from lacuna.sources.tables import read_table
 from lacuna.workload.passages import CHUNK_ROWS
 from lacuna.workload.standins import (
@@ -173,6 +174,36 @@ def passage_evidence(spark, sf_dir):
                            "is_safe_verbatim", "table_risk", F.array_join("caveats", " ").alias("caveats"), "why_matched", "score"))
 
 
+def stored_index(spark, sf_dir):
+    """The corpus as two uploads, one behind the other: each is a segment."""
+    pages = structured_pages(spark, sf_dir).select("document_id", "page_number", "raw_text")
+    index = Index(spark, new_path(spark, "index"))
+    for later in (False, True):
+        index.add(pages.where((F.col("page_number") > FIRST_UPLOAD) == F.lit(later)))
+    return index
+
+
+def index_hits(spark, sf_dir):
+    """Best passages from the stored index; the same rows as passage_hits."""
+    found = stored_index(spark, sf_dir).search(questions(spark, sf_dir))
+    return finish(S.evidence_floor(found.hits).select("query_id", "document_id", "page_number", "chunk_ordinal", "score", "rank"))
+
+
+def index_hits_after_changes(spark, sf_dir):
+    """Two documents are removed, one of them comes back, and all is merged into one segment."""
+    index = stored_index(spark, sf_dir)
+    index.remove(spark.createDataFrame([(d,) for d in REMOVED], "document_id string"))
+    pages = structured_pages(spark, sf_dir).select("document_id", "page_number", "raw_text")
+    index.add(pages.where(F.col("document_id") == REMOVED[0]))
+    index.compact()
+    found = index.search(questions(spark, sf_dir))
+    return finish(S.evidence_floor(found.hits).select("query_id", "document_id", "page_number", "chunk_ordinal", "score", "rank"))
+
+
+#: Pages of each document in the first of two uploads; documents taken out, the first of which comes back.
+FIRST_UPLOAD = 20
+REMOVED = ["src3", "src7"]
+
 _DOC_TERMS = terms_sql("dt", "documents", "doc_id", "text")
 _Q = f"""{QUESTIONS}, {terms_sql('qt', 'questions', 'query_id, document_id', 'question')}"""
 _SYN = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, vs in V.SYNONYMS.items() for v in vs) + ") AS syn(k, v)"
@@ -329,5 +360,7 @@ QUERIES = {
     "image_pages": (image_pages, _IMAGES),
     "numeric_provisions": (numeric_provisions, _PROVISIONS),
     "passage_hits": (passage_hits, f"{_PASSAGE_HITS} SELECT query_id, document_id, page_number, chunk_ordinal, round(score, 4) AS score, rank FROM kept"),
+    "index_hits": (index_hits, f"{_PASSAGE_HITS} SELECT query_id, document_id, page_number, chunk_ordinal, round(score, 4) AS score, rank FROM kept"),
+    "index_hits_after_changes": (index_hits_after_changes, f"{_PASSAGE_HITS} SELECT query_id, document_id, page_number, chunk_ordinal, round(score, 4) AS score, rank FROM kept WHERE document_id <> '{REMOVED[1]}'"),
     "passage_evidence": (passage_evidence, _EVIDENCE),
 }
