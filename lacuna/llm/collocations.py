@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -50,7 +51,7 @@ NO_LANGUAGE = "und"
 EXACT = 2_000_000
 BITS = 28
 #: Bytes of texts in a block; a longer text is a block by itself.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, 0x09, *b".,;:!?", *range(0x0A, 0x0E)]] = False
@@ -67,18 +68,20 @@ def _languages(langs: list[str | None]) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, tuple]]:
     """Of each block of documents: languages, hash and place of each word, (bytes, starts, ends, language of each word)."""
     for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), [x if x is not None else NO_LANGUAGE for x in batch.column(1).to_pylist()]
+        sizes = [n or 0 for n in pc.binary_length(batch.column(0)).to_pylist()]
         at = 0
-        while at < len(texts):
-            to, size = at + 1, len(texts[at] or "")
-            while to < len(texts) and size + len(texts[to] or "") <= BLOCK_BYTES:
-                size += len(texts[to] or "")
+        while at < len(sizes):
+            to, size = at + 1, sizes[at]
+            while to < len(sizes) and size + sizes[to] <= BLOCK_BYTES:
+                size += sizes[to]
                 to += 1
+            texts, langs = (batch.column(c).slice(at, to - at).to_pylist() for c in (0, 1))
+            langs = [x if x is not None else NO_LANGUAGE for x in langs]
             # A piece end before each text parts it from the one before.
-            raw, start, end, words, first = word_spans(["\n" + (t or "") for t in texts[at:to]], _WORD, lower=True)
-            owner = np.repeat(np.arange(to - at), np.diff(first))
-            place = np.cumsum(_PIECE_END[raw], dtype=np.int64)[start] + np.arange(len(start))
-            yield langs[at:to], words ^ _languages(langs[at:to])[owner], place, (raw, start, end, owner)
+            raw, start, end, words, first = word_spans(["\n" + (t or "") for t in texts], _WORD, lower=True)
+            owner = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(first))
+            place = np.cumsum(_PIECE_END[raw], dtype=np.int32)[start] + np.arange(len(start))
+            yield langs, words ^ _languages(langs)[owner], place, (raw, start, end, owner)
             at = to
 
 
