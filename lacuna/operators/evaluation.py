@@ -1,10 +1,16 @@
 """Scoring answers against ground truth that is checked first."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna import values as V
 from lacuna.functions import text as X
+from lacuna.session import materialise
+
+#: Counts per key and round of a selection by histograms.
+BUCKETS = 4096
 
 
 def ground_truth_problems(cases: DataFrame, pages: DataFrame) -> DataFrame:
@@ -158,22 +164,50 @@ def report_counts(metrics: DataFrame) -> DataFrame:
     )
 
 
-def indexed_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Upper-middle median and p95, both elements of the data, per key.
+def order_statistics(df: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]], buckets: int = BUCKETS) -> DataFrame:
+    """Exact elements of each key's values by their place in order: key, n and a column per name.
 
-    Values are counted first, so what is ordered per key are distinct values.
+    places: name -> 0-based place among n values, as a column of n.  Selection by
+    histograms: the range that holds the place is cut into buckets, values are counted
+    by bucket, and only the bucket with the place is kept, until all its values are
+    equal.  A range is cut by signs, then by powers of two, then evenly, so a few rounds
+    do for any numbers.  Of a key, at most `buckets` counts meet in one task.  Values that
+    are null or NaN are left out; a key without any others has no row.
     """
-    counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(key).orderBy(value)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    total = ranked.withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
-    median_at = F.floor(F.col("_all") / 2)
-    p95_at = F.least(F.col("_all") - 1, F.floor(0.95 * F.col("_all")))
-    return total.groupBy(key).agg(
-        F.count(F.lit(1)).alias("distinct_values"),
-        F.min(F.when(F.col("_upto") > median_at, F.col(value))).alias("median"),
-        F.min(F.when(F.col("_upto") > p95_at, F.col(value))).alias("p95"),
-    )
+    known = df.select(F.col(key).alias("_key"), F.col(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
+    whole = known.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    asked = F.array(*[F.struct(F.lit(name).alias("_name"), at(F.col("_n")).cast("long").alias("_place")) for name, at in places.items()])
+    state = materialise(whole.select("*", F.inline(asked)).withColumn("_below", F.lit(0).cast("long")))
+    done = state.where("_lo = _hi")
+    while (open_ := state.where("_lo < _hi")).head(1):
+        v, lo, hi = (F.col(c).cast("double") for c in ("_v", "_lo", "_hi"))
+        power = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)))  # an infinite number has the highest
+        even = F.floor((F.col("_v") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double") * buckets)
+        bucket = (
+            F.when((lo <= 0) & (hi >= 0), F.signum(v).cast("long"))
+            .when((lo > 0) & (hi / 4 > lo), power)
+            .when((hi < 0) & (lo / 4 < hi), -power)
+            .otherwise(even)
+        )
+        ranges = open_.select("_key", "_name", "_n", "_place", "_lo", "_hi", "_below")
+        same = known["_key"].eqNullSafe(ranges["_key"]) & known["_v"].between(ranges["_lo"], ranges["_hi"])
+        counted = known.join(ranges, same).select("_name", ranges["_key"], "_n", "_place", "_below", "_v", bucket.alias("_bucket")).groupBy(
+            "_key", "_name", "_n", "_place", "_below", "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = Window.partitionBy("_key", "_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        state = materialise(
+            counted.withColumn("_upto", F.col("_below") + F.sum("_c").over(upto)).where((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_c") <= F.col("_place")))
+            .select("_key", "_n", "_lo", "_hi", "_name", "_place", (F.col("_upto") - F.col("_c")).alias("_below")))
+        done = done.unionByName(state.where("_lo = _hi"))
+    named = [F.max(F.when(F.col("_name") == name, F.col("_lo"))).alias(name) for name in places]
+    return done.groupBy(F.col("_key").alias(key)).agg(F.max("_n").alias("n"), *named)
+
+
+def indexed_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Upper-middle median and p95, both elements of the data, and how many different values there are, per key."""
+    places = {"median": lambda n: F.floor(n / 2), "p95": lambda n: F.least(n - 1, F.floor(0.95 * n))}
+    chosen = order_statistics(df, key, value, places).drop("n").withColumnRenamed(key, "_key")
+    different = df.where(F.col(value).isNotNull()).select(key, value).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("distinct_values"))
+    return different.join(chosen, different[key].eqNullSafe(chosen["_key"])).select(key, "distinct_values", "median", "p95")
 
 
 def report(tallied: DataFrame, with_model: bool = False) -> DataFrame:

@@ -2,13 +2,15 @@
 
 A window over `partitionBy(key)` sends all rows of a hot key to a single task.
 Each operator here works in two levels: rows first meet inside (key, bucket),
-where a bucket is a bounded stretch of the ordering column, and only one or two
-summary rows per bucket meet inside the key.
+where a bucket is a bounded stretch of the ordering column, or a part of a global
+order, and only one or two summary rows per bucket meet inside the key.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.session import materialise
+
 BUCKET_WIDTH = 1 << 12
 
 
@@ -45,30 +47,33 @@ def number_rows(df: DataFrame, keys: str | list[str], position: str, out: str, w
     )
 
 
+def dealt_by_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in one global order, dealt out at sampled splitters: `_part` and `_at`, the place in it.
+
+    A key with most of the rows takes up many parts.  Splitters differ from run to run,
+    so the rows are stored once with their places, and every reader sees the same.
+    """
+    place = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return materialise(place.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"))
+
+
 def rank_rows(
     df: DataFrame, key: str, groups: list[tuple[str, bool]], position: str, out: str
 ) -> DataFrame:
-    """1-based rank within `key` by discrete columns, then by position.
+    """1-based rank within `key` by columns, then by position.
 
-    `groups` lists (column, descending).  Rows with equal columns, copies for
-    instance, are numbered in buckets of the position; only one count per
-    different combination of columns meets inside the key.  Nulls are values like
-    any other.
+    `groups` lists (column, descending).  Rows are put in order once, over all keys and
+    tasks; a row's rank is its place in its part, less the place where its key begins
+    there, and the number of the key's rows in earlier parts.  Of a key, one row per
+    part meets in one task.  Nulls are values like any other; rows that are equal in
+    all these columns take any of their ranks.
     """
-    names = [n for n, _ in groups]
-    order = [F.col(n).desc() if down else F.col(n).asc() for n, down in groups]
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(key, *names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    return (
-        _join_offsets(number_rows(df, [key, *names], position, "_inside"), offsets, [key, *names])
-        .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_before", "_inside")
-    )
+    order = [F.col(key).asc(), *(F.col(n).desc() if down else F.col(n).asc() for n, down in groups), F.col(position).asc()]
+    dealt = dealt_by_order(df, order)
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")).select(
+        key, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    return _join_offsets(dealt, offsets, [key, "_part"]).withColumn(out, F.col("_at") + F.col("_offset")).drop("_part", "_at", "_offset")
 
 
 def islands(df: DataFrame, key: str, position: str, width: int = BUCKET_WIDTH) -> DataFrame:

@@ -127,6 +127,18 @@ def latency_quantiles(spark, sf_dir):
     return E.indexed_quantiles(e, "event_type", "v")
 
 
+def value_quantiles(spark, sf_dir):
+    """Quartiles, median and p95 by index over event values as they are."""
+    e = read_table(spark, sf_dir, "events").select("event_type", "value")
+    places = {"least": lambda n: F.lit(0), "q1": lambda n: F.floor(n / 4), "median": lambda n: F.floor(n / 2), "q3": lambda n: F.floor(3 * n / 4), "greatest": lambda n: n - 1}
+    return E.order_statistics(e, "event_type", "value", places)
+
+
+_VALUES = """WITH r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i,
+  count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, any_value(n) AS n, min(v) AS least, max(v) FILTER (i = n // 4) AS q1, max(v) FILTER (i = n // 2) AS median,
+  max(v) FILTER (i = 3 * n // 4) AS q3, max(v) AS greatest FROM r GROUP BY event_type"""
+
 _LATENCY = """WITH v AS (SELECT event_type, round(value * 100)::BIGINT AS v FROM events WHERE value IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM v)
 SELECT event_type, count(DISTINCT v) AS distinct_values, max(v) FILTER (i = n // 2) AS median,
@@ -161,6 +173,7 @@ SELECT kind, count(*) AS cases, count(*) FILTER ({_PASSED}) AS passed FROM check
     "report_counts": (report_counts, f"""WITH {_CHECKS}, t AS ({_TALLY})
 SELECT count(*) AS measured, {len(V.UNMEASURED_METRICS)}::BIGINT AS not_measured, count(*) FILTER (percent = 100) AS passed FROM t"""),
     "latency_quantiles": (latency_quantiles, _LATENCY),
+    "value_quantiles": (value_quantiles, _VALUES),
     "highlight_span": (highlight_span, """SELECT doc_id, length(substr(text, 1, doc_id % 300))::BIGINT AS n_before,
   CASE WHEN doc_id % 300 >= length(text) THEN '' ELSE substr(text, doc_id % 300 + 1, 200) END AS marked, greatest(length(text) - (doc_id % 300 + 200), 0)::BIGINT AS n_after FROM documents"""),
     "keyword_limit": (keyword_limit, "SELECT doc_id, lang, source FROM documents WHERE contains(text, 'license') OR contains(text, 'License') OR contains(text, 'Email') ORDER BY doc_id LIMIT 4"),

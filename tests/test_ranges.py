@@ -1,8 +1,13 @@
 """Order-dependent operators against plain Python, across many small buckets."""
 
 import random
+from statistics import median
 
-from lacuna.operators.ranges import islands, latest_before, number_rows, rank_rows
+import pytest
+from pyspark.sql import functions as F
+
+from lacuna.operators.evaluation import order_statistics
+from lacuna.operators.ranges import dealt_by_order, islands, latest_before, number_rows, rank_rows
 
 
 def test_islands_and_numbers_across_buckets(spark):
@@ -52,3 +57,42 @@ def test_null_keys_and_positions_are_kept(spark):
     assert got == {("a", None): 1, ("a", 5): 2, ("a", 7): 3, (None, 3): 1, (None, 9): 2}
     ranked = {(r.key, r.at): r.n for r in rank_rows(df.withColumn("g", df["at"] % 2), "key", [("g", False)], "at", "n").collect()}
     assert len(ranked) == 5 and ranked[None, 3] == 1
+
+
+def test_ranks_of_one_hot_question(spark):
+    """100,000 regions of one question, nearly all with a score of their own: no part above twice the median."""
+    df = spark.range(100_000).select(F.lit("q").alias("key"), (F.xxhash64("id") % 1_000_003 / 7).alias("score"), "id")
+    df = df.unionAll(spark.range(50).select(F.lit("other").alias("key"), F.lit(1.0).alias("score"), "id")).repartition(8)
+    ranked = rank_rows(df, "key", [("score", True)], "id", "rank")
+    rows = [(r.score, r.id, r["rank"]) for r in ranked.where("key = 'q'").collect()]
+    assert [r[2] for r in sorted(rows, key=lambda r: (-r[0], r[1]))] == list(range(1, 100_001))
+    assert sorted(r["rank"] for r in ranked.where("key = 'other'").collect()) == list(range(1, 51))
+    with_parts = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in with_parts}
+    try:
+        for k, v in with_parts.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in dealt_by_order(df, [F.col("key"), F.col("score").desc(), F.col("id")]).groupBy("_part").count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(sizes) > 8 and max(sizes) <= 2 * median(sizes)
+
+
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_order_statistics(spark, kind):
+    rng = random.Random(12)
+    if kind == "double":
+        shapes = [[rng.gauss(0, 1) for _ in range(500)], [10.0 ** rng.randrange(-300, 300) * rng.choice([-1, 1]) for _ in range(300)],
+                  [1.0, float("inf"), float("-inf"), -0.0, 0.0, 5e-324, 1e-320], [7.5] * 400 + [7.5 + 2**-50], [3.0], [0.0, 0.0, 4.0]]
+    else:
+        shapes = [[rng.randrange(-(2**63), 2**63) for _ in range(500)], [2**62 + i % 3 for i in range(200)], [0] * 50 + [1], [-5, -1, -900000], [2**63 - 1, -(2**63)]]
+    rows = [(f"k{i}", v) for i, vs in enumerate(shapes) for v in vs] + [("none", None), (None, shapes[0][0]), ("k0", None)]
+    rows += [("nan", float("nan"))] if kind == "double" else []
+    places = {"first": lambda n: F.lit(0), "middle": lambda n: F.floor(n / 2), "late": lambda n: F.least(n - 1, F.floor(0.95 * n)), "last": lambda n: n - 1}
+    got = {r[0]: tuple(r[1:]) for r in order_statistics(spark.createDataFrame(rows, f"key string, v {kind}"), "key", "v", places, buckets=16).collect()}
+    want = {None: (1, *[shapes[0][0]] * 4)}
+    for i, vs in enumerate(shapes):
+        vs, n = sorted(vs), len(vs)
+        want[f"k{i}"] = (n, vs[0], vs[n // 2], vs[min(n - 1, int(0.95 * n))], vs[-1])
+    assert got == want
