@@ -13,7 +13,8 @@ window).  The steps:
 
 A near match is a stretch of as many words as a window that holds at least `NEAR` of
 the window's words, in any order.  It is found by the rarest words of the window, one
-more than it may lack, and measured in the same neighbourhoods (`all_matches`).
+more than it may lack: where one of them stands, the words around it are compared with
+the item's as sets of hashes, and word by word where these have enough in common.
 
 So common terms, which fill most of the texts, have no lists, and texts are never
 shuffled.  Tables made from the benchmark alone are stored and read back, so Spark
@@ -24,6 +25,8 @@ without id marks words but is not listed.  Repeated items count once.  Identical
 (same id and text) get a result each.  Only `doc_id`, `item_id` and `text` are read.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from lacuna.llm.native_words import words
 WINDOW = 10
 #: Share of a window's words that a near match has in as many words of the text, in any order.
 NEAR = 0.8
+#: Places of near matches that are broadcast, of at most some 200 bytes each; more are joined.
+BROADCAST = 200_000
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -93,15 +98,23 @@ def _needed(size: Column, share: float) -> Column:
     return F.ceil(F.round(size * share, 6)).cast("int")
 
 
-def near_anchors(items: DataFrame, frequency: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
-    """The places by which all near matches are found: item, p, term, and the item's words before and after p.
+def near_places(items: DataFrame, frequency: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
+    """The places by which all near matches are found, with the hashes of the words around them.
 
     Of its rarest words, one more than a window may lack, a near match has one at
-    least.  Words that no text has are among those it lacks.
+    least.  Words that no text has are among those it lacks.  `distinct` is the least
+    number of different words that a near match has in common with these: outside a
+    window, and by repetition in it, no more go than there are places.
     """
     few = F.slice("rare", F.lit(1), F.col("size") - _needed(F.col("size"), share) + 1)
-    found = _ranked(items, frequency, width).select("item", F.explode(few).alias("r")).where("r.n > 0").select("item", "r.p")
-    return stored(_places(found, items, width), "near-anchors")
+    found = _ranked(items, frequency, width).select("item", F.explode(few).alias("r")).where("r.n > 0").select("item", "r.p").distinct()
+    low = F.greatest(F.col("p") - (width - 1), F.lit(0))
+    around = F.transform(F.slice("words", low + 1, F.col("p") - low + width), lambda w: F.xxhash64(w))
+    placed = found.join(items.select("item", "words"), "item").select(
+        "item", F.xxhash64(F.expr("words[p]")).alias("term_key"), around.alias("item_words"), F.least(F.size("words"), F.lit(width)).alias("k"))
+    needed = _needed(F.col("k"), share)
+    return stored(placed.select("*", needed.alias("needed"), F.expr("size(array_distinct(item_words)) - size(item_words)").alias("d")).withColumn(
+        "distinct", F.col("d") + F.col("needed")).drop("d").distinct(), "near-places")
 
 
 def _around(w: Column, at: Column, width: int, prefix: str = "") -> list[Column]:
@@ -144,36 +157,76 @@ def offset_lists(postings: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def phrases(lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact matches: doc_id, text_key, item_id, and the stretch of words low to high."""
+    """Exact matches: doc_id, text_key, item, item_id, and the stretch of words low to high."""
     moved = lists.select(
         "doc_id", "text_key", "item", "begin",
         F.struct("p", _agree(F.col("before"), F.col("item_before")).alias("a"), _agree(F.col("after"), F.col("item_after")).alias("b")).alias("at"))
     met = moved.groupBy("doc_id", "text_key", "item", "begin").agg(F.collect_set("at").alias("ats")).join(pairs, "item")
     both = F.expr("exists(pairs, q -> exists(ats, x -> x.p = q.p1) AND (q.p2 IS NULL OR exists(ats, x -> x.p = q.p2)))")
-    runs = met.where(both).select("doc_id", "text_key", "item_id", "begin", "size", F.explode("ats").alias("x"))
+    runs = met.where(both).select("doc_id", "text_key", "item", "item_id", "begin", "size", F.explode("ats").alias("x"))
     return runs.where("x.a + x.b + 1 >= size").selectExpr(
-        "doc_id", "text_key", "item_id", "begin + x.p - x.a AS low", "begin + x.p + x.b AS high")
+        "doc_id", "text_key", "item", "item_id", "begin + x.p - x.a AS low", "begin + x.p + x.b AS high")
+
+
+def likely_places(docs: DataFrame, places: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Occurrences of `places` with so many of the words around them that a near match is possible.
+
+    doc_id, text_key, item, and the hashes of the words around both.  Hashes meet their
+    places where the text is split, so nothing but what is kept leaves a task; places
+    are broadcast up to BROADCAST of them, and joined by term beyond.
+    """
+    hashes = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), F.transform(words(), lambda w: F.xxhash64(w)).alias("hashes"))
+    each = hashes.select("doc_id", "text_key", "hashes", F.posexplode("hashes").alias("pos", "term_key"))
+    small = places.count() <= BROADCAST
+    met = each.join(F.broadcast(places) if small else places, "term_key")
+    low = F.greatest(F.col("pos") - (width - 1), F.lit(0))
+    around = met.withColumn("doc_words", F.slice("hashes", low + 1, F.col("pos") - low + width))
+    return around.where(F.size(F.array_intersect("item_words", "doc_words")) >= F.col("distinct")).select(
+        "doc_id", "text_key", "item", "k", "needed", "item_words", "doc_words")
 
 
-def proximity(lists: DataFrame, share: float = NEAR, width: int = WINDOW) -> DataFrame:
-    """Places with most of a window's words in as many words around an anchor, in any order.
+def proximity(likely: DataFrame) -> DataFrame:
+    """doc_id, text_key, item and share: stretches with enough of a window's words, in any order.
 
-    doc_id, text_key, item, pos, share, and whether the window stands there as it is.
-    A word counts as often as it stands in both.  Only lists of `near_anchors` have all.
+    A word counts as often as it stands in both.
     """
     runs = lambda w: f"transform(sequence(0, greatest(size({w}) - k, 0)), i -> slice({w}, i + 1, k))"
     both = "aggregate(array_distinct(w), 0, (t, x) -> t + least(size(filter(w, y -> y = x)), size(filter(d, y -> y = x))))"
     close = f"filter({runs('item_words')}, w -> size(filter(w, x -> array_contains(doc_words, x))) >= needed)"
     best = f"coalesce(array_max(flatten(transform({close}, w -> transform({runs('doc_words')}, d -> {both})))), 0)"
-    term = F.array("term")
-    sized = lists.withColumns({
-        "item_words": F.concat(F.reverse("item_before"), term, "item_after"), "doc_words": F.concat(F.reverse("before"), term, "after"),
-    }).withColumn("k", F.least(F.size("item_words"), F.lit(width))).withColumn("needed", _needed(F.col("k"), share))
-    # Outside a window, and by repetition in it, no more distinct words go than places.
-    likely = sized.where("size(array_intersect(item_words, doc_words)) >= size(array_distinct(item_words)) - size(item_words) + needed")
-    exact = _agree(F.col("before"), F.col("item_before")) + _agree(F.col("after"), F.col("item_after")) + 1 >= F.col("k")
-    met = likely.withColumn("exact", exact).withColumn("met", F.when(F.col("exact"), F.col("k")).otherwise(F.expr(best)))
-    return met.where("met >= needed").select("doc_id", "text_key", "item", "pos", (F.col("met") / F.col("k")).alias("share"), "exact")
+    met = likely.withColumn("met", F.expr(best)).where("met >= needed")
+    return met.groupBy("doc_id", "text_key", "item").agg(F.max(F.col("met") / F.col("k")).alias("share"))
+
+
+def near_matches(docs: DataFrame, items: DataFrame, frequency: DataFrame, exact: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
+    """doc_id, text_key, item and share of near matches of items that do not stand there as they are.
+
+    exact: doc_id, text_key and item of exact matches.
+    """
+    places = near_places(items, frequency, width, share)
+    likely = stored(likely_places(docs, places, width), "likely-places")
+    known = exact.select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key"), F.col("item").alias("x_item")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("text_key") == F.col("x_key")) & (F.col("item") == F.col("x_item"))
+    return proximity(likely.join(known, same, "left_anti"))
+
+
+@dataclass
+class Matches:
+    """What stands in the documents: stretches low to high of exact matches, near matches, and the postings."""
+
+    exact: DataFrame
+    near: DataFrame
+    postings: DataFrame
+    items: DataFrame
+
+
+def find_all(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = NEAR) -> Matches:
+    """Exact and near matches; the frequencies of the benchmark's terms are counted once for both."""
+    items = benchmark_items(benchmark)
+    frequency = stored(frequencies(docs, items), "benchmark-frequencies")
+    exact, postings = _matches(docs, items, frequency, width)
+    exact = stored(exact, "exact-matches")
+    return Matches(exact, stored(near_matches(docs, items, frequency, exact, width, share), "near-matches"), postings, items)
 
 
 def all_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
@@ -181,37 +234,46 @@ def all_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shar
 
     A row for each document (by id and text) and item; an item without id has rows too.
     """
-    items = benchmark_items(benchmark)
-    places = near_anchors(items, frequencies(docs, items), width, share)
-    postings = index(docs, stored(places.select("term").distinct(), "anchor-terms"), width)
-    found = proximity(offset_lists(postings, places), share, width)
-    best = found.groupBy("doc_id", "text_key", "item").agg(F.bool_or("exact").alias("exact"), F.max("share").alias("share"))
-    return best.join(items.select("item", "item_id"), "item").drop("item")
+    found = find_all(docs, benchmark, width, share)
+    exact = found.exact.select("doc_id", "text_key", "item", F.lit(True).alias("exact"), F.lit(1.0).alias("share")).distinct()
+    near = found.near.select("doc_id", "text_key", "item", F.lit(False).alias("exact"), "share")
+    return exact.unionAll(near).join(found.items.select("item", "item_id"), "item").drop("item")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """All exact matches (see `phrases`), and the postings they were found by."""
     items = benchmark_items(benchmark)
-    places, pairs = anchors(items, frequencies(docs, items), width)
+    return _matches(docs, items, frequencies(docs, items), width)
+
+
+def _matches(docs: DataFrame, items: DataFrame, frequency: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    places, pairs = anchors(items, frequency, width)
     postings = index(docs, stored(places.select("term").distinct(), "anchor-terms"), width)
     return phrases(offset_lists(postings, places), pairs), postings
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """A row per document: n_words, n_hit, and `items`, the ids of items with windows in it."""
-    found, postings = matches(docs, benchmark, width)
-    hits = found.select("doc_id", "text_key", F.lit(None).cast("int").alias("n_words"), "item_id", F.explode(F.sequence("low", "high")).alias("hit")).distinct()
-    ends = postings.where("term IS NULL").select(
-        "doc_id", "text_key", F.col("pos").alias("n_words"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("int").alias("hit"))
-    one = hits.unionAll(ends).groupBy("doc_id", "text_key").agg(
+    """A row per document: n_words, n_hit, `items`, the ids of items with windows in it, and `near`, of others with near matches."""
+    found = find_all(docs, benchmark, width)
+    none = {"n_words": "int", "item_id": "string", "near_id": "string", "hit": "int"}
+    rows = lambda df, **have: df.select("doc_id", "text_key", *(F.col(have[c]).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    hits = rows(found.exact.select("doc_id", "text_key", "item_id", F.explode(F.sequence("low", "high")).alias("hit")).distinct(), item_id="item_id", hit="hit")
+    near = rows(found.near.join(found.items.select("item", "item_id").where("item_id IS NOT NULL"), "item"), near_id="item_id")
+    ends = rows(found.postings.where("term IS NULL"), n_words="pos")
+    one = hits.unionAll(near).unionAll(ends).groupBy("doc_id", "text_key").agg(
         F.max("n_words").cast("long").alias("n_words"), F.count("n_words").cast("int").alias("copies"),
-        F.size(F.collect_set("hit")).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
+        F.size(F.collect_set("hit")).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"), F.collect_set("near_id").alias("near"))
+    one = one.withColumn("near", F.sort_array(F.array_except("near", "items")))
     return one.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies", "col")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents without any exact match; columns as they came."""
-    found = stored(matches(docs, benchmark, width)[0].select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct(), "contaminated")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, near: bool = False) -> DataFrame:
+    """The documents without any exact match, with `near` without near ones too; columns as they came."""
+    if near:
+        found = all_matches(docs, benchmark, width)
+    else:
+        found = matches(docs, benchmark, width)[0]
+    found = stored(found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct(), "contaminated")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"))
     clean = rows.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left_anti")
     return clean.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
@@ -221,10 +283,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"), F.sha2(F.concat_ws(",", "near"), 256).alias("near_sha256"))
 
 
-def op7_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and item: whether the item stands there, or most of the words of a window."""
     found = all_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.when(F.col("exact"), "exact").otherwise("near").alias("match"), "share")
 
@@ -241,13 +305,31 @@ seen AS (SELECT r, k, s, array_to_string(w[s : s + k - 1], ' ') AS g
        FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d JOIN (SELECT DISTINCT k FROM win) ON len(w) >= k)),
 m AS (SELECT r, s, k, item_id FROM seen JOIN win USING (k, g)),
 h AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + k)) AS p FROM m) GROUP BY r),
-i AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+i AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r),
+bi AS (SELECT row_number() OVER () AS item, *, ceil(round(k * {NEAR}, 6))::INT AS needed FROM sized WHERE item_id IS NOT NULL),
+places AS (SELECT item, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM bi),
+posted AS (SELECT r, pos, term FROM (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d) SEMI JOIN places USING (term)),
+freq AS (SELECT term, count(*) AS n FROM posted GROUP BY term),
+starts AS (SELECT item, k, needed, unnest(range(1, len(w) - k + 2)) AS s FROM bi),
+rare AS (SELECT item, p, term, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item, s ORDER BY coalesce(n, 0), p) <= k - needed + 1 AS few
+  FROM starts JOIN places USING (item) LEFT JOIN freq USING (term) WHERE p BETWEEN s AND s + k - 1),
+around AS (SELECT DISTINCT r, bi.item, item_id, k, needed, bi.w[greatest(p - {WINDOW} + 1, 1) : p + {WINDOW} - 1] AS iw, d.w[greatest(pos - {WINDOW} + 1, 1) : pos + {WINDOW} - 1] AS dw
+  FROM (SELECT DISTINCT item, p, term FROM rare WHERE few AND n > 0) JOIN posted USING (term) JOIN bi USING (item) JOIN d USING (r)),
+likely AS (SELECT * FROM around WHERE len(list_intersect(iw, dw)) >= len(list_distinct(iw)) - len(iw) + needed),
+combos AS (SELECT r, item_id, needed, iw[s : s + k - 1] AS x, unnest(range(1, greatest(len(dw) - k, 0) + 2)) AS t, dw, k
+  FROM (SELECT *, unnest(range(1, len(iw) - k + 2)) AS s FROM likely)),
+close AS (SELECT r, item_id, needed, x, dw[t : t + k - 1] AS y FROM combos),
+near AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS near_ids FROM (
+  SELECT DISTINCT r, item_id FROM close
+  WHERE len(list_intersect(x, y)) >= needed - (len(x) - len(list_distinct(x)))
+    AND list_sum(list_transform(list_distinct(x), lambda e: least(len(list_filter(x, lambda v: v = e)), len(list_filter(y, lambda v: v = e))))) >= needed
+  EXCEPT SELECT r, item_id FROM m) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(h.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+  coalesce(h.n, 0) > 0 AS contaminated, coalesce(near.n, 0) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r) LEFT JOIN near USING (r)
 """
 
 QUERIES = {
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, SQL),
-    "op7_proximity_matches": (op7_proximity_matches, None),
+    "benchmark_matches": (benchmark_matches, None),
 }

@@ -51,9 +51,16 @@ def run(spark, tmp_path, docs, items):
     return sorted((tuple(r) for r in D.op7_benchmark_decontamination(spark, str(tmp_path)).collect()), key=key)
 
 
+def near_ids(text, items):
+    """Ids of items that stand in the text in other words, and not as they are under the same id."""
+    found = [(str(i), near(text, t)) for i, t in items if i is not None]
+    ids = sorted({i for i, m in found if m == "near"} - {i for i, m in found if m == "exact"})
+    return len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
 def test_odd_rows(spark, tmp_path):
     got = run(spark, tmp_path, clashing(table(spark, DOCS)), clashing(spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("id", D.F.lit(1))))
-    assert got == sorted(((i, *plain(t, ITEMS)) for i, t, *_ in DOCS), key=key)
+    assert got == sorted(((i, *plain(t, ITEMS), *near_ids(t, ITEMS)) for i, t, *_ in DOCS), key=key)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -64,23 +71,36 @@ def test_equals_brute_force_on_few_words(spark, tmp_path, seed):
     items = [(i, some(1, 16)) for i in range(12)] + [(50, "a b a b a b a b a b a b a b")]
     docs = [(i, some(0, 60) + (" " + rng.choice(items)[1] if rng.random() < 0.5 else ""), "en", "a") for i in range(60)] + [(99, "a b " * 30, "en", "a")]
     got = run(spark, tmp_path, table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert got == sorted(((i, *plain(t, items)) for i, t, *_ in docs), key=key)
+    assert got == sorted(((i, *plain(t, items), *near_ids(t, items)) for i, t, *_ in docs), key=key)
 
 
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "item_id long, text string")
     assert run(spark, tmp_path / "a", table(spark, []), spark.createDataFrame(ITEMS, "item_id long, text string")) == []
     got = run(spark, tmp_path / "b", table(spark), none)
-    assert got == sorted(((i, *plain(t, [])) for i, t, *_ in ROWS), key=key)
+    assert got == sorted(((i, *plain(t, []), *near_ids(t, [])) for i, t, *_ in ROWS), key=key)
 
 
 def test_proximity_finds_other_orders(spark):
     docs = table(spark, [(1, "brown quick the fox over jumps the lazy dog then and sleeps under old an tree Äpple", "en", "a"), (2, "nothing like it, the end", "en", "a")])
     items = D.benchmark_items(spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
-    places, pairs = D.anchors(items, D.frequencies(docs, items))
-    lists = D.offset_lists(D.index(docs, places), places)
-    assert D.phrases(lists, pairs).count() == 0
-    assert {r.doc_id for r in D.proximity(lists).collect()} == {1}
+    frequency = D.frequencies(docs, items)
+    assert D.matches(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))[0].count() == 0
+    none = docs.select("doc_id", D.F.lit(0).alias("text_key"), D.F.lit(0).alias("item")).where("false")
+    assert {r.doc_id for r in D.near_matches(docs, items, frequency, none).collect()} == {1}
+
+
+def test_places_joined_instead_of_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST", 0)
+    got = run(spark, tmp_path, table(spark, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert got == sorted(((i, *plain(t, ITEMS), *near_ids(t, ITEMS)) for i, t, *_ in DOCS), key=key)
+
+
+def test_clean_documents_with_and_without_near(spark):
+    docs = table(spark, [(1, ITEM, "en", "a"), (2, ITEM.replace("jumps", "leaps").replace("tree", "bush"), "en", "a"), (3, "nothing like it", "en", "a")])
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    kept = lambda **k: {r.doc_id for r in D.clean_documents(docs, items, **k).collect()}
+    assert kept(width=13) == {2, 3} and kept(width=13, near=True) == {3}
 
 
 def test_no_python_on_the_main_path(spark):
@@ -104,7 +124,7 @@ def near(text, item, share=0.8):
 def near_rows(spark, tmp_path, docs, items):
     docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     items.write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
-    return sorted(((r.doc_id, r.item_id, r.match) for r in D.op7_proximity_matches(spark, str(tmp_path)).collect()), key=str)
+    return sorted(((r.doc_id, r.item_id, r.match) for r in D.benchmark_matches(spark, str(tmp_path)).collect()), key=str)
 
 
 def plain_rows(docs, items):
