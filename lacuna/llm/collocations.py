@@ -132,7 +132,7 @@ class Frequent:
             at = np.searchsorted(self.keys, keys)
             ok = at < len(self.keys)
             ok[ok] = self.keys[at[ok]] == keys[ok]
-            return ok, at[ok]
+            return ok, at[ok].astype(np.int32)
         spread = xxhash64(keys) & np.uint64(64 * len(self.bits) - 1)
         ok = (self.bits[(spread >> np.uint64(6)).astype(np.int64)] >> (spread & np.uint64(63))) & np.uint64(1) == 1
         return ok, keys[ok].view(np.int64)
@@ -151,16 +151,18 @@ def xxhash64(x: np.ndarray) -> np.ndarray:
 
 def pair_key(left: np.ndarray, right: np.ndarray, dense: bool) -> np.ndarray:
     """One key for two ids: both side by side if they are ranks, else a hash of them."""
-    left, right = left.view(np.uint64), right.view(np.uint64)
+    left, right = left.astype(np.uint64), right.astype(np.uint64)
     return (left << np.uint64(32)) | right if dense else mix(mix(left) + right * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _relation(place: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     one = pa.array([0, len(ids)], pa.int32())
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, pa.array(place)), pa.ListArray.from_arrays(one, pa.array(ids.view(np.int64)))], ["place", "id"])
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(ids))], ["place", "id"])
 
 
-_RELATION = "place array<long>, id array<long>"
+def _relation_schema(frequent: Frequent) -> str:
+    """Ranks are numbers of 32 bits, hashes of 64."""
+    return f"place array<int>, id array<{'int' if frequent.keys is not None else 'long'}>"
 
 
 def first_relation(docs: DataFrame, frequent: Frequent) -> DataFrame:
@@ -172,7 +174,7 @@ def first_relation(docs: DataFrame, frequent: Frequent) -> DataFrame:
             ok, ids = shared.value.find(keys)
             yield _relation(place[ok], ids)
 
-    return docs.select("text", "lang").mapInArrow(run, _RELATION)
+    return docs.select("text", "lang").mapInArrow(run, _relation_schema(frequent))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -205,7 +207,7 @@ def next_relation(relation: DataFrame, frequent: Frequent, dense: bool) -> DataF
             ok, ids = shared.value.find(pair_key(left, right, dense))
             yield _relation(place[ok], ids)
 
-    return relation.mapInArrow(run, _RELATION)
+    return relation.mapInArrow(run, _relation_schema(frequent))
 
 
 def _with_ids(groups: DataFrame, frequent: Frequent) -> DataFrame:
@@ -215,7 +217,7 @@ def _with_ids(groups: DataFrame, frequent: Frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("key")).to_numpy().view(np.uint64)
-            yield batch.append_column("id", pa.array(shared.value.find(keys)[1].view(np.int64)))
+            yield batch.append_column("id", pa.array(shared.value.find(keys)[1].astype(np.int64)))
 
     return groups.mapInArrow(run, StructType([*groups.schema.fields, StructField("id", LongType())]))
 
