@@ -82,9 +82,10 @@ def panel_of(text: Column) -> Column:
 
 
 def site_panels(facts: DataFrame, findings: DataFrame) -> DataFrame:
-    """Panels per finding with their fact counts; empty panels stay visible.
+    """Panels per finding with their facts in the order made; empty panels stay visible.
 
-    The constraints panel never has facts: no open source fills it.
+    The constraints panel never has facts: no open source fills it.  A finding has a
+    fact or two for each category and source, so a panel's list is short.
     """
     keys = [k for k, _ in V.PANELS] + ["constraints"]
     all_panels = findings.select(
@@ -94,12 +95,17 @@ def site_panels(facts: DataFrame, findings: DataFrame) -> DataFrame:
         facts.withColumn("panel", panel_of(F.col("text")))
         .where(F.col("panel").isNotNull())
         .groupBy("finding_id", "panel")
-        .agg(F.count(F.lit(1)).alias("facts"), F.min_by("limitation", "ordinal").alias("limitation"))
+        .agg(
+            F.count(F.lit(1)).alias("facts"),
+            F.min_by("limitation", "ordinal").alias("limitation"),
+            F.array_sort(F.collect_list(F.struct("ordinal", "id", "text", "proxy_for", "provider", "retrieved_at", "limitation"))).alias("statements"),
+        )
     )
     return (
         all_panels.join(per_panel, ["finding_id", "panel"], "left")
         .withColumn("facts", F.coalesce("facts", F.lit(0)))
         .withColumn("available", F.col("facts") > 0)
+        .withColumn("statements", F.coalesce("statements", F.slice(F.array(F.col("statements")[0]), 1, 0)))
     )
 
 

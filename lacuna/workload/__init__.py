@@ -8,6 +8,7 @@ from lacuna.workload import (
     checks,
     documents,
     evaluation,
+    findings,
     geography,
     passages,
     readings,
@@ -17,7 +18,7 @@ from lacuna.workload import (
     structure,
 )
 
-MODULES = [documents, structure, passages, retrieval, geography, statements, checks, reports, readings, evaluation]
+MODULES = [documents, structure, passages, retrieval, geography, statements, checks, reports, readings, findings, evaluation]
 
 
 def all_queries() -> dict:

@@ -215,7 +215,7 @@ SELECT document_id, page_number, segs.b AS start_at, caption FROM segs LEFT JOIN
 CHUNK_ROWS = rf"""{SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, offsets AS (
   SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM ln
 ), spans AS (
-  SELECT r.doc_id, r.region_index, r.risk, a.o AS cs, coalesce(z.o, length(s.text)) AS ce,
+  SELECT r.doc_id, r.region_index, r.risk, trim(caption) AS caption, a.o AS cs, coalesce(z.o, length(s.text)) AS ce,
     CASE WHEN risk IN ('severe', 'ambiguous_columns') THEN trim(caption) || ' ' || chr(8212) || ' this table''s column structure was lost during text extraction. '
       || {_EXPLAIN} || ' A value quoted from it cannot be reliably attributed to a specific column. Read the source page before relying on it.' ELSE '' END AS warning
   FROM risks r JOIN structured s USING (doc_id) JOIN offsets a ON a.doc_id = r.doc_id AND a.line_no = start_line
@@ -227,17 +227,17 @@ CHUNK_ROWS = rf"""{SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, offsets AS (
   FROM segs g JOIN merged m ON m.doc_id = g.doc_id || '_' || b JOIN page p ON p.doc_id = g.doc_id
     LEFT JOIN heads h ON h.doc_id = g.doc_id AND h.start_at = head_at
 ), hit AS (
-  SELECT c.doc_id, c.s, arg_min(x.risk, x.region_index) AS risk, arg_min(x.warning, x.region_index) AS warning FROM placed c JOIN spans x
+  SELECT c.doc_id, c.s, arg_min(x.risk, x.region_index) AS risk, arg_min(x.warning, x.region_index) AS warning, arg_min(x.caption, x.region_index) AS caption FROM placed c JOIN spans x
     ON x.doc_id = c.doc_id AND c.s < x.ce AND c.s + length(c.t) > x.cs GROUP BY ALL
 ), chunk_rows AS (
 SELECT document_id || ':p' || page_number || ':' || c.s AS chunk_id, document_id, page_number, c.s AS char_start, least(c.s + length(t), n) AS char_end, t AS text,
   concat_ws(' ', chr(167) || num, '(' || marker || ')', 'p. ' || page_number) AS label, risk AS table_risk,
-  risk IS NULL OR risk IN ('none', 'low') AS safe_to_quote, CASE WHEN risk IN ('severe', 'ambiguous_columns') THEN 1 ELSE 0 END::BIGINT AS n_caveats, coalesce(warning, '') AS caveats
+  risk IS NULL OR risk IN ('none', 'low') AS safe_to_quote, CASE WHEN risk IN ('severe', 'ambiguous_columns') THEN 1 ELSE 0 END::BIGINT AS n_caveats, coalesce(warning, '') AS caveats, caption AS table_caption
 FROM placed c LEFT JOIN hit ON hit.doc_id = c.doc_id AND hit.s = c.s
 UNION ALL
 SELECT document_id || ':p' || page_number || ':unreadable', document_id, page_number, 0, greatest(length(text), 1),
   '[Page ' || page_number || ' contains no machine-readable text. It is a scan or drawing and has been rendered as an image.]',
-  'p. ' || page_number, NULL, true, 1, '' FROM page WHERE blind)"""
+  'p. ' || page_number, NULL, true, 1, '', NULL FROM page WHERE blind)"""
 
 _SIGNUP = """SELECT p.event_id, p.user_id, s.event_id AS latest_signup
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p
@@ -264,7 +264,7 @@ QUERIES = {
     "packed_sentences": (packed_sentences, _PACKED),
     "hard_cuts": (hard_cuts, _HARD),
     "split_passages": (split_passages, _SPLIT),
-    "chunks": (chunks, f"WITH RECURSIVE {CHUNK_ROWS} SELECT * EXCLUDE (caveats) FROM chunk_rows"),
+    "chunks": (chunks, f"WITH RECURSIVE {CHUNK_ROWS} SELECT * EXCLUDE (caveats, table_caption) FROM chunk_rows"),
     "chunk_labels": (chunk_labels, _LABELS),
     "region_overlap": (region_overlap, _OVERLAP),
     "line_offsets": (line_offsets, _LINES),

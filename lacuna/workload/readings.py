@@ -13,22 +13,13 @@ from lacuna.workload import geography as geo
 from lacuna.workload import reports as R
 from lacuna.workload.standins import finish
 
-_PROVIDER = {
-    "provider": "archive", "endpoint": "(recorded)", "licence": "CC-BY", "limitation": "A grid of about 9 km.",
-}
-
-
-def _from_provider(df):
-    return df.withColumns({k: F.lit(v) for k, v in _PROVIDER.items()} | {"retrieved_at": F.lit("2024-05-01").cast("timestamp")})
-
-
 def climate_reading(spark, sf_dir):
     """What each station's rain says: mean, peak, and how far the grid cell is."""
     days = geo.daily(spark, sf_dir)
     span = days.groupBy("site").agg(F.min("day").cast("string").alias("start_date"), F.max("day").cast("string").alias("end_date"))
     summed = G.climate_summary(days).join(span, "site").withColumn("finding_id", F.col("site"))
     drift = F.round(F.length("site") / 4.0, 2)
-    made = A.climate_statements(_from_provider(summed.withColumn("grid_drift_km", drift)))
+    made = A.climate_statements(R.provided(summed.withColumn("grid_drift_km", drift), R.CLIMATE_SOURCE))
     return finish(made.select("finding_id", "ordinal", "type", "text", "proxy_for", "limitation"))
 
 
@@ -37,16 +28,16 @@ _CLIMATE = f"""WITH {geo.DAILY}, y AS (SELECT site, count(*) AS years, round(avg
 p AS (SELECT site, round(mm, 1) AS peak, day FROM daily QUALIFY row_number() OVER (PARTITION BY site ORDER BY mm DESC, day) = 1),
 s AS (SELECT site, min(day) AS a, max(day) AS z, count(*) FILTER (mm >= 50) AS n FROM daily GROUP BY site)
 SELECT site AS finding_id, 30::BIGINT AS ordinal, 'fact' AS type, 'Mean annual precipitation ' || mean || ' mm across ' || years || ' years (' || a || ' to ' || z || ').' AS text,
-  'rainfall exposure at the site' AS proxy_for, '{_PROVIDER["limitation"]}' AS limitation FROM y JOIN s USING (site)
+  'rainfall exposure at the site' AS proxy_for, '{R.CLIMATE_SOURCE["limitation"]}' AS limitation FROM y JOIN s USING (site)
 UNION ALL SELECT site, 31, 'fact', 'Peak recorded daily rainfall ' || peak || ' mm on ' || day || '; ' || n || ' day(s) above 50 mm in the period.',
-  'intensity of extreme rainfall events', '{_PROVIDER["limitation"]}' FROM p JOIN s USING (site)
+  'intensity of extreme rainfall events', '{R.CLIMATE_SOURCE["limitation"]}' FROM p JOIN s USING (site)
 UNION ALL SELECT site, 230, 'assumption', 'Climate values describe an ERA5 grid cell ' || round(length(site) / 4.0::DOUBLE, 2) || ' km from the site, not the site itself.', NULL, NULL FROM s"""
 
 
 def terrain_reading(spark, sf_dir):
     """Elevation of each site, and what its neighbourhood makes of it."""
     t = geo.relief_position(spark, sf_dir).withColumn("finding_id", F.col("site").cast("string"))
-    made = A.terrain_statements(_from_provider(t))
+    made = A.terrain_statements(R.provided(t, R.CLIMATE_SOURCE))
     return finish(made.select("finding_id", "ordinal", "type", "text", "proxy_for", F.size("derived_from").alias("n_parents"), "confidence"))
 
 
@@ -93,12 +84,13 @@ _FAILED = "SELECT user_id::VARCHAR AS finding_id, event_type AS agent, json_extr
 
 
 def undifferentiating_rows(spark, sf_dir):
-    """Dimensions that every site has and none differs in, where only one nation is compared."""
-    one = R._cells(spark, sf_dir).where("site = '0'")
-    return O.undifferentiating(O.comparison_rows(one)).select("dimension", "label")
+    """Dimensions that every site has and none differs in, with the value they share."""
+    cells = R._cells(spark, sf_dir)
+    same = O.undifferentiating(O.comparison_rows(cells)).select("dimension", "label")
+    return same.join(cells.select("dimension", "value").distinct(), "dimension")
 
 
-_SAME = f"""WITH {R._CELLS} SELECT dimension, label FROM cells WHERE site = '0' GROUP BY ALL
+_SAME = f"""WITH {R._CELLS} SELECT dimension, label, min(value) AS value FROM cells GROUP BY ALL
 HAVING bool_and(established) AND NOT coalesce(min(value) <> max(value), false)"""
 
 

@@ -7,6 +7,7 @@ Nations are the sites compared.
 from pyspark.sql import functions as F
 
 from lacuna import values as V
+from lacuna.functions import places as LP
 from lacuna.functions import text as X
 from lacuna.operators import assembly as A
 from lacuna.operators import chunks as C
@@ -16,6 +17,7 @@ from lacuna.operators import geography as G
 from lacuna.operators import pages as P
 from lacuna.operators import reports as O
 from lacuna.operators import search as S
+from lacuna.operators.statements import statement
 from lacuna.session import materialise
 from lacuna.sources.tables import read_table
 from lacuna.workload import geography as geo
@@ -199,18 +201,62 @@ def _nations(spark, sf_dir):
     )
 
 
-def site_statements(spark, sf_dir):
-    """Statements about every nation's surroundings, from customers as features."""
+PLACE_TYPES = ["station", "suburb", "city"]
+#: All nations lie in one cell of the climate grid, which reads this station.
+STATION = "1-URGENT"
+CLIMATE_SOURCE = {"provider": "archive", "endpoint": "(recorded)", "licence": "CC-BY", "limitation": "A grid of about 9 km."}
+
+
+def provided(df, source):
+    return df.withColumns({k: F.lit(v) for k, v in source.items()} | {"retrieved_at": F.lit("2024-05-01").cast("timestamp")})
+
+
+def _resolved(spark, sf_dir):
+    """Every nation as a resolved place name, with what a geocoder says of it."""
+    n = F.col("n_nationkey")
+    place = F.element_at(F.array(*[F.lit(t) for t in PLACE_TYPES]), (n % 3 + 1).cast("int"))
+    found = read_table(spark, sf_dir, "nation").select(
+        n.cast("string").alias("finding_id"), F.col("n_name").alias("query"), (12.85 + n * 0.008).alias("latitude"), (77.50 + n * 0.008).alias("longitude"),
+        F.concat_ws(", ", "n_name", F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))).alias("display_name"), place.alias("place_type"),
+        LP.is_area_centroid(place).alias("is_area_centroid"), (n % 4 * 0.5).alias("extent_km"), (n % 5 == 0).alias("is_ambiguous"),
+        (n % 3 + 2).alias("candidates"), F.concat_ws("; ", "n_name", F.lit("elsewhere")).alias("names"))
+    return provided(found, {"provider": "geocoder", "endpoint": "(recorded)", "licence": "ODbL", "limitation": "Names are looked up, plots are not."})
+
+
+def _terrain(spark, sf_dir):
+    points = G.sample_points(_nations(spark, sf_dir))
+    elevation = F.when((F.col("site") + F.col("position")) % 13 != 0, 900.0 + (F.col("site") * 31 + F.col("position") * 17) % 23)
+    found = G.terrain(points.withColumn("elevation_m", elevation)).withColumn("finding_id", F.col("site").cast("string"))
+    return provided(found, CLIMATE_SOURCE)
+
+
+def _climate(spark, sf_dir):
+    days = geo.daily(spark, sf_dir).where(F.col("site") == STATION)
+    span = days.groupBy("site").agg(F.min("day").cast("string").alias("start_date"), F.max("day").cast("string").alias("end_date"))
+    read = G.climate_summary(days).join(span, "site").withColumn("grid_drift_km", F.lit(2.5)).drop("site")
+    # One row beside every nation.
+    keyed = _nations(spark, sf_dir).select(F.col("site").cast("string").alias("finding_id"), F.lit(STATION).alias("station"))
+    return provided(keyed.join(read.withColumn("station", F.lit(STATION)), "station").drop("station"), CLIMATE_SOURCE)
+
+
+def site_around(spark, sf_dir):
+    """Each nation's nearest features and counts, by finding_id."""
     sites = _nations(spark, sf_dir)
     around = G.features_around(sites, geo.features(spark, sf_dir))
     fid = F.col("site").cast("string")
-    made_by = sites.select(
-        fid.alias("finding_id"), F.lit("overpass").alias("provider"), F.lit("(recorded)").alias("endpoint"),
+    nearest = G.nearest_per_category(around).select(fid.alias("finding_id"), "category", "label", "distance_m")
+    return nearest, G.category_counts(sites, around).select(fid.alias("finding_id"), "category", "n")
+
+
+def site_statements(spark, sf_dir):
+    """All that is stated about every nation's place: where it is, what is near, rain and terrain."""
+    made_by = _nations(spark, sf_dir).select(
+        F.col("site").cast("string").alias("finding_id"), F.lit("overpass").alias("provider"), F.lit("(recorded)").alias("endpoint"),
         F.lit("2024-05-01").cast("timestamp").alias("retrieved_at"), F.lit("ODbL").alias("licence"), F.lit("Crowd-sourced.").alias("limitation"))
-    nearest = G.nearest_per_category(around).withColumn("finding_id", fid)
-    counts = G.category_counts(sites, around).withColumn("finding_id", fid)
-    return A.nearest_statements(made_by, nearest.select("finding_id", "category", "label", "distance_m")).unionByName(
-        A.density_statements(made_by, counts.select("finding_id", "category", "n")))
+    nearest, counts = site_around(spark, sf_dir)
+    return A.union_all([
+        A.location_statements(_resolved(spark, sf_dir)), A.nearest_statements(made_by, nearest), A.density_statements(made_by, counts),
+        A.climate_statements(_climate(spark, sf_dir)), A.terrain_statements(_terrain(spark, sf_dir))])
 
 
 def _site_facts(spark, sf_dir):
@@ -239,7 +285,9 @@ def differentiating_rows(spark, sf_dir):
 
 
 def site_coverage(spark, sf_dir):
-    s = site_statements(spark, sf_dir).withColumn("site", F.col("finding_id"))
+    page = pages(spark, sf_dir).select((F.col("page_number") % 25).cast("string").alias("finding_id"), F.col("page_number").alias("ordinal"), "raw_text")
+    passages = statement(page, "fact", "regulation", text=F.col("raw_text"), source_kind="document")
+    s = site_statements(spark, sf_dir).unionByName(passages).withColumn("site", F.col("finding_id"))
     nothing = _conflict_sites(spark, sf_dir).withColumn("site", (F.col("site_order") % 25).cast("string"))
     spots = _sides(spark, sf_dir)[4].withColumn("site", (F.col("page_start") % 25).cast("string"))
     return finish(O.site_coverage(s, nothing, spots, _cells(spark, sf_dir)))
@@ -248,7 +296,9 @@ def site_coverage(spark, sf_dir):
 def site_panels(spark, sf_dir):
     facts = O.context(site_statements(spark, sf_dir))
     findings = _nations(spark, sf_dir).select(F.col("site").cast("string").alias("finding_id"))
-    return finish(O.site_panels(facts, findings).drop("panel_order"))
+    shown = O.site_panels(facts, findings)
+    texts = F.array_join(F.transform("statements", lambda f: f["text"]), " | ")
+    return finish(shown.select("finding_id", "panel", "facts", "limitation", "available", texts.alias("texts")))
 
 
 def map_features(spark, sf_dir):
@@ -262,13 +312,45 @@ _NATIONS = geo.AROUND.replace(
     "SELECT n_nationkey::BIGINT AS site, 12.85::DOUBLE + n_nationkey * 0.008::DOUBLE AS slat, 77.50::DOUBLE + n_nationkey * 0.008::DOUBLE AS slon FROM nation")
 _PROX = "(VALUES " + ", ".join(f"({10 + i}, '{c}', '{p}')" for i, (c, p) in enumerate(V.PROXIES)) + ") AS p(ordinal, category, proxy)"
 _ORDER = "list_position([" + ", ".join(f"'{c}'" for c in V.CATEGORIES) + "], category)"
-SITE = f"""{_NATIONS}, {geo.COUNTS}, st AS (
+CLIMATE_SQL = f"""WITH {geo.DAILY}, y AS (SELECT site, count(*) AS years, round(avg(t), 1) AS mean FROM (
+    SELECT site, strftime(day, '%Y') AS year, sum(mm::DECIMAL(18,1))::DOUBLE AS t FROM daily GROUP BY ALL) GROUP BY site),
+p AS (SELECT site, round(mm, 1) AS peak, day FROM daily QUALIFY row_number() OVER (PARTITION BY site ORDER BY mm DESC, day) = 1),
+s AS (SELECT site, min(day) AS a, max(day) AS z, count(*) FILTER (mm >= 50) AS n FROM daily GROUP BY site)
+SELECT site AS finding_id, 30::BIGINT AS ordinal, 'fact' AS type, 'Mean annual precipitation ' || mean || ' mm across ' || years || ' years (' || a || ' to ' || z || ').' AS text,
+  'rainfall exposure at the site' AS proxy_for, '{CLIMATE_SOURCE["limitation"]}' AS limitation FROM y JOIN s USING (site)
+UNION ALL SELECT site, 31, 'fact', 'Peak recorded daily rainfall ' || peak || ' mm on ' || day || '; ' || n || ' day(s) above 50 mm in the period.',
+  'intensity of extreme rainfall events', '{CLIMATE_SOURCE["limitation"]}' FROM p JOIN s USING (site)
+UNION ALL SELECT site, 230, 'assumption', 'Climate values describe an ERA5 grid cell 2.5 km from the site, not the site itself.', NULL, NULL FROM s"""
+_GROUND = geo._TERRAIN.replace("FROM supplier", "FROM nation").replace(geo._SLAT, "(12.85::DOUBLE + n_nationkey * 0.008::DOUBLE)").replace(
+    geo._SLON, "(77.50::DOUBLE + n_nationkey * 0.008::DOUBLE)").replace("s_suppkey AS site", "n_nationkey::BIGINT AS site")
+_AREAS = "(" + ", ".join(f"'{t}'" for t in V.AREA_PLACE_TYPES) + ")"
+SITE = f"""{_NATIONS}, {geo.COUNTS}, ground AS ({_GROUND}), located AS (
+  SELECT *, place IN {_AREAS} AS area FROM (
+    SELECT n_nationkey::BIGINT AS n, n_nationkey::VARCHAR AS k, n_name AS name, n_regionkey AS region, 12.85::DOUBLE + n_nationkey * 0.008::DOUBLE AS lat,
+      77.50::DOUBLE + n_nationkey * 0.008::DOUBLE AS lon, {PLACE_TYPES}[n_nationkey % 3 + 1] AS place, (n_nationkey % 4) * 0.5::DOUBLE AS extent FROM nation)
+), st AS (
   SELECT s.site::VARCHAR AS finding_id, CASE WHEN distance_m IS NULL THEN 200 ELSE 0 END + ordinal AS ordinal, CASE WHEN distance_m IS NULL THEN 'assumption' ELSE 'fact' END AS type,
     CASE WHEN distance_m IS NULL THEN 'No ' || replace(p.category, '_', ' ') || ' is mapped within the search radius. This is not evidence that none exists.'
       ELSE 'Nearest mapped ' || replace(p.category, '_', ' ') || ': ' || label || ' at ' || round_even(distance_m, 0)::BIGINT || ' m (straight-line).' END AS text,
     CASE WHEN distance_m IS NOT NULL THEN proxy END AS proxy_for, CASE WHEN distance_m IS NOT NULL THEN 'Crowd-sourced.' END AS limitation
   FROM sites s CROSS JOIN {_PROX} LEFT JOIN nearest n ON n.site = s.site AND n.category = p.category
   UNION ALL
+  SELECT k, 0, 'fact', chr(8220) || name || chr(8221) || ' resolves to ' || printf('%.6f', lat) || ', ' || printf('%.6f', lon) || ' ' || chr(8212) || ' ' || name || ', region ' || region || '.',
+    CASE WHEN area THEN 'the location of the site under consideration' END, 'Names are looked up, plots are not.' FROM located
+  UNION ALL
+  SELECT k, 200, 'assumption', 'All measurements below describe the centroid of ' || place || ' ' || chr(8220) || name || chr(8221) ||
+    CASE WHEN extent <> 0 THEN ', an area spanning roughly ' || extent || ' km' ELSE '' END || ', not a specific plot.', NULL, NULL FROM located WHERE area
+  UNION ALL
+  SELECT k, 201, 'assumption', chr(8220) || name || chr(8221) || ' matched ' || (n % 3 + 2) || ' distinct locations (' || name || '; elsewhere). The highest-ranked was used.', NULL, NULL
+  FROM located WHERE n % 5 = 0
+  UNION ALL
+  SELECT k, c.ordinal, c.type, c.text, c.proxy_for, c.limitation FROM located CROSS JOIN ({CLIMATE_SQL}) c WHERE c.finding_id = '{STATION}'
+  UNION ALL
+  SELECT site::VARCHAR, 40, 'fact', 'Site elevation ' || site_elevation_m || ' m; local relief ' || local_relief_m || ' m across sampled points within {V.SAMPLE_RADIUS_M} m.',
+    'position within the local catchment', '{CLIMATE_SOURCE["limitation"]}' FROM ground
+  UNION ALL
+  SELECT site::VARCHAR, 100, 'inference', position_description, NULL, NULL FROM ground
+  UNION ALL
   SELECT site::VARCHAR, 20, 'fact', sum(n) || ' features mapped near this point: ' || string_agg(n || ' ' || replace(category, '_', ' '), ', ' ORDER BY {_ORDER}) || '.',
     'density and maturity of surrounding development', 'Crowd-sourced.' FROM counts GROUP BY site)"""
 _DIMS = "(VALUES " + ", ".join(f"({i}, '{k}', '{l}', '{w[0]}')" for i, (k, l, w) in enumerate(V.DIMENSIONS)) + ") AS d(row_order, dimension, label, keyword)"
@@ -299,11 +381,13 @@ UNION ALL SELECT finding_id, 710, 'inference', p, NULL, 'high' FROM zoned JOIN p
 x AS (SELECT finding_id AS site, {", ".join(f"count(*) FILTER (type = '{t}') AS {t}" for t in V.STATEMENT_TYPES)} FROM st GROUP BY 1),
 y AS (SELECT (split_part(finding_id, ':', 2)::BIGINT % 25)::VARCHAR AS site, count(*) AS conflicts FROM found GROUP BY 1),
 z AS (SELECT (page_number % 25)::VARCHAR AS site, sum(n_chars % 15 + 1)::BIGINT AS unreadable_pages FROM pages_in WHERE page_number % 5 = 0 GROUP BY 1)
-SELECT x.*, 0::BIGINT AS evidence_passages, coalesce(conflicts, 0) AS conflicts, coalesce(unreadable_pages, 0) AS unreadable_pages,
+SELECT x.* REPLACE (x.fact + coalesce(e.n, 0) AS fact), coalesce(e.n, 0) AS evidence_passages, coalesce(conflicts, 0) AS conflicts, coalesce(unreadable_pages, 0) AS unreadable_pages,
   (SELECT count(*) FROM cells c WHERE c.site = x.site AND established) AS cells_established, (SELECT count(*) FROM cells c WHERE c.site = x.site) AS cells_total
-FROM x LEFT JOIN y USING (site) LEFT JOIN z USING (site)"""),
-    "site_panels": (site_panels, f"""WITH {SITE}, f AS (SELECT finding_id, {_PANEL} AS panel FROM st WHERE type = 'fact')
-SELECT s.site::VARCHAR AS finding_id, p.panel, count(f.panel) AS facts, CASE WHEN count(f.panel) > 0 THEN 'Crowd-sourced.' END AS limitation, count(f.panel) > 0 AS available
+FROM x LEFT JOIN y USING (site) LEFT JOIN z USING (site)
+  LEFT JOIN (SELECT (page_number % 25)::VARCHAR AS site, count(*) AS n FROM pages_in GROUP BY 1) e USING (site)"""),
+    "site_panels": (site_panels, f"""WITH {SITE}, f AS (SELECT finding_id, ordinal, text, limitation, {_PANEL} AS panel FROM st WHERE type = 'fact')
+SELECT s.site::VARCHAR AS finding_id, p.panel, count(f.panel) AS facts, arg_min(f.limitation, f.ordinal) AS limitation, count(f.panel) > 0 AS available,
+  coalesce(string_agg(f.text, ' | ' ORDER BY f.ordinal), '') AS texts
 FROM sites s CROSS JOIN {_PANELS} LEFT JOIN f ON f.finding_id = s.site::VARCHAR AND f.panel = p.panel GROUP BY ALL"""),
     "map_features": (map_features, f"""WITH {_NATIONS} SELECT feature_id AS osm_id, coalesce(name, 'unnamed ' || replace(category, '_', ' ')) AS label,
   'https://www.openstreetmap.org/node/' || feature_id AS osm_url, CASE feature_id % 11 """ + " ".join(f"WHEN {i} THEN '{','.join(k for k, _ in pairs)}'" for i, (pairs, _) in enumerate(geo.TAGS)) + " END AS tag_keys, count(*) AS n FROM around GROUP BY ALL"),
