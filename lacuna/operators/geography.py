@@ -5,18 +5,27 @@ from pyspark.sql import functions as F
 
 from lacuna import values as V
 from lacuna.functions import places as P
+from lacuna.session import materialise
 
 _CELL = 0.03  # degrees, about the widest search radius
+#: A cell is halved both ways up to so many times, while it holds more features of a category than LEAF.
+_DEPTH = 10
+LEAF = 2048
+_FINE = _CELL / (1 << _DEPTH)
 _LON_CELLS = int(360 / _CELL)
 _DEGREE_M = 111_194.9
+#: By how much distances to boxes are widened: their nearest and farthest points are those of a plane.
+_SLACK, _SLACK_M = 0.01, 1.0
 
+_LEAF_KEY = ["category", "_level", "_y", "_x", "_part"]
 
-def _lat_cell(lat: Column) -> Column:
-    return F.floor((lat + 90) / _CELL).cast("long")
 
+def _lat_fine(lat: Column) -> Column:
+    return F.floor((lat + 90) / _FINE).cast("long")
 
-def _lon_cell(lon: Column) -> Column:
-    return F.floor((lon + 180) / _CELL).cast("long")
+
+def _lon_fine(lon: Column) -> Column:
+    return F.floor((lon + 180) / _FINE).cast("long")
 
 
 def _radius_of(category: Column) -> Column:
@@ -26,42 +35,111 @@ def _radius_of(category: Column) -> Column:
     return out.otherwise(None)
 
 
-def features_around(sites: DataFrame, features: DataFrame) -> DataFrame:
-    """(site, feature) pairs within the category's radius.
+def placed_in_cells(features: DataFrame, at_most: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """Features with the cell they are kept in, and the cells with what they hold.
 
-    sites(site, latitude, longitude); features(feature_id, category, name,
-    latitude, longitude).  For each category a site names the grid cells that a box
-    of the category's radius touches, and meets features on category and cell, so
-    a category with a short reach is not looked for further.
+    Cells form a quadtree over a coarse grid, per category: where features are dense,
+    cells are small, so a city is as many join keys as it needs.  What still shares the
+    smallest cell is dealt out by id.  The second table has for each cell its coarse
+    cell (_y0, _x0), the box of its features, and `n`.
+    """
+    fine = features.withColumn("_fy", _lat_fine(F.col("latitude"))).withColumn("_fx", _lon_fine(F.col("longitude")))
+    open_ = fine.groupBy("category", "_fy", "_fx").agg(F.count(F.lit(1)).alias("_n"))
+    leaves = None
+    for level in range(_DEPTH + 1):
+        # Only what lies in crowded cells goes on to the next level.
+        up = _DEPTH - level
+        cell = open_.withColumn("_y", F.shiftright("_fy", up)).withColumn("_x", F.shiftright("_fx", up))
+        sums = cell.groupBy("category", "_y", "_x").agg(F.sum("_n").alias("_sum"))
+        cell = materialise(cell.join(sums, ["category", "_y", "_x"]).withColumn("_level", F.lit(level)))
+        kept = cell if level == _DEPTH else cell.where(F.col("_sum") <= at_most)
+        leaves = kept if leaves is None else leaves.unionByName(kept)
+        open_ = cell.where(F.col("_sum") > at_most).select("category", "_fy", "_fx", "_n")
+        if level == _DEPTH or not open_.head(1):
+            break
+    parts = leaves.select("category", "_fy", "_fx", "_level", "_y", "_x", F.ceil(F.col("_sum") / at_most).alias("_parts"))
+    placed = materialise(
+        fine.join(parts, ["category", "_fy", "_fx"]).withColumn("_part", F.pmod(F.xxhash64("feature_id"), F.col("_parts")))
+        .withColumn("_y0", F.shiftright("_fy", _DEPTH)).withColumn("_x0", F.pmod(F.shiftright("_fx", _DEPTH), F.lit(_LON_CELLS))).drop("_fy", "_fx", "_parts"))
+    cells = placed.groupBy(*_LEAF_KEY, "_y0", "_x0").agg(
+        F.count(F.lit(1)).alias("n"), F.min("latitude").alias("south"), F.max("latitude").alias("north"),
+        F.min("longitude").alias("west"), F.max("longitude").alias("east"))
+    return placed.drop("_y0", "_x0"), materialise(cells)
+
+
+def cells_in_reach(sites: DataFrame, cells: DataFrame) -> DataFrame:
+    """(site, cell) where the cell's box comes within the category's radius, with bounds of the distance to its features.
+
+    A site names the coarse cells that a box of the radius touches; what meets there
+    are cells with their boxes, not features.
     """
     reaches = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(r / _DEGREE_M).alias("dlat")) for c, r in V.QUERY_PLAN))
     located = sites.select(
         "site", F.col("latitude").alias("site_latitude"), F.col("longitude").alias("site_longitude"), F.inline(reaches)
     )
-    dlat = F.col("dlat")
+    dlat = F.col("dlat") + 1e-9
     dlon = dlat / F.greatest(F.lit(0.01), F.cos(F.radians(F.abs("site_latitude") + dlat)))
-    lat_cells = F.sequence(_lat_cell(F.col("site_latitude") - dlat), _lat_cell(F.col("site_latitude") + dlat))
-    lon_cells = F.sequence(_lon_cell(F.col("site_longitude") - dlon), _lon_cell(F.col("site_longitude") + dlon))
+    coarse = lambda fine: F.shiftright(fine, _DEPTH)
+    lat_cells = F.sequence(coarse(_lat_fine(F.col("site_latitude") - dlat)), coarse(_lat_fine(F.col("site_latitude") + dlat)))
+    lon_cells = F.sequence(coarse(_lon_fine(F.col("site_longitude") - dlon)), coarse(_lon_fine(F.col("site_longitude") + dlon)))
     spread = (
-        located.withColumn("_y", F.explode(lat_cells))
-        .withColumn("_x", F.explode(F.array_distinct(F.transform(lon_cells, lambda x: F.pmod(x, F.lit(_LON_CELLS))))))
+        located.withColumn("_y0", F.explode(lat_cells))
+        .withColumn("_x0", F.explode(F.array_distinct(F.transform(lon_cells, lambda x: F.pmod(x, F.lit(_LON_CELLS))))))
         .drop("dlat")
     )
-    placed = features.withColumn("_y", _lat_cell(F.col("latitude"))).withColumn(
-        "_x", F.pmod(_lon_cell(F.col("longitude")), F.lit(_LON_CELLS))
-    )
-    distance = P.haversine_m(
-        F.col("site_latitude"), F.col("site_longitude"), F.col("latitude"), F.col("longitude")
+    lat, lon = F.col("site_latitude"), F.col("site_longitude")
+    turn = lambda e: F.abs(F.pmod(e - lon + 180, F.lit(360.0)) - 180)
+    to = lambda y, x: P.haversine_m(lat, lon, y, x)
+    edge = F.when(lon.between(F.col("west"), F.col("east")), lon).when(turn(F.col("west")) <= turn(F.col("east")), F.col("west")).otherwise(F.col("east"))
+    nearest = to(F.least(F.greatest(lat, F.col("south")), F.col("north")), edge)
+    farthest = F.greatest(*(to(F.col(y), F.col(x)) for y in ("south", "north") for x in ("west", "east")))
+    return (
+        cells.join(spread, ["category", "_y0", "_x0"])
+        .withColumn("at_least", nearest * (1 - _SLACK) - _SLACK_M)
+        .withColumn("at_most", farthest * (1 + _SLACK) + _SLACK_M)
+        .where(F.col("at_least") <= _radius_of(F.col("category")))
+        .select("site", "site_latitude", "site_longitude", *_LEAF_KEY, "n", "at_least", "at_most")
     )
+
+
+def _measured(placed: DataFrame, reached: DataFrame) -> DataFrame:
+    """Features of the cells given, within the radius, with their distance."""
+    distance = P.haversine_m(F.col("site_latitude"), F.col("site_longitude"), F.col("latitude"), F.col("longitude"))
     return (
-        placed.join(spread, ["category", "_y", "_x"])
+        placed.join(reached.select("site", "site_latitude", "site_longitude", *_LEAF_KEY), _LEAF_KEY)
         .withColumn("_exact", distance)
         .where(F.col("_exact") <= _radius_of(F.col("category")))
         .withColumn("distance_m", F.round("_exact", 1))
-        .drop("_x", "_y", "_exact", "site_latitude", "site_longitude")
+        .drop("_level", "_y", "_x", "_part", "_exact", "site_latitude", "site_longitude")
     )
 
 
+def features_around(sites: DataFrame, features: DataFrame, at_most: int = LEAF) -> DataFrame:
+    """(site, feature) pairs within the category's radius.
+
+    sites(site, latitude, longitude); features(feature_id, category, name, latitude,
+    longitude).  For each category a site looks only as far as the category's radius.
+    """
+    placed, cells = placed_in_cells(features, at_most)
+    return _measured(placed, cells_in_reach(sites, cells))
+
+
+def promising_cells(reached: DataFrame) -> DataFrame:
+    """Of each site and category, the cells that can hold the nearest feature.
+
+    Every cell holds a feature, so the nearest is no farther than the least of the
+    greatest distances; a cell that begins beyond that is never opened.
+    """
+    best = reached.groupBy("site", "category").agg(F.min("at_most").alias("_best"))
+    return reached.join(best, ["site", "category"]).where(F.col("at_least") <= F.col("_best")).drop("_best")
+
+
+def nearest_features(sites: DataFrame, features: DataFrame, at_most: int = LEAF) -> DataFrame:
+    """nearest_per_category of features_around, without pairing a site with all that is around it."""
+    placed, cells = placed_in_cells(features, at_most)
+    return nearest_per_category(_measured(placed, promising_cells(materialise(cells_in_reach(sites, cells)))))
+
+
 def nearest_per_category(around: DataFrame) -> DataFrame:
     """Closest feature of each category per site, the lowest id on equal distance."""
     best = F.min(F.struct("distance_m", "feature_id", "name"))

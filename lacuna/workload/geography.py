@@ -66,7 +66,7 @@ def radius_search(spark, sf_dir):
 
 
 def nearest_per_category(spark, sf_dir):
-    return G.nearest_per_category(_around(spark, sf_dir))
+    return G.nearest_features(sites(spark, sf_dir), features(spark, sf_dir))
 
 
 def category_counts(spark, sf_dir):

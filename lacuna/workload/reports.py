@@ -244,7 +244,7 @@ def site_around(spark, sf_dir):
     sites = _nations(spark, sf_dir)
     around = G.features_around(sites, geo.features(spark, sf_dir))
     fid = F.col("site").cast("string")
-    nearest = G.nearest_per_category(around).select(fid.alias("finding_id"), "category", "label", "distance_m")
+    nearest = G.nearest_features(sites, geo.features(spark, sf_dir)).select(fid.alias("finding_id"), "category", "label", "distance_m")
     return nearest, G.category_counts(sites, around).select(fid.alias("finding_id"), "category", "n")
 
 
