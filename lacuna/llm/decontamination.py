@@ -194,8 +194,12 @@ def proximity(likely: DataFrame) -> DataFrame:
     both = "aggregate(array_distinct(w), 0, (t, x) -> t + least(size(filter(w, y -> y = x)), size(filter(d, y -> y = x))))"
     close = f"filter({runs('item_words')}, w -> size(filter(w, x -> array_contains(doc_words, x))) >= needed)"
     best = f"coalesce(array_max(flatten(transform({close}, w -> transform({runs('doc_words')}, d -> {both})))), 0)"
-    met = likely.withColumn("met", F.expr(best)).where("met >= needed")
-    return met.groupBy("doc_id", "text_key", "item").agg(F.max(F.col("met") / F.col("k")).alias("share"))
+    # Passages that many documents share are measured once.
+    pair = F.xxhash64("item_words", "doc_words", "k", "needed")
+    keyed = likely.withColumn("pair", pair)
+    distinct = keyed.groupBy("pair").agg(*(F.first(c).alias(c) for c in ("item_words", "doc_words", "k", "needed")))
+    met = distinct.withColumn("met", F.expr(best)).where("met >= needed").select("pair", (F.col("met") / F.col("k")).alias("share"))
+    return keyed.select("doc_id", "text_key", "item", "pair").join(stored(met, "near-pairs"), "pair").groupBy("doc_id", "text_key", "item").agg(F.max("share").alias("share"))
 
 
 def near_matches(docs: DataFrame, items: DataFrame, frequency: DataFrame, exact: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
