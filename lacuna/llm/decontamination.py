@@ -4,21 +4,21 @@ A window is `WINDOW` consecutive words of a benchmark item (a shorter item is on
 window).  The steps:
 
 1. frequencies of the benchmark's terms in the training texts;
-2. of each window, its two rarest terms (anchors);
-3. an index of the training texts: a posting (term, document, position) for each
-   occurrence of an anchor term, stored with the words around it;
-4. the lists of the two rarest terms are moved by their offsets in the item and
-   intersected on (document, item, offset); what is left is verified word by word in
-   the neighbourhoods that the postings carry.
-
-A near match is a stretch of as many words as a window that holds at least `NEAR` of
-the window's words, in any order.  It is found by the rarest words of the window, one
-more than it may lack: where one of them stands, the words around it are compared with
-the item's as sets of hashes, and word by word where these have enough in common.
-
-So common terms, which fill most of the texts, have no lists, and texts are never
-shuffled.  Tables made from the benchmark alone are stored and read back, so Spark
-broadcasts them where their true size allows and shuffles beyond that.
+2. of each window, its rarest terms (anchors): two, and for near matches one more than
+   a window may lack;
+3. an index of the training texts: a posting (document, position) for each occurrence
+   of an anchor, with the hashes of the words around it, kept where these share enough
+   with the words around the anchor in its item;
+4. exact matches: the lists of a window's two rarest terms are moved by their offsets in
+   the item and intersected on (document, item, offset), and what is left is verified
+   word by word in the neighbourhoods that the postings carry;
+5. near matches: a stretch of as many words as a window that holds at least `NEAR` of
+   the window's words, in any order, found in the same neighbourhoods.
+
+So common terms, which fill most of the texts, have no lists, nothing but likely places
+leaves a task, and texts are never shuffled.  Tables made from the benchmark alone are
+stored and read back; they are broadcast where their size allows, and joined beyond.
+Equal 64-bit hashes of words count as equal words.
 
 Null and empty texts have no words; null and empty items have no windows; an item
 without id marks words but is not listed.  Repeated items count once.  Identical rows
@@ -36,7 +36,9 @@ from lacuna.llm.native_words import words
 WINDOW = 10
 #: Share of a window's words that a near match has in as many words of the text, in any order.
 NEAR = 0.8
-#: Places of near matches that are broadcast, of at most some 200 bytes each; more are joined.
+#: Stands for the end of a text among its words' hashes.
+END = -0x7A3D_51C6_0E92_4B8F
+#: Places that are broadcast, of at most some 200 bytes each; more are joined.
 BROADCAST = 200_000
 
 
@@ -70,79 +72,59 @@ def _ranked(items: DataFrame, frequency: DataFrame, width: int) -> DataFrame:
         F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct(n, (F.col("s") + F.col("o")).alias("p")))).alias("rare"))
 
 
-def _places(found: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """item, p, term, and the item's words before and after p, of the places in `found`."""
-    places = found.distinct().join(items.select("item", "words"), "item")
-    return places.select("item", "p", F.expr("words[p]").alias("term"), *_around(F.col("words"), F.col("p"), width, "item_"))
+def anchors(items: DataFrame, frequency: DataFrame, width: int = WINDOW, share: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """The places by which matches are found, and which of them exact ones need.
 
-
-def anchors(items: DataFrame, frequency: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The two rarest places of each window.
-
-    First table: item, p, term, and the item's words before and after p.  Second:
-    item, item_id, size of a window, and `pairs`, the places to intersect.  Both are
-    as large as the benchmark.
+    First table: item, p, term_key, `item_words`, the hashes of the words around p, and
+    `item_at`, where p is in them; k, the words of a window; `needed`, those of a near
+    match.  Of its rarest words, one more than a window may lack, a near match has one
+    at least; words that no text has are among those it lacks.  `distinct` is the least
+    number of different words that a match has in common with these: outside a window,
+    and by repetition in it, no more go than there are places.  Second table: item,
+    item_id, and `pairs`, the two rarest places of each window that can stand in a text
+    as it is.  Both are as large as the benchmark.
     """
-    # A window with a term that no text has cannot occur as it is.
-    found = _ranked(items, frequency, width).where(F.col("rare")[0]["n"] > 0).select(
-        "item", "size", F.col("rare")[0]["p"].alias("p1"), F.get("rare", F.lit(1))["p"].alias("p2"))
-    found = stored(found.distinct(), "window-anchors")
-    pairs = items.select("item", "item_id").join(
-        found.groupBy("item").agg(F.first("size").alias("size"), F.collect_list(F.struct("p1", "p2")).alias("pairs")), "item")
-    places = found.select("item", F.explode(F.array("p1", "p2")).alias("p")).where("p IS NOT NULL")
-    return stored(_places(places, items, width), "anchors"), stored(pairs, "anchor-pairs")
-
-
-def _needed(size: Column, share: float) -> Column:
-    """How many of so many words are the share."""
-    return F.ceil(F.round(size * share, 6)).cast("int")
-
-
-def near_places(items: DataFrame, frequency: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
-    """The places by which all near matches are found, with the hashes of the words around them.
-
-    Of its rarest words, one more than a window may lack, a near match has one at
-    least.  Words that no text has are among those it lacks.  `distinct` is the least
-    number of different words that a near match has in common with these: outside a
-    window, and by repetition in it, no more go than there are places.
-    """
-    few = F.slice("rare", F.lit(1), F.col("size") - _needed(F.col("size"), share) + 1)
-    found = _ranked(items, frequency, width).select("item", F.explode(few).alias("r")).where("r.n > 0").select("item", "r.p").distinct()
+    ranked = stored(_ranked(items, frequency, width), "ranked-windows")
+    exact = ranked.where(F.col("rare")[0]["n"] > 0).select("item", F.col("rare")[0]["p"].alias("p1"), F.get("rare", F.lit(1))["p"].alias("p2")).distinct()
+    pairs = items.select("item", "item_id").join(exact.groupBy("item").agg(F.collect_list(F.struct("p1", "p2")).alias("pairs")), "item")
+    few = F.greatest(F.col("size") - _needed(F.col("size"), share) + 1, F.least(F.lit(2), F.col("size")))
+    found = ranked.select("item", F.explode(F.slice("rare", F.lit(1), few)).alias("r")).where("r.n > 0").select("item", "r.p").distinct()
     low = F.greatest(F.col("p") - (width - 1), F.lit(0))
     around = F.transform(F.slice("words", low + 1, F.col("p") - low + width), lambda w: F.xxhash64(w))
     placed = found.join(items.select("item", "words"), "item").select(
-        "item", F.xxhash64(F.expr("words[p]")).alias("term_key"), around.alias("item_words"), F.least(F.size("words"), F.lit(width)).alias("k"))
-    needed = _needed(F.col("k"), share)
-    return stored(placed.select("*", needed.alias("needed"), F.expr("size(array_distinct(item_words)) - size(item_words)").alias("d")).withColumn(
-        "distinct", F.col("d") + F.col("needed")).drop("d").distinct(), "near-places")
+        "item", "p", F.xxhash64(F.expr("words[p]")).alias("term_key"), around.alias("item_words"), (F.col("p") - low).alias("item_at"),
+        F.least(F.size("words"), F.lit(width)).alias("k")).withColumn("needed", _needed(F.col("k"), share))
+    distinct = F.expr("size(array_distinct(item_words)) - size(item_words) + needed").alias("distinct")
+    return stored(placed.select("*", distinct), "anchors"), stored(pairs, "anchor-pairs")
 
 
-def _around(w: Column, at: Column, width: int, prefix: str = "") -> list[Column]:
-    """Up to width - 1 words before (nearest first) and after a place."""
-    low = F.greatest(at - (width - 1), F.lit(0))
-    return [
-        F.reverse(F.slice(w, low + 1, at - low)).alias(f"{prefix}before"),
-        F.slice(w, at + 2, F.lit(width - 1)).alias(f"{prefix}after"),
-    ]
+def _needed(size: Column, share: float) -> Column:
+    """How many of so many words are the share."""
+    return F.ceil(F.round(size * share, 6)).cast("int")
 
 
-def index(docs: DataFrame, terms: DataFrame | None = None, width: int = WINDOW) -> DataFrame:
-    """Stored postings: term, doc_id, text_key, pos, and the words before and after.
+def index(docs: DataFrame, places: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Stored postings of the anchors, kept where the words around them share enough with the item's.
 
-    With `terms`, of those alone.  One more row per document has no term and, as its
-    pos, the number of words.
+    doc_id, text_key, pos, the columns of `places`, and `doc_words`, the hashes around
+    pos, with `doc_at`, where pos is in them.  One more row per document has no item
+    and, as its pos, the number of words.
     """
-    each = _each_word(docs)
-    end = F.col("term") == ""
-    if terms is None:
-        kept = each
-    else:
-        known = F.coalesce("known", F.lit(False))
-        kept = each.join(terms.select("term", F.lit(True).alias("known")), "term", "left").where(known | end)
-    before, after = _around(F.col("words"), F.col("pos"), width)
-    return stored(kept.select(
-        F.when(~end, F.col("term")).alias("term"), "doc_id", "text_key", "pos", F.when(~end, before).alias("before"), F.when(~end, after).alias("after"),
-    ), "postings")
+    end = F.lit(END).cast("long")
+    closing = places.sparkSession.range(1).select(
+        *(end.alias(c) if c == "term_key" else F.lit(0).alias(c) if c == "distinct" else F.lit(None).cast(t).alias(c) for c, t in places.dtypes))
+    known = places.unionByName(closing)
+    hashes = F.array_append(F.transform(words(), lambda w: F.xxhash64(w)), end)
+    each = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), hashes.alias("hashes")).select(
+        "doc_id", "text_key", "hashes", F.posexplode("hashes").alias("pos", "term_key"))
+    met = each.join(F.broadcast(known) if places.count() <= BROADCAST else known, "term_key")
+    low = F.greatest(F.col("pos") - (width - 1), F.lit(0))
+    # The end of a text is no word.
+    doc_words = F.slice("hashes", low + 1, F.least(F.col("pos") - low + width, F.size("hashes") - 1 - low))
+    around = met.withColumn("doc_words", F.when(F.col("item").isNotNull(), doc_words))
+    likely = F.col("item").isNull() | (F.size(F.array_intersect("item_words", "doc_words")) >= F.col("distinct"))
+    return stored(around.where(likely).select(
+        "doc_id", "text_key", "pos", "item", "p", "k", "needed", "item_words", "item_at", "doc_words", (F.col("pos") - low).alias("doc_at")), "postings")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -151,40 +133,24 @@ def _agree(a: Column, b: Column) -> Column:
     return F.when(first_other > 0, first_other - 1).otherwise(F.size(a))
 
 
-def offset_lists(postings: DataFrame, places: DataFrame) -> DataFrame:
-    """Postings of the anchors moved by their offset: where the item would begin in the document."""
-    return postings.where("term IS NOT NULL").join(places, "term").withColumn("begin", F.col("pos") - F.col("p"))
-
+def phrases(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact matches: doc_id, text_key, item, item_id, and the stretch of words low to high.
 
-def phrases(lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact matches: doc_id, text_key, item, item_id, and the stretch of words low to high."""
-    moved = lists.select(
-        "doc_id", "text_key", "item", "begin",
-        F.struct("p", _agree(F.col("before"), F.col("item_before")).alias("a"), _agree(F.col("after"), F.col("item_after")).alias("b")).alias("at"))
-    met = moved.groupBy("doc_id", "text_key", "item", "begin").agg(F.collect_set("at").alias("ats")).join(pairs, "item")
+    A posting moved by its offset says where the item would begin in the document.
+    """
+    before = lambda w, at: F.reverse(F.slice(w, 1, F.col(at)))
+    after = lambda w, at: F.slice(w, F.col(at) + 2, F.size(w))
+    moved = postings.where("item IS NOT NULL").select(
+        "doc_id", "text_key", "item", "k", (F.col("pos") - F.col("p")).alias("begin"),
+        F.struct("p", _agree(before("doc_words", "doc_at"), before("item_words", "item_at")).alias("a"),
+                 _agree(after("doc_words", "doc_at"), after("item_words", "item_at")).alias("b")).alias("at"))
+    met = moved.groupBy("doc_id", "text_key", "item", "k", "begin").agg(F.collect_set("at").alias("ats")).join(pairs, "item")
     both = F.expr("exists(pairs, q -> exists(ats, x -> x.p = q.p1) AND (q.p2 IS NULL OR exists(ats, x -> x.p = q.p2)))")
-    runs = met.where(both).select("doc_id", "text_key", "item", "item_id", "begin", "size", F.explode("ats").alias("x"))
-    return runs.where("x.a + x.b + 1 >= size").selectExpr(
+    runs = met.where(both).select("doc_id", "text_key", "item", "item_id", "begin", "k", F.explode("ats").alias("x"))
+    return runs.where("x.a + x.b + 1 >= k").selectExpr(
         "doc_id", "text_key", "item", "item_id", "begin + x.p - x.a AS low", "begin + x.p + x.b AS high")
 
 
-def likely_places(docs: DataFrame, places: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Occurrences of `places` with so many of the words around them that a near match is possible.
-
-    doc_id, text_key, item, and the hashes of the words around both.  Hashes meet their
-    places where the text is split, so nothing but what is kept leaves a task; places
-    are broadcast up to BROADCAST of them, and joined by term beyond.
-    """
-    hashes = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), F.transform(words(), lambda w: F.xxhash64(w)).alias("hashes"))
-    each = hashes.select("doc_id", "text_key", "hashes", F.posexplode("hashes").alias("pos", "term_key"))
-    small = places.count() <= BROADCAST
-    met = each.join(F.broadcast(places) if small else places, "term_key")
-    low = F.greatest(F.col("pos") - (width - 1), F.lit(0))
-    around = met.withColumn("doc_words", F.slice("hashes", low + 1, F.col("pos") - low + width))
-    return around.where(F.size(F.array_intersect("item_words", "doc_words")) >= F.col("distinct")).select(
-        "doc_id", "text_key", "item", "k", "needed", "item_words", "doc_words")
-
-
 def proximity(likely: DataFrame) -> DataFrame:
     """doc_id, text_key, item and share: stretches with enough of a window's words, in any order.
 
@@ -202,13 +168,12 @@ def proximity(likely: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "text_key", "item", "pair").join(stored(met, "near-pairs"), "pair").groupBy("doc_id", "text_key", "item").agg(F.max("share").alias("share"))
 
 
-def near_matches(docs: DataFrame, items: DataFrame, frequency: DataFrame, exact: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
+def near_matches(postings: DataFrame, exact: DataFrame) -> DataFrame:
     """doc_id, text_key, item and share of near matches of items that do not stand there as they are.
 
     exact: doc_id, text_key and item of exact matches.
     """
-    places = near_places(items, frequency, width, share)
-    likely = stored(likely_places(docs, places, width), "likely-places")
+    likely = postings.where("item IS NOT NULL").select("doc_id", "text_key", "item", "k", "needed", "item_words", "doc_words")
     known = exact.select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key"), F.col("item").alias("x_item")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("text_key") == F.col("x_key")) & (F.col("item") == F.col("x_item"))
     return proximity(likely.join(known, same, "left_anti"))
@@ -225,12 +190,12 @@ class Matches:
 
 
 def find_all(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = NEAR) -> Matches:
-    """Exact and near matches; the frequencies of the benchmark's terms are counted once for both."""
+    """Exact and near matches, from one index; with a share of 1 it has what exact ones need."""
     items = benchmark_items(benchmark)
-    frequency = stored(frequencies(docs, items), "benchmark-frequencies")
-    exact, postings = _matches(docs, items, frequency, width)
-    exact = stored(exact, "exact-matches")
-    return Matches(exact, stored(near_matches(docs, items, frequency, exact, width, share), "near-matches"), postings, items)
+    places, pairs = anchors(items, frequencies(docs, items), width, share)
+    postings = index(docs, places, width)
+    exact = stored(phrases(postings, pairs), "exact-matches")
+    return Matches(exact, near_matches(postings, exact), postings, items)
 
 
 def all_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = NEAR) -> DataFrame:
@@ -244,16 +209,9 @@ def all_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shar
     return exact.unionAll(near).join(found.items.select("item", "item_id"), "item").drop("item")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """All exact matches (see `phrases`), and the postings they were found by."""
-    items = benchmark_items(benchmark)
-    return _matches(docs, items, frequencies(docs, items), width)
-
-
-def _matches(docs: DataFrame, items: DataFrame, frequency: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    places, pairs = anchors(items, frequency, width)
-    postings = index(docs, stored(places.select("term").distinct(), "anchor-terms"), width)
-    return phrases(offset_lists(postings, places), pairs), postings
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """All exact matches (see `phrases`)."""
+    return find_all(docs, benchmark, width, 1.0).exact
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -263,7 +221,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     rows = lambda df, **have: df.select("doc_id", "text_key", *(F.col(have[c]).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in none.items()))
     hits = rows(found.exact.select("doc_id", "text_key", "item_id", F.explode(F.sequence("low", "high")).alias("hit")).distinct(), item_id="item_id", hit="hit")
     near = rows(found.near.join(found.items.select("item", "item_id").where("item_id IS NOT NULL"), "item"), near_id="item_id")
-    ends = rows(found.postings.where("term IS NULL"), n_words="pos")
+    ends = rows(found.postings.where("item IS NULL"), n_words="pos")
     one = hits.unionAll(near).unionAll(ends).groupBy("doc_id", "text_key").agg(
         F.max("n_words").cast("long").alias("n_words"), F.count("n_words").cast("int").alias("copies"),
         F.size(F.collect_set("hit")).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"), F.collect_set("near_id").alias("near"))
@@ -276,7 +234,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     if near:
         found = all_matches(docs, benchmark, width)
     else:
-        found = matches(docs, benchmark, width)[0]
+        found = matches(docs, benchmark, width)
     found = stored(found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct(), "contaminated")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"))
     clean = rows.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left_anti")

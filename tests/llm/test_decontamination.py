@@ -83,11 +83,10 @@ def test_empty_tables(spark, tmp_path):
 
 def test_proximity_finds_other_orders(spark):
     docs = table(spark, [(1, "brown quick the fox over jumps the lazy dog then and sleeps under old an tree Äpple", "en", "a"), (2, "nothing like it, the end", "en", "a")])
-    items = D.benchmark_items(spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
-    frequency = D.frequencies(docs, items)
-    assert D.matches(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))[0].count() == 0
-    none = docs.select("doc_id", D.F.lit(0).alias("text_key"), D.F.lit(0).alias("item")).where("false")
-    assert {r.doc_id for r in D.near_matches(docs, items, frequency, none).collect()} == {1}
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert D.matches(docs, benchmark).count() == 0
+    found = D.find_all(docs, benchmark)
+    assert found.exact.count() == 0 and {r.doc_id for r in found.near.collect()} == {1}
 
 
 def test_places_joined_instead_of_broadcast(spark, tmp_path, monkeypatch):
