@@ -6,6 +6,8 @@ short classes are ASCII-only.
 
 from functools import reduce
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ HEADING_MARK = chr(0xFDD1)
 _RESERVED = MARK + HEADING_MARK
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A sentence whose {names} are replaced by columns; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p))
+
+
 def unnest(df: DataFrame, array: str | Column, out: str, position: str | None = None) -> DataFrame:
     """One row per array element; empty arrays and null elements give none.
 

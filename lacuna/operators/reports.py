@@ -4,11 +4,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna import values as V
+from lacuna.functions import text as X
 from lacuna.functions.places import feature_label
 from lacuna.operators.ranges import rank_rows
 from lacuna.operators.statements import type_summary
 
 UNRESOLVABLE = "unresolvable_with_open_data"
+#: What a comparison turns on.  The sentences decide nothing and may be replaced.
+WORDING = {
+    "everywhere": "All sites share one constraint that stays open: {title}. Open data does not tell them apart there. {resolver}",
+    "somewhere": "{n} of these sites have a constraint that stays open and that the others do not have; this is what to decide on.",
+    "nowhere": "For none of these sites was a conflict found that open data leaves open. Pages without text were not searched.",
+}
 
 
 def context(statements: DataFrame) -> DataFrame:
@@ -197,23 +204,10 @@ def critical_question(conflicts: DataFrame, sites: DataFrame) -> DataFrame:
     words = (
         F.when(
             (F.col("n") > 0) & (F.col("n") >= F.col("n_sites")),
-            F.format_string(
-                "Every site carries the same unresolved constraint — %s. Open data cannot separate them on it. %s",
-                F.lower("f.title"), F.coalesce("f.resolver", F.lit("")),
-            ),
-        )
-        .when(
-            F.col("n") > 0,
-            F.format_string(
-                "%d of these sites carry an unresolved regulatory constraint that the others do not. "
-                "That difference is the decision.",
-                "n",
-            ),
-        )
-        .otherwise(
-            "No unresolvable regulatory conflict was detected for any of these sites on this question. That is not "
-            "the same as none existing — it means none was found in the readable portion of the document."
+            X.filled(WORDING["everywhere"], title=F.lower("f.title"), resolver=F.coalesce("f.resolver", F.lit(""))),
         )
+        .when(F.col("n") > 0, X.filled(WORDING["somewhere"], n=F.col("n")))
+        .otherwise(WORDING["nowhere"])
     )
     return joined.select("comparison", "n_sites", F.col("n").alias("unresolvable"), words.alias("critical_question"))
 

@@ -13,6 +13,12 @@ from lacuna.functions import text as X
 from lacuna.functions import tokens as T
 
 CHUNK = ["document_id", "page_number", "chunk_ordinal"]
+#: What qualifies a figure.  The sentences decide nothing and may be replaced.
+WORDING = {
+    "risky": "From a table that lost its columns: the value may belong to another one.",
+    "repaired": "From repaired text: compare the digits with the page.",
+}
+
 
 def tokenised(chunks: DataFrame) -> DataFrame:
     """Chunk keys with their terms in order; text does not travel further."""
@@ -229,13 +235,11 @@ def numeric_provisions(evidence: DataFrame, keys: list[str]) -> DataFrame:
         (~(F.col("text_was_repaired") | risky)).alias("is_reliable"),
         F.when(
             risky,
-            "Read from a table whose column structure was lost in extraction — this value may belong "
-            "to a different column than it appears to.",
+            WORDING["risky"],
         )
         .when(
             F.col("text_was_repaired"),
-            "Read from text that was mis-encoded and repaired. The digits were reconstructed; "
-            "confirm against the source page.",
+            WORDING["repaired"],
         )
         .alias("caveat"),
     )

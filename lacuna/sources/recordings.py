@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lacuna import values as V
 from lacuna.functions import places as P
+from lacuna.session import materialise
 
 ENVELOPE = (
     "provider string, endpoint string, query map<string,string>, captured_at string, key string, payload string"
@@ -58,6 +59,50 @@ def write_recordings(recordings: DataFrame, path: str) -> None:
     ).write.mode("append").json(path)
 
 
+class RecordingStore:
+    """Recordings by key: a request opens the buckets of its key and no others.
+
+    Parquet, a folder per bucket of hashed keys, sorted by key in each file, so that a
+    look-up prunes folders and then row groups.  Uploads are appended; `compact` leaves
+    the newest recording of each key.
+    """
+
+    COLUMNS = ["provider", "endpoint", "query", "captured_at", "key", "payload"]
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 256):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _write(self, recordings: DataFrame, mode: str) -> None:
+        dealt = recordings.select(*self.COLUMNS, self._bucket()).repartition("bucket").sortWithinPartitions("bucket", "key")
+        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+
+    def append(self, recordings: DataFrame) -> None:
+        """Add recordings that have a key; one of the same key may be there already."""
+        self._write(recordings.where(F.col("key").isNotNull()), "append")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.parquet(self.folder)
+
+    def for_requests(self, requests: DataFrame) -> DataFrame:
+        """The newest recording of each requested key; the buckets of all requests are few numbers."""
+        asked = requests.select("key", self._bucket()).where(F.col("key").isNotNull()).distinct()
+        buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]
+        found = self.all().where(F.col("bucket").isin(buckets)).join(asked, ["bucket", "key"], "left_semi")
+        return self._newest(found)
+
+    def _newest(self, recordings: DataFrame) -> DataFrame:
+        # Of equal times the greater payload, so that runs agree.
+        newest = F.max_by(F.struct(*self.COLUMNS), F.struct("captured_at", "payload", "endpoint"))
+        return recordings.groupBy("key").agg(newest.alias("r")).select("r.*")
+
+    def compact(self) -> None:
+        """Write each bucket anew with the newest recording of each key; buckets are replaced one by one."""
+        self._write(materialise(self._newest(self.all())), "overwrite")
+
+
 def cache_key(provider: Column, query_json: Column) -> Column:
     """Key of a request; `query_json` has sorted keys and one space after ':' and ','."""
     blob = F.concat(F.lit('{"p": "'), provider, F.lit('", "q": '), query_json, F.lit("}"))

@@ -181,6 +181,7 @@ RELATED_IDS = 3
 # How many matched terms and unreadable regions a sentence names, and how much it quotes of a region's surroundings.
 NAMED_TERMS = 8
 NAMED_REGIONS = 3
+NAMED_PAGES = 5
 DESCRIBED_BEFORE = 200
 DESCRIBED_AFTER = 160
 STALE_AFTER_DAYS = 30

@@ -6,8 +6,9 @@ from lacuna import values as V
 from lacuna.functions import text as X
 from lacuna.functions import tokens as T
 from lacuna.operators import critic as C
+from lacuna.operators import generated as G
 from lacuna.sources.tables import read_table
-from lacuna.workload.standins import finish
+from lacuna.workload.standins import filled_sql, finish, sql_text
 from lacuna.workload.statements import NOTES, OVERLAP, made, reviewed, words_sql
 
 
@@ -48,9 +49,9 @@ def confidence_cap(spark, sf_dir):
     return C.findings(reviewed(spark, sf_dir)).where(F.col("action") == "reduce_confidence").select("statement_id", "reason")
 
 
-_CAP = f"""WITH {NOTES} SELECT id AS statement_id, 'Confidence capped because ' ||
-  array_to_string(list_filter([CASE WHEN b THEN 'relevant pages of the source could not be read' END,
-    CASE WHEN r THEN 'governing figures came from structurally damaged tables' END], lambda x: x IS NOT NULL), ' and ') || '.' AS reason
+_CAP_PARTS = f"""array_to_string(list_filter([CASE WHEN b THEN {sql_text(C.WORDING["capped_blind"])} END,
+    CASE WHEN r THEN {sql_text(C.WORDING["capped_tables"])} END], lambda x: x IS NOT NULL), ' and ')"""
+_CAP = f"""WITH {NOTES} SELECT id AS statement_id, {filled_sql(C.WORDING["capped"], parts=_CAP_PARTS)} AS reason
 FROM noted WHERE n_capped"""
 
 
@@ -85,6 +86,37 @@ _SUPPORT = rf"""sentences AS (
   FROM said s LEFT JOIN known k ON k.finding_id = s.finding_id AND k.word = s.word GROUP BY s.finding_id, id, sentence_no, words)"""
 
 
+def _answers(spark, sf_dir):
+    """Every assistant's turn as a generated answer to the user's turn before it."""
+    t = _turns(spark, sf_dir)
+    key = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")).alias("finding_id")
+    replies = t.where(F.col("role") == "assistant").select(key(F.col("turn")), "text", F.lit(True).alias("ok"))
+    claims = t.where(F.col("role") == "user").select(key(F.col("turn") + 1), F.col("turn").alias("ordinal"), F.concat(F.lit("claim_"), F.col("turn").cast("string")).alias("id"), "text")
+    return G.synthesis_statements(replies, claims), claims
+
+
+def generated_answers(spark, sf_dir):
+    """Answers as inferences from what was asked, less sure where sentences are not carried by it."""
+    made, claims = _answers(spark, sf_dir)
+    bad = C.ungrounded(C.sentence_support(made, claims))
+    capped = C.cap_ungrounded(made, bad)
+    return finish(capped.select("finding_id", "type", "text", F.array_join("derived_from", ",").alias("derived_from"), "confidence",
+                                F.size("critic_notes").alias("n_notes"), F.get("critic_notes", F.lit(0))["reason"].alias("reason")))
+
+
+_ANSWERS = rf"""WITH paired AS (
+  SELECT a.conv_id || ':' || a.turn AS finding_id, a.text, u.text AS asked, 'claim_' || u.turn AS parent
+  FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user' WHERE a.role = 'assistant'
+), sentences AS (
+  SELECT finding_id, asked, generate_subscripts(s, 1) AS k, unnest(s) AS sentence FROM (
+    SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM paired)
+), worded AS (SELECT finding_id, {words_sql('sentence')} AS cw, {words_sql('asked')} AS qw FROM sentences
+), bad AS (SELECT finding_id, count(*) AS n FROM worded WHERE len(cw) >= 4 AND len(list_intersect(cw, qw)) / len(cw)::DOUBLE < 0.55 GROUP BY 1)
+SELECT finding_id, 'inference' AS type, text, parent AS derived_from, CASE WHEN n > 0 THEN 'low' ELSE 'medium' END AS confidence,
+  CASE WHEN n > 0 THEN 1 ELSE 0 END::BIGINT AS n_notes, CASE WHEN n > 0 THEN {filled_sql(C.WORDING["grounded"], n="n")} END AS reason
+FROM paired LEFT JOIN bad USING (finding_id)"""
+
+
 def findings_by_action(spark, sf_dir):
     return C.by_action(C.findings(reviewed(spark, sf_dir)))
 
@@ -114,6 +146,7 @@ QUERIES = {
   min(sentence_no) FILTER (NOT supported) AS first_unsupported FROM support GROUP BY ALL HAVING count(*) FILTER (NOT supported) > 0"""),
     "verification_rows": (verification_rows, f"""WITH {_SUPPORT} SELECT finding_id, id AS statement_id, 'require_verification' AS action, sentence_no, sentence
   FROM support JOIN sentences USING (finding_id, id, sentence_no) WHERE NOT supported"""),
+    "generated_answers": (generated_answers, _ANSWERS),
     "findings_by_action": (findings_by_action, f"WITH {_FOUND} SELECT finding_id, action, count(*) AS n FROM found GROUP BY ALL"),
     "checks_with_findings": (checks_with_findings, f"WITH {_FOUND} SELECT c.check_name, count(f.id) AS n FROM {_RAN} LEFT JOIN found f USING (check_name) GROUP BY 1"),
 }

@@ -97,6 +97,18 @@ SELECT document_id, page_start, page_end, page_count FROM runs
 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY page_count DESC, page_start) = 1"""
 
 
+def coverage_rollup(spark, sf_dir):
+    """Pages, documents and the corpus of the damaged pages, with what level each row is of."""
+    return finish(P.coverage_rollup(P.grade_pages(damaged_pages(spark, sf_dir))))
+
+
+_ROLLUP = f"""WITH {GRADED}
+SELECT document_id, page_number, grouping(document_id, page_number)::BIGINT AS level, count(*) AS page_count,
+  count(*) FILTER (quality <> 'unreadable') AS readable_page_count, round(count(*) FILTER (quality <> 'unreadable') / count(*)::DOUBLE, 4) AS text_coverage,
+  sum(char_count)::BIGINT AS total_chars, sum(substitutions)::BIGINT AS total_substitutions, sum(suspects)::BIGINT AS total_suspects, max(corruption_rate) AS worst_corruption_rate
+FROM graded GROUP BY ROLLUP (document_id, page_number)"""
+
+
 def short_text_runs(spark, sf_dir):
     """Islands of low-quality texts, long enough to span several pages."""
     from lacuna.operators.ranges import islands
@@ -137,6 +149,7 @@ QUERIES = {
     "page_grade": (page_grade, _GRADE),
     "suspect_histogram": (suspect_histogram, _HISTOGRAM),
     "coverage_report": (coverage_report, _COVERAGE),
+    "coverage_rollup": (coverage_rollup, _ROLLUP),
     "unreadable_runs": (unreadable_runs, _RUNS),
     "largest_run": (largest_run, _LARGEST),
     "marked_runs": (short_text_runs, _SHORT),

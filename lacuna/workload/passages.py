@@ -8,7 +8,7 @@ from lacuna.operators import pages as P
 from lacuna.operators import tables as T
 from lacuna.operators.ranges import latest_before
 from lacuna.sources.tables import read_table
-from lacuna.workload.standins import GRADED, STRUCTURED, damaged_pages, finish, pages, structured_pages
+from lacuna.workload.standins import GRADED, STRUCTURED, damaged_pages, filled_sql, finish, pages, structured_pages
 from lacuna.workload.structure import _EXPLAIN, REGIONS
 
 
@@ -216,8 +216,7 @@ CHUNK_ROWS = rf"""{SEGMENTS}, {REGIONS[len(STRUCTURED) + 2:]}, offsets AS (
   SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM ln
 ), spans AS (
   SELECT r.doc_id, r.region_index, r.risk, trim(caption) AS caption, a.o AS cs, coalesce(z.o, length(s.text)) AS ce,
-    CASE WHEN risk IN ('severe', 'ambiguous_columns') THEN trim(caption) || ' ' || chr(8212) || ' this table''s column structure was lost during text extraction. '
-      || {_EXPLAIN} || ' A value quoted from it cannot be reliably attributed to a specific column. Read the source page before relying on it.' ELSE '' END AS warning
+    CASE WHEN risk IN ('severe', 'ambiguous_columns') THEN {filled_sql(T.WORDING["warning"], caption="trim(caption)", explanation=_EXPLAIN)} ELSE '' END AS warning
   FROM risks r JOIN structured s USING (doc_id) JOIN offsets a ON a.doc_id = r.doc_id AND a.line_no = start_line
     LEFT JOIN offsets z ON z.doc_id = r.doc_id AND z.line_no = end_line + 1
 ), page AS (SELECT *, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 120 AS blind FROM structured

@@ -24,7 +24,7 @@ from lacuna.workload import geography as geo
 from lacuna.workload import statements as ST
 from lacuna.workload.passages import SEGMENTS
 from lacuna.workload.retrieval import _PROVISIONS
-from lacuna.workload.standins import finish, pages, structured_pages
+from lacuna.workload.standins import filled_sql, finish, pages, sql_text, structured_pages
 
 
 def _finding_id():
@@ -144,9 +144,9 @@ def critical_question(spark, sf_dir):
 _CRITICAL = f"""WITH {_SIDES}, n AS (SELECT document_id AS comparison, count(*) AS n_sites FROM pages_in GROUP BY 1),
 o AS (SELECT split_part(finding_id, ':', 1) AS comparison, count(*) AS unresolvable FROM found WHERE severity = 1 AND kind = 'context_vs_regulation' GROUP BY 1)
 SELECT comparison, n_sites, coalesce(unresolvable, 0) AS unresolvable, CASE
-  WHEN unresolvable >= n_sites THEN 'Every site carries the same unresolved constraint ' || chr(8212) || ' ' || lower('{WATER_RULE["title"]}') || '. Open data cannot separate them on it. {WATER_RULE["resolvers"][0]}'
-  WHEN unresolvable > 0 THEN unresolvable || ' of these sites carry an unresolved regulatory constraint that the others do not. That difference is the decision.'
-  ELSE 'No unresolvable regulatory conflict was detected for any of these sites on this question. That is not the same as none existing ' || chr(8212) || ' it means none was found in the readable portion of the document.' END AS critical_question
+  WHEN unresolvable >= n_sites THEN {filled_sql(O.WORDING["everywhere"], title=f"lower({sql_text(WATER_RULE['title'])})", resolver=sql_text(WATER_RULE["resolvers"][0]))}
+  WHEN unresolvable > 0 THEN {filled_sql(O.WORDING["somewhere"], n="unresolvable")}
+  ELSE {sql_text(O.WORDING["nowhere"])} END AS critical_question
 FROM n LEFT JOIN o USING (comparison)"""
 
 

@@ -14,7 +14,7 @@ from lacuna.session import materialise, new_path
 from lacuna.sources.tables import read_table
 from lacuna.workload.passages import CHUNK_ROWS
 from lacuna.workload.standins import (
-    CHUNKS, QUESTIONS, STRUCTURED, finish, page_chunks, questions, structured_pages, terms_sql,
+    CHUNKS, QUESTIONS, STRUCTURED, finish, page_chunks, questions, sql_text, structured_pages, terms_sql,
 )
 
 
@@ -324,8 +324,7 @@ SELECT document_id, page_number, s AS start_at, regexp_extract(whole, '[0-9]+(?:
   lower(replace(replace(regexp_replace(whole, '^[0-9.]+\s*', ''), '.', ''), ' ', '')) AS unit,
   substr(t, greatest(s - 110, 0) + 1, least(s + length(whole) + 110, length(t)) - greatest(s - 110, 0)) AS context,
   NOT (rep OR risky) AS is_reliable,
-  CASE WHEN risky THEN 'Read from a table whose column structure was lost in extraction ' || chr(8212) || ' this value may belong to a different column than it appears to.'
-    WHEN rep THEN 'Read from text that was mis-encoded and repaired. The digits were reconstructed; confirm against the source page.' END AS caveat
+  CASE WHEN risky THEN {sql_text(S.WORDING["risky"])} WHEN rep THEN {sql_text(S.WORDING["repaired"])} END AS caveat
 FROM found"""
 
 _PASSAGES = f"""{CHUNK_ROWS}, chunks AS (

@@ -3,6 +3,8 @@
 Each stand-in is derived from a whole table, in Spark here and in SQL beside it.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def sql_text(value: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
+def filled_sql(template: str, **values: str) -> str:
+    """text.filled as SQL; values are expressions."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return "(" + " || ".join(f"({values[p]})" if i % 2 else sql_text(p) for i, p in enumerate(parts) if p) + ")"
+
+
 # --- documents: a source is a document, its texts in id order are the pages --------
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

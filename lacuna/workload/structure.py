@@ -6,7 +6,7 @@ from lacuna import values as V
 from lacuna.functions import text as X
 from lacuna.operators import pages as P
 from lacuna.operators import tables as T
-from lacuna.workload.standins import STRUCTURED, damaged_pages, finish, structured_pages
+from lacuna.workload.standins import STRUCTURED, damaged_pages, filled_sql, finish, sql_text, structured_pages
 
 
 def _graded(spark, sf_dir):
@@ -110,13 +110,11 @@ REGIONS = rf"""{STRUCTURED}, ln AS (
   SELECT *, CASE WHEN n_rows < 3 THEN 'none' WHEN n_odd = 0 THEN 'low'
     WHEN subcolumns LIKE '%,%' THEN 'severe' ELSE 'ambiguous_columns' END AS risk FROM assessed)"""
 
-_EXPLAIN = """CASE WHEN n_rows < 3 THEN 'Too few value rows to assess column consistency.'
-  WHEN n_odd = 0 THEN 'All ' || n_rows || ' value rows carry ' || modal_arity || ' values ' || chr(8212) || ' consistent.'
-  ELSE n_odd || ' of ' || n_rows || ' rows contain a different count of decimal values than the majority (' || modal_arity
-   || ' per row); ' || n_short || ' row(s) contain fewer, which implies blank cells. Because the grid is gone, the extracted text does not say which column those blanks belong to.'
-   || CASE WHEN subcolumns <> '' THEN ' The caption block declares multiple value sub-columns (' || replace(subcolumns, ',', ', ')
-     || '), so a reader must bind each number to a named column ' || chr(8212) || ' the binding that was lost.' ELSE '' END
-   || CASE WHEN gaps > 0 THEN ' Column whitespace survived on ' || gaps || ' short row(s), weak corroboration of an empty cell rather than a missing number.' ELSE '' END
+_EXPLAIN = f"""CASE WHEN n_rows < 3 THEN {sql_text(T.WORDING["few"])}
+  WHEN n_odd = 0 THEN {filled_sql(T.WORDING["even"], rows="n_rows", modal="modal_arity")}
+  ELSE {filled_sql(T.WORDING["odd"], odd="n_odd", rows="n_rows", modal="modal_arity", short="n_short")}
+   || CASE WHEN subcolumns <> '' THEN {filled_sql(T.WORDING["named"], named="replace(subcolumns, ',', ', ')")} ELSE '' END
+   || CASE WHEN gaps > 0 THEN {filled_sql(T.WORDING["gaps"], gaps="gaps")} ELSE '' END
   END"""
 
 _PAGE_RISK = f"""WITH {REGIONS}
@@ -128,6 +126,8 @@ _READABLE_RISKS = """readable_risks AS (
   SELECT risks.* FROM risks JOIN structured s USING (doc_id)
   WHERE risk IN ('ambiguous_columns', 'severe') AND length(regexp_replace(s.text, '^\\s+|\\s+$', '', 'g')) >= 120)"""
 
+_SAID_RUN = filled_sql(P.WORDING["run"], first="a", last="b")
+_SAID_UNREAD = filled_sql(P.WORDING["unread"], unread="u", pages="n", run=f"CASE WHEN b > a THEN {_SAID_RUN} ELSE '' END")
 _HEADLINE = rf"""WITH {REGIONS}, {_READABLE_RISKS}, pg AS (
   SELECT *, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < {V.MIN_TEXT_CHARS} AS blind FROM structured
 ), runs AS (
@@ -141,12 +141,11 @@ _HEADLINE = rf"""WITH {REGIONS}, {_READABLE_RISKS}, pg AS (
     QUALIFY dense_rank() OVER (PARTITION BY document_id ORDER BY page_number) <= 5) GROUP BY 1
 ), said AS (
   SELECT document_id, array_to_string(list_filter([
-    CASE WHEN u > 0 THEN u || ' of ' || n || ' pages carry no machine-readable text' ||
-      CASE WHEN b > a THEN ' (largest run pp. ' || a || chr(8211) || b || ')' ELSE '' END || '. Nothing in them is searchable.' END,
-    CASE WHEN t > 0 THEN t || ' table(s) on ' || p || ' lost their column structure during extraction. Values in them cannot be reliably attributed to a column ' || chr(8212) || ' and no coverage metric catches this.' END
+    CASE WHEN u > 0 THEN {_SAID_UNREAD} END,
+    CASE WHEN t > 0 THEN {filled_sql(P.WORDING["lost"], tables="t", pages="p")} END
   ], lambda x: x IS NOT NULL), ' | ') AS findings
   FROM cov LEFT JOIN runs USING (document_id) LEFT JOIN tab USING (document_id) LEFT JOIN tp USING (document_id))
-SELECT document_id, CASE WHEN findings = '' THEN 'No unreadable pages, encoding faults or damaged tables were detected. That is unusual for a real planning document and worth a spot check.' ELSE findings END AS findings FROM said"""
+SELECT document_id, CASE WHEN findings = '' THEN {sql_text(P.WORDING["nothing"])} ELSE findings END AS findings FROM said"""
 
 _WORD_ARITY = rf"""SELECT len(list_filter(regexp_extract_all(line, '[\p{{L}}\p{{N}}_.]+'),
     lambda t: regexp_full_match(t, '[0-9]+\.[0-9]+'))) AS arity, count(*) AS lines

@@ -134,4 +134,4 @@ def test_table_warning_travels_with_the_caption(spark):
                                   "document_id string, page_number int, raw_text string")
     rows = chunk_pages(grade_pages(pages)).collect()
     assert rows and all(r.table_risk == "severe" for r in rows)
-    assert all("cannot be reliably attributed" in r.caveats[-1] for r in rows)
+    assert all("lost its columns" in r.caveats[-1] for r in rows)
