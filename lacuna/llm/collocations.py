@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lacuna.llm.common import read, stored
+from lacuna.llm.common import arrow_rows, read, stored
 from lacuna.llm.words import mix, word_spans
 
 LEAST = 30
@@ -52,6 +52,8 @@ EXACT = 2_000_000
 BITS = 28
 #: Bytes of texts in a block; a longer text is a block by itself.
 BLOCK_BYTES = 1_000_000
+#: Texts, and blocks of a relation, that a task is handed at once.
+TEXT_ROWS, BLOCK_ROWS = 1000, 16
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, 0x09, *b".,;:!?", *range(0x0A, 0x0E)]] = False
@@ -224,24 +226,27 @@ def _with_ids(groups: DataFrame, frequent: Frequent) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """lang, words and f of all phrases of up to `longest` words found `least` times; and lang and n, all words of each."""
-    counts = stored(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()), "setm-words")
-    totals = counts.where("word IS NULL").select("lang", "n")
-    words = counts.where("word IS NOT NULL")
-    frequent = Frequent.of(words)
-    dense = frequent.keys is not None
-    level = stored(_with_ids(words, frequent).select("id", "lang", F.array("word").alias("words"), F.col("n").alias("f")), "setm-phrases")
-    out, relation = [level], stored(first_relation(docs, frequent), "setm-relation")
+    spark = docs.sparkSession
+    with arrow_rows(spark, TEXT_ROWS):
+        counts = stored(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()), "setm-words")
+        totals = counts.where("word IS NULL").select("lang", "n")
+        words = counts.where("word IS NOT NULL")
+        frequent = Frequent.of(words)
+        dense = frequent.keys is not None
+        level = stored(_with_ids(words, frequent).select("id", "lang", F.array("word").alias("words"), F.col("n").alias("f")), "setm-phrases")
+        out, relation = [level], stored(first_relation(docs, frequent), "setm-relation")
     for size in range(2, longest + 1):
-        groups = stored(group_counts(relation, dense).where(F.col("n") >= least), "setm-groups")
-        frequent = Frequent.of(groups)
+        with arrow_rows(spark, BLOCK_ROWS):
+            groups = stored(group_counts(relation, dense).where(F.col("n") >= least), "setm-groups")
+            frequent = Frequent.of(groups)
+            if size < longest:
+                relation = stored(next_relation(relation, frequent, dense), "setm-relation")
+        dense = frequent.keys is not None
         lefts = level.select(F.col("id").alias("left"), "lang", "words")
         rights = level.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"))
         level = stored(_with_ids(groups, frequent).join(lefts, "left").join(rights, "right").select(
             "id", "lang", F.concat("words", F.array("last")).alias("words"), F.col("n").alias("f")), "setm-phrases")
         out.append(level)
-        if size < longest:
-            relation = stored(next_relation(relation, frequent, dense), "setm-relation")
-            dense = frequent.keys is not None
     phrases = out[0]
     for more in out[1:]:
         phrases = phrases.unionAll(more)
