@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -131,24 +132,25 @@ def test_store_of_recordings(spark, tmp_path):
     """Round trip, newest of each key, and a look-up that opens the buckets of its keys only."""
     store = R.RecordingStore(spark, str(tmp_path / "store"), buckets=16)
     columns = "provider string, endpoint string, query map<string,string>, captured_at timestamp, key string, payload string"
+    place = lambda *at: json.dumps([{"lat": str(x)} for x in at])
     at = lambda day: dt.datetime(2026, 9, day)
-    first = [("nominatim", "e", {"q": str(i)}, at(1), f"k{i}", f"[{i}]") for i in range(40)] + [("nominatim", "e", None, at(1), None, "[]")]
-    later = [("nominatim", "e", {"q": str(i)}, at(2), f"k{i}", f"[{i}, 2]") for i in range(0, 40, 4)] + [("nominatim", "e", None, at(2), "k4", "[4, 3]")]
+    first = [("nominatim", "e", {"q": str(i)}, at(1), f"k{i}", place(i)) for i in range(40)] + [("nominatim", "e", None, at(1), None, "[]")]
+    later = [("nominatim", "e", {"q": str(i)}, at(2), f"k{i}", place(i, 2)) for i in range(0, 40, 4)] + [("nominatim", "e", None, at(2), "k4", place(4, 3))]
     store.append(spark.createDataFrame(first, columns))
     store.append(spark.createDataFrame(later, columns))
     asked = spark.createDataFrame([("k1", "nominatim"), ("k4", "nominatim"), ("k4", "nominatim"), ("none", "nominatim"), (None, "nominatim")], "key string, provider string")
-    want = {"k1": "[1]", "k4": "[4, 3]"}
+    want = {"k1": place(1), "k4": place(4, 3)}
     found = store.for_requests(asked)
     assert {r.key: r.payload for r in found.collect()} == want
-    plan = found._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
-    opened = {f.split("bucket=")[1].split("/")[0] for f in store.all().where(F.col("bucket").isin([r.bucket for r in asked.where("key IS NOT NULL").select(store._bucket()).distinct().collect()])).inputFiles()}
-    assert len(opened) <= 3 < len({f.split("bucket=")[1].split("/")[0] for f in store.all().inputFiles()})
+    # The scan is told the buckets of the three keys, of sixteen.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pruned = {int(n) for n in re.search(r"PartitionFilters: \[.*?bucket#\d+ (?:IN \(|= )([\d,]+)", plan).group(1).split(",")}
+    assert pruned == {r.bucket for r in asked.where("key IS NOT NULL").select(store._bucket()).collect()} and len(pruned) <= 3
     store.compact()
     assert store.all().count() == 40 and {r.key: r.payload for r in store.for_requests(asked).collect()} == want
-    store.append(spark.createDataFrame([("nominatim", "e", None, at(3), "k1", "[9]")], columns))
+    store.append(spark.createDataFrame([("nominatim", "e", None, at(3), "k1", place(9))], columns))
     store.compact()
-    assert {r.key: r.payload for r in store.for_requests(asked).collect()} == want | {"k1": "[9]"} and store.all().count() == 40
+    assert {r.key: r.payload for r in store.for_requests(asked).collect()} == want | {"k1": place(9)} and store.all().count() == 40
     live = spark.createDataFrame([], "key string, attempt int, endpoint string, ok boolean, payload string, error string, retrieved_at timestamp")
     chosen = R.choose_responses(asked.where("key IS NOT NULL").distinct(), store.for_requests(asked), live, F.lit(dt.datetime(2026, 9, 4)))
     assert {r.key: r.ok for r in chosen.collect()} == {"k1": True, "k4": True, "none": False}
