@@ -20,6 +20,9 @@ leaves a task, and texts are never shuffled.  Tables made from the benchmark alo
 stored and read back; they are broadcast where their size allows, and joined beyond.
 Equal 64-bit hashes of words count as equal words.
 
+A very long text is read whole, as an array of its words' hashes; empty tables give no
+matches; equally rare words are taken by their place.
+
 Null and empty texts have no words; null and empty items have no windows; an item
 without id marks words but is not listed.  Repeated items count once.  Identical rows
 (same id and text) get a result each.  Only `doc_id`, `item_id` and `text` are read.

@@ -6,7 +6,9 @@ for the diagonal i - j.  A diagonal with all the pairs of a template is the temp
 word for word; neighbouring diagonals, as words put in or left out make them, are
 merged and their span verified by the share of the template that it covers.
 
-Only Spark expressions run here.  Null and empty texts have no words and no labels.
+Only Spark expressions run here.  Null and empty texts have no words and no labels.  A very long text is read whole,
+as an array of its words; an empty table gives an empty result; labels are sorted and
+first and last places are extremes, so there are no ties.
 Identical rows (same id and text) are scanned as often as they stand there and get a
 result each.  Only `doc_id` and `text` are read.
 """

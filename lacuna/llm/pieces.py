@@ -10,7 +10,9 @@ No piece has a marker behind another character, so a text falls into words with
 their markers, whose best cuts do not touch each other.  A task remembers cuts of
 words; those it has not met are cut together, position by position, in numpy.
 
-Null and empty texts have no pieces.  Repeated rows are encoded each.  Only `text`
+Null and empty texts have no pieces.  A very long text takes memory in proportion to
+its length, and a very long word steps in proportion to it; an empty table gives an
+empty result; of cuts with equal scores the first found counts, the same in every run.  Repeated rows are encoded each.  Only `text`
 is read, and of the other columns those that the caller keeps.
 """
 

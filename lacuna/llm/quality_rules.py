@@ -5,7 +5,9 @@ one bit per failed rule; a policy is a versioned mask of the rules that reject.
 Changing a policy, or asking what a rule alone does, reads the ledger and never the
 texts.
 
-Null and empty texts have no words and fail the first rule.  Repeated rows give a
+Null and empty texts have no words and fail the first rule.  A very long text is measured whole, in memory in
+proportion to its length; an empty table gives an empty ledger; a verdict looks at one
+document, so there are no ties.  Repeated rows give a
 ledger row each.  Only `doc_id` and `text` are read, so other columns may have any
 name.
 """

@@ -6,7 +6,9 @@ corpus separates examples that everybody copies from values of one owner, which
 look live.  Base kinds are reported wherever they match; the kinds this operator
 adds are reported only where the value looks live.
 
-Null texts count as empty.  A null owner or repository counts as one of its own.
+Null texts count as empty.  A very long text is scanned whole, in memory in
+proportion to its length; an empty table gives an empty result; spans are ordered by
+start, then kind, so there are no ties.  A null owner or repository counts as one of its own.
 Repeated rows are scanned each.  Of other columns only those named as owner and
 repository are read.  Positions are code points, ends exclusive.
 """

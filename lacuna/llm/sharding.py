@@ -7,7 +7,7 @@ its size is set by the number of slots and not by the data.
 
 Null ids are spread by the text's checksum; null texts count as empty; identical
 rows share a slot and are numbered in any order.  An empty table gives an empty
-result.  Other columns of the input, whatever their names, are not read.
+result; a very long text counts by its bytes alone; slots of equal bytes go by number.  Other columns of the input, whatever their names, are not read.
 """
 
 from pyspark.sql import DataFrame, SparkSession

@@ -22,7 +22,9 @@ that links reach.
 
 Nothing is left to chance but equality of 64-bit hashes: all links are found.
 
-Null and empty texts have no set and link with nothing.  A document of fewer words
+Null and empty texts have no set and link with nothing.  A very long text's set
+takes memory in proportion to its words; an empty table gives an empty result; of
+several ids that could name a class the smallest does.  A document of fewer words
 than a shingle has its whole sequence as its one shingle.  A null id never names a
 class unless all ids in it are null.  Repeated rows get a result each.  Only `doc_id`
 and `text` are read.

@@ -13,7 +13,9 @@ part before each shuffle.
 A document's own probability is taken out of its path's and host's sums before they
 speak about it, so a lone document is not counted twice and has its parents' mean.
 
-Null and empty texts are scored like any other, from zero measurements.  A null host
+Null and empty texts are scored like any other, from zero measurements.  A very long
+text is measured whole; an empty table gives an empty result; scores that reach the
+threshold exactly are kept.  A null host
 or path is a group of its own.  Without labels of both kinds the documents' evidence
 is one half, and every document is kept.  Repeated rows count and are scored each.
 Labels without id or verdict are not used; the lowest verdict on an id counts.  Of

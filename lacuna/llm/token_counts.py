@@ -6,7 +6,9 @@ digest is encoded, and the counts are appended to the cache.
 
 Copies are merged before and after the shuffle of the texts, so a text that fills a
 third of all rows is moved once per input partition and encoded once.  Null texts
-count as empty, which have no tokens.  Only `doc_id` and `text` are read.
+count as empty, which have no tokens.  A very long text is encoded whole, in memory in
+proportion to its length; an empty table gives an empty result and a cache as it was;
+counts have no ties.  Only `doc_id` and `text` are read.
 """
 
 import hashlib

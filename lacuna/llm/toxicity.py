@@ -12,7 +12,9 @@ Features are the distinct words of a text, hashed.  The fit runs with numpy on a
 bounded sample of labelled rows; scoring covers every row, inside Spark's tasks.
 Labels, language, source and id are never inputs of a score.
 
-Null and empty texts have no words and get the score of the bias alone.  Labels
+Null and empty texts have no words and get the score of the bias alone.  A very long
+text is scored whole, in memory in proportion to its length; an empty table gives an
+empty result; a score of exactly one half counts as toxic.  Labels
 without id or verdict are not used; of several verdicts on one id the toxic one
 counts.  Without any toxic label every score is 0.  Repeated rows are scored each.
 """
