@@ -6,7 +6,9 @@ benchmark passages go, secrets that look live are masked, and what is left is
 encoded.  Every stage's result is written as Parquet before the next one reads it, so
 a lost executor never sends the work back further than one stage.
 
-Null and empty texts pass every filter and are encoded as no pieces.  Other columns
+Null and empty texts pass every filter and are encoded as no pieces.  Very long texts
+pass through whole; repeated rows count as copies, of which one stays; of near copies the
+smallest id does; an empty table gives an empty result.  Other columns
 are carried along under whatever names they have.
 """
 
@@ -31,7 +33,10 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     masked = secrets.redact(docs, *secrets.source_owner())
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+    if "n_chars" not in docs.columns:
+        return masked
+    # A null text keeps the number it came with.
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
