@@ -1,6 +1,6 @@
 """Features around sites: radius search, nearest per category, terrain, climate."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna import values as V
@@ -156,6 +156,13 @@ def nearest_per_category(around: DataFrame) -> DataFrame:
     )
 
 
+def category_ranking(features: DataFrame) -> DataFrame:
+    """Features per category, the largest first; there are as many rows as categories."""
+    counted = features.where(F.col("category").isNotNull()).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(F.desc("n"), "category")
+    return counted.withColumn("position", F.row_number().over(order)).orderBy("position")
+
+
 def category_counts(sites: DataFrame, around: DataFrame) -> DataFrame:
     """Features per site and queried category, zeros included."""
     counted = around.groupBy("site", "category").agg(F.count(F.lit(1)).alias("n"))

@@ -178,6 +178,15 @@ def matched_terms(hits: DataFrame, posted: DataFrame, asked: DataFrame) -> DataF
     )
 
 
+def selections(questions: DataFrame, evidence: DataFrame, spots: DataFrame) -> DataFrame:
+    """Per question: its readable hits, those from risky tables, the unreadable regions on its topic, and whether there is evidence."""
+    hits = evidence.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("readable_hits"), F.count_if(F.col("table_risk").isin(V.RISKY_LEVELS)).alias("risky_table_hits"))
+    blind = spots.where("query_relevant").groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant_blind_spots"))
+    joined = questions.select("query_id").join(hits, "query_id", "left").join(blind, "query_id", "left").fillna(0)
+    return joined.withColumn("has_usable_evidence", F.col("readable_hits") > 0)
+
+
 def why_matched(matched: Column, named: int | None = V.NAMED_TERMS) -> Column:
     """Distinct matched terms in alphabetical order; the first so many, or all with None."""
     terms = F.array_sort(F.array_distinct(matched))

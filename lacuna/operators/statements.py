@@ -230,6 +230,33 @@ def apply_demotions(statements: DataFrame) -> DataFrame:
     return marked.select(*out)
 
 
+def flattened(statements: DataFrame) -> DataFrame:
+    """Statements as they are shown: each type with its own fields, sources under one roof.
+
+    A fact from a document has a `citation`, one from a data set its provider, date and
+    limitation, which stays with the number it qualifies; fields of other types are null.
+    """
+    is_type = lambda name: F.col("type") == name
+    only = lambda name, *columns: [F.when(is_type(name), F.col(c)).alias(c) for c in columns]
+    cited = is_type("fact") & (F.col("source_kind") == "document")
+    measured = is_type("fact") & (F.col("source_kind") == "dataset")
+    citation = F.struct(
+        "document_id", "document_title", "page_number", "char_start", "char_end", "quote",
+        (~F.coalesce("text_was_repaired", F.lit(False))).alias("is_verbatim"), "text_was_repaired", "page_quality", "caveat",
+        display_reference().alias("reference"),
+    )
+    return statements.select(
+        "finding_id", "ordinal", "id", "type", "text", "agent", (F.size("critic_notes") > 0).alias("was_weakened"), "rejected",
+        F.transform("critic_notes", lambda n: F.struct(n["action"].alias("action"), n["reason"].alias("reason"), n["from_value"].alias("from"), n["to_value"].alias("to"))).alias("critic_notes"),
+        F.when(cited, citation).alias("citation"),
+        *only("fact", "proxy_for"),
+        *[F.when(measured, F.col(c)).alias(f"dataset_{c}") for c in ("provider", "retrieved_at", "limitation")],
+        *only("inference", "derived_from", "transformation", "confidence", "confidence_reason"),
+        *only("assumption", "falsified_by", "why_needed", "demoted_from"),
+        *only("recommendation", "responds_to", "priority", "who"),
+    )
+
+
 def type_summary(statements: DataFrame, by: list[str]) -> DataFrame:
     """Zero-filled counts by type without rejected ones, plus rejected and weakened."""
     kept = ~F.col("rejected")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lacuna import values as V
 from lacuna.functions import text as X
 from lacuna.operators import pages as P
+from lacuna.sources.tables import read_table
 from lacuna.workload.standins import (
     DAMAGED, GRADED, PAGES, SUSPECT_SQL, _BAD, _GOOD, damaged_pages, finish, pages, sql_text,
 )
@@ -97,6 +98,18 @@ SELECT document_id, page_start, page_end, page_count FROM runs
 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY page_count DESC, page_start) = 1"""
 
 
+def page_lookup(spark, sf_dir):
+    """The page that has the number of a benchmark text, in the document the text asks about."""
+    wanted = read_table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("document_id"), F.col("item_id").alias("page_number"))
+    found = P.page_lookup(P.grade_pages(damaged_pages(spark, sf_dir)), wanted)
+    return finish(found.select("item_id", "document_id", "page_number", "quality", "char_count", F.sha2("text", 256).alias("text_digest")))
+
+
+_LOOKUP = f"""WITH {GRADED}, wanted AS (SELECT item_id, 'src' || (item_id % 20) AS document_id, item_id AS page_number FROM benchmark)
+SELECT item_id, w.document_id, w.page_number, quality, char_count, sha256(text) AS text_digest FROM wanted w LEFT JOIN graded g
+  ON g.document_id = w.document_id AND g.page_number = w.page_number"""
+
+
 def coverage_rollup(spark, sf_dir):
     """Pages, documents and the corpus of the damaged pages, with what level each row is of."""
     return finish(P.coverage_rollup(P.grade_pages(damaged_pages(spark, sf_dir))))
@@ -149,6 +162,7 @@ QUERIES = {
     "page_grade": (page_grade, _GRADE),
     "suspect_histogram": (suspect_histogram, _HISTOGRAM),
     "coverage_report": (coverage_report, _COVERAGE),
+    "page_lookup": (page_lookup, _LOOKUP),
     "coverage_rollup": (coverage_rollup, _ROLLUP),
     "unreadable_runs": (unreadable_runs, _RUNS),
     "largest_run": (largest_run, _LARGEST),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lacuna import values as V
 from lacuna.operators import conflicts as K
+from lacuna.operators import search as S
 from lacuna.operators.assembly import WORDING
+from lacuna.plans import ask
 from lacuna.plans.analyse import analyse
 from lacuna.workload import reports as R
 from lacuna.workload.retrieval import _PASSAGES, _REGIONS, _SPOTS, _chunked
@@ -56,6 +58,13 @@ def finding_totals(spark, sf_dir):
     return finish(_findings(spark, sf_dir).coverage)
 
 
+def evidence_selections(spark, sf_dir):
+    """Which of each question's results can be used, and which have to be looked up."""
+    chunked, asked = _chunked(spark, sf_dir), questions(spark, sf_dir)
+    found = ask.answer(chunked, asked, V.AGENT_TOP_K)
+    return S.selections(asked, ask.evidence(chunked, found.hits), found.blind_spots)
+
+
 _PASSAGE_REGIONS = r"""runs AS (
   SELECT document_id, min(page_number) AS page_start, max(page_number) AS page_end FROM (
     SELECT *, page_number - row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS g FROM chunks WHERE page_quality = 'unreadable')
@@ -81,6 +90,10 @@ def _with(words: dict[str, str], key: str, value: str) -> str:
 
 _PAGE_LIST = "array_to_string(list_transform(list_sort(list_distinct(list({}))), lambda p: 'p. ' || p), ', ')"
 _DASH = "page_start || chr(8211) || page_end"
+HYDRO = f"""), hydro AS (SELECT query_id::VARCHAR AS finding_id, max('nearest mapped watercourse (' || label || ') at ' || round_even(distance_m, 0)::BIGINT || ' m') FILTER (category = 'stream') AS st,
+    max('nearest mapped water body (' || label || ') at ' || round_even(distance_m, 0)::BIGINT || ' m') FILTER (category = 'water') AS wa
+  FROM questions JOIN nearest ON site = query_id % {PLACES} WHERE category IN ('water', 'stream') GROUP BY 1
+"""
 _DOCUMENT = rf"""{_FOUND}, ev AS (
   SELECT k.query_id, k.query_id::VARCHAR AS finding_id, k.rank, k.page_number, trim(regexp_replace(c.text, '\s+', ' ', 'g')) AS quote, c.table_caption,
     coalesce(c.table_risk IN ('ambiguous_columns', 'severe'), false) AS risky
@@ -98,10 +111,7 @@ _DOCUMENT = rf"""{_FOUND}, ev AS (
 ), spot AS (
   SELECT query_id::VARCHAR AS finding_id, r.*, page_end - page_start + 1 AS page_count, left(descriptor, {V.SHOWN_CHARS}) AS shown
   FROM ranked r JOIN blind_regions USING (document_id, page_start, page_end) WHERE query_relevant
-), hydro AS (SELECT query_id::VARCHAR AS finding_id, max('nearest mapped watercourse (' || label || ') at ' || round_even(distance_m, 0)::BIGINT || ' m') FILTER (category = 'stream') AS st,
-    max('nearest mapped water body (' || label || ') at ' || round_even(distance_m, 0)::BIGINT || ' m') FILTER (category = 'water') AS wa
-  FROM questions JOIN nearest ON site = query_id % {PLACES} WHERE category IN ('water', 'stream') GROUP BY 1
-), widths AS (SELECT finding_id, string_agg(w, ', ' ORDER BY value) AS w FROM (
+{HYDRO}), widths AS (SELECT finding_id, string_agg(w, ', ' ORDER BY value) AS w FROM (
     SELECT DISTINCT finding_id, value, regexp_replace(value::VARCHAR, '\.0$', '') || ' m' AS w FROM prov
     WHERE unit = 'm' AND regexp_matches(context, '{V.BUFFER_LANGUAGE}')) GROUP BY 1
 ), watery AS (SELECT finding_id, least(count(*), {V.RELATED_IDS}) AS n FROM ev
@@ -172,7 +182,13 @@ SELECT counted.*, coalesce(conflicts, 0) AS conflicts, coalesce(unresolvable_con
   coalesce(unreadable_pages, 0) AS unreadable_pages, coalesce(unreadable_regions, 0) = 0 AS evidence_complete
 FROM counted LEFT JOIN c USING (finding_id) LEFT JOIN u USING (finding_id)"""
 
+_SELECTED = f"""{_DOCUMENT}
+SELECT query_id, coalesce(h.n, 0) AS readable_hits, coalesce(h.r, 0) AS risky_table_hits, coalesce(b.n, 0) AS relevant_blind_spots, coalesce(h.n, 0) > 0 AS has_usable_evidence
+FROM questions LEFT JOIN (SELECT query_id, count(*) AS n, count(*) FILTER (risky) AS r FROM ev GROUP BY 1) h USING (query_id)
+  LEFT JOIN (SELECT query_id, count(*) AS n FROM spot GROUP BY 1) b USING (query_id)"""
+
 QUERIES = {
+    "evidence_selections": (evidence_selections, _SELECTED.replace(HYDRO, "", 1)),
     "finding_statements": (finding_statements, _REVIEWED),
     "finding_gaps": (finding_gaps, _GAPS),
     "finding_conflicts": (finding_conflicts, _CONFLICTS),

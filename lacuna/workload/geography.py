@@ -57,6 +57,10 @@ def categorise(spark, sf_dir):
     return tagged(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def category_ranking(spark, sf_dir):
+    return finish(G.category_ranking(tagged(spark, sf_dir)))
+
+
 def _around(spark, sf_dir):
     return G.features_around(sites(spark, sf_dir), features(spark, sf_dir))
 
@@ -204,6 +208,7 @@ _CAND = f"""cand AS (SELECT s_nationkey::BIGINT AS query, row_number() OVER (PAR
 QUERIES = {
     "haversine": (haversine, f"SELECT c_custkey, round({hav_sql(_CLAT, _CLON, '(10.0::DOUBLE + c_nationkey)', '(70.0::DOUBLE + c_nationkey / 2.0)')}, 1) AS distance_m FROM customer"),
     "categorise": (categorise, f"SELECT {_CAT} AS category, count(*) AS n FROM customer GROUP BY 1"),
+    "category_ranking": (category_ranking, f"SELECT category, n, row_number() OVER (ORDER BY n DESC, category) AS position FROM (SELECT {_CAT} AS category, count(*) AS n FROM customer GROUP BY 1) WHERE category IS NOT NULL"),
     "radius_search": (radius_search, f"WITH {AROUND} SELECT site, feature_id, category, distance_m FROM around"),
     "nearest_per_category": (nearest_per_category, f"WITH {AROUND} SELECT site, category, feature_id, label, distance_m FROM nearest"),
     "category_counts": (category_counts, f"WITH {AROUND}, {COUNTS} SELECT * FROM counts"),

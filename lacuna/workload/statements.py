@@ -167,6 +167,24 @@ _DOUBLE = f"""WITH {MADE} SELECT finding_id, CASE WHEN type = 'inference' THEN '
 FROM made GROUP BY ALL"""
 
 
+def flat_statements(spark, sf_dir):
+    """Reviewed statements as they are shown, sources and notes in columns of their own."""
+    f = S.flattened(reviewed(spark, sf_dir))
+    return finish(f.select("id", "type", "was_weakened", "rejected", F.size("critic_notes").alias("n_notes"), "citation.reference", "citation.is_verbatim",
+                           "proxy_for", "dataset_provider", "dataset_limitation", "confidence", "falsified_by", "responds_to", "priority"))
+
+
+_FLAT = f"""WITH {NOTES} SELECT id, type, n_sourced OR n_quoted OR n_proxied OR n_capped OR n_over AS was_weakened, n_sourced AS rejected,
+  n_sourced::BIGINT + n_quoted::BIGINT + n_proxied::BIGINT + n_capped::BIGINT + n_over::BIGINT AS n_notes,
+  CASE WHEN source_kind = 'document' THEN 'Plan, p. ' || (k % 7) END AS reference, CASE WHEN source_kind = 'document' THEN true END AS is_verbatim,
+  CASE WHEN type = 'fact' THEN proxy_for END AS proxy_for, CASE WHEN source_kind = 'dataset' AND n % 6 <> 0 THEN 'survey' END AS dataset_provider,
+  CASE WHEN source_kind = 'dataset' THEN 'Coarse grid.' END AS dataset_limitation,
+  CASE WHEN type = 'inference' THEN CASE WHEN n_capped THEN 'low' ELSE confidence END END AS confidence,
+  CASE WHEN type = 'assumption' THEN CASE WHEN n % 10 = 0 THEN '' ELSE 'A survey.' END END AS falsified_by,
+  CASE WHEN type = 'recommendation' THEN CASE WHEN n % 12 = 0 THEN '' ELSE 'A gap.' END END AS responds_to, CASE WHEN type = 'recommendation' THEN k % 7 END AS priority
+FROM noted"""
+
+
 def type_summary(spark, sf_dir):
     return S.type_summary(reviewed(spark, sf_dir), ["finding_id"])
 
@@ -180,5 +198,6 @@ QUERIES = {
     "references": (references, _REFS),
     "demotions": (demotions, _DEMOTED),
     "inference_demotions": (double_demotions, _DOUBLE),
+    "flat_statements": (flat_statements, _FLAT),
     "type_summary": (type_summary, _SUMMARY),
 }
