@@ -135,3 +135,16 @@ def test_table_warning_travels_with_the_caption(spark):
     rows = chunk_pages(grade_pages(pages)).collect()
     assert rows and all(r.table_risk == "severe" for r in rows)
     assert all("lost its columns" in r.caveats[-1] for r in rows)
+
+
+def test_addresses_in_running_text_are_no_headings(spark, tmp_path):
+    """chunk_labels gave a page with such a line a section of its own."""
+    from lacuna.workload import passages
+
+    text = "56.187.231.175 Anna Example wrote this line of running text.\n" + "More of it follows here. " * 6
+    rows = [(1, text, "src1", len(text)), (2, "Table 1: Values\n1 a 2.5\n" + text, "src1", 4 * len(text)), (3, "short", "src1", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.page_number, r.label, r.n) for r in passages.chunk_labels(spark, str(tmp_path)).collect()}
+    assert got == {(1, "p. 1", 1), (2, "p. 2", 1), (3, "p. 3", 1)}
+    structured = chunk_pages(grade_pages(spark.createDataFrame([("d", 1, text)], "document_id string, page_number int, raw_text string")))
+    assert structured.first().section_number == "56.187.231.175"
