@@ -6,6 +6,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from lacuna.operators import pages as P
 from lacuna.operators.evaluation import order_statistics
 from lacuna.operators.ranges import dealt_by_order, islands, latest_before, number_rows, rank_rows
 
@@ -96,3 +97,14 @@ def test_order_statistics(spark, kind):
         vs, n = sorted(vs), len(vs)
         want[f"k{i}"] = (n, vs[0], vs[n // 2], vs[min(n - 1, int(0.95 * n))], vs[-1])
     assert got == want
+
+
+def test_runs_grade_nothing_else(spark):
+    """Whether a page is unreadable was asked of its whole grade, with each text repaired and searched."""
+    pages = [("d", i, "x" * n) for i, n in enumerate([200, 119, 0, 120, 5, 200, 3], 1)] + [("d", 8, None), ("e", 1, " " * 300)]
+    graded = P.grade_pages(spark.createDataFrame(pages, "document_id string, page_number int, raw_text string"))
+    runs = P.unreadable_runs(graded)
+    assert sorted(map(tuple, runs.collect())) == [("d", 2, 3, 2), ("d", 5, 5, 1), ("d", 7, 8, 2), ("e", 1, 1, 1)]
+    assert sorted(map(tuple, P.unreadable_runs(graded.drop("raw_text")).collect())) == sorted(map(tuple, runs.collect()))
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "translate" not in plan
