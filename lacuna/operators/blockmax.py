@@ -68,9 +68,22 @@ def document_totals(tokens: DataFrame) -> DataFrame:
 
 def merged(blocks: DataFrame) -> DataFrame:
     """Blocks of several segments as one block per document, stretch and term."""
-    return blocks.groupBy("document_id", "block", "term").agg(
+    columns = ["document_id", "block", "term", "df", "max_tf", "min_length", "defines", "posts"]
+    shared = shared_stretches(blocks).withColumnsRenamed({"document_id": "_document", "block": "_block"})
+    same = F.col("document_id").eqNullSafe(F.col("_document")) & F.col("block").eqNullSafe(F.col("_block"))
+    together = blocks.join(shared, same, "left_semi").groupBy("document_id", "block", "term").agg(
         F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"),
         F.max("defines").alias("defines"), F.flatten(F.collect_list("posts")).alias("posts"))
+    return blocks.join(shared, same, "left_anti").select(columns).unionByName(together.select(columns))
+
+
+def shared_stretches(blocks: DataFrame) -> DataFrame:
+    """Stretches of a document with blocks of several versions; the others need no merging, and are not shuffled for it.
+
+    They come from numbers alone, without the postings, and are stored.
+    """
+    versions = blocks.groupBy("document_id", "block").agg(F.min("version").alias("a"), F.max("version").alias("b"))
+    return materialise(versions.where(F.col("a") < F.col("b")).select("document_id", "block"))
 
 
 def _share(tf: Column, length: Column, defines: Column) -> Column:
@@ -110,8 +123,10 @@ def top_hits(blocks: DataFrame, totals: DataFrame, questions: DataFrame, k: int
     asked-for terms, bounds and first scores are small next to the postings and stored.
     """
     asked = materialise(search.query_terms(questions))
-    terms = asked.select("document_id", "term").distinct()
+    terms = materialise(asked.select("document_id", "term").distinct())
     headers = materialise(blocks.drop("posts").join(terms, ["document_id", "term"], "left_semi"))
+    # Before they meet questions, blocks of other terms are dropped where they are read.
+    blocks = blocks.join(terms, ["document_id", "term"], "left_semi")
     weights = materialise(_weights(headers, totals, asked, questions))
     bounds = materialise(
         headers.where(F.col("max_tf").isNotNull()).join(weights, ["document_id", "term"])
@@ -133,6 +148,6 @@ def matched_terms(found: Found, blocks: DataFrame, hits: DataFrame) -> DataFrame
     """search.matched_terms of some hits, from the blocks that were read."""
     terms = found.asked.select("query_id", "document_id", "term").distinct()
     wanted = found.read.join(terms, ["query_id", "document_id"]).select(*STRETCH, "term").distinct()
-    posted = blocks.select(*STRETCH, "term", "posts").join(wanted, [*STRETCH, "term"]).select(
+    posted = blocks.join(terms.select("document_id", "term").distinct(), ["document_id", "term"], "left_semi").select(*STRETCH, "term", "posts").join(wanted, [*STRETCH, "term"]).select(
         "document_id", "term", F.explode("posts").alias("p")).select("document_id", "p.page_number", "p.chunk_ordinal", "term")
     return search.matched_terms(hits, posted, found.asked)

@@ -134,3 +134,17 @@ def test_nothing_added_and_nothing_asked(spark, index, questions):
     index.add(spark.createDataFrame([(None, 1, "x" * 200), ("a", 2, None)], PAGES))
     assert index.search(questions).hits.count() == 0
     assert index.search(questions.limit(0)).hits.count() == 0
+
+
+def test_only_shared_stretches_are_merged(spark):
+    """Compaction grouped the postings of all blocks; a stretch of one version needs none of it."""
+    from lacuna.operators import blockmax
+
+    post = "array<struct<page_number:int,chunk_ordinal:int,tf:long,length:int,defines:boolean>>"
+    rows = [("d", 0, "a", 2, 3, 5, False, [(1, 0, 3, 5, False)], 1), ("d", 0, "a", 1, 4, 4, True, [(2, 0, 4, 4, True)], 2),
+            ("d", 1, "a", 1, 1, 9, False, [(40, 0, 1, 9, False)], 1), ("e", 0, "b", 1, None, None, None, [], 2), ("d", None, "c", 1, 1, 1, False, [(None, 0, 1, 1, False)], 1),
+            ("d", None, "c", 2, 1, 1, False, [(None, 1, 1, 1, False)], 2)]
+    blocks = spark.createDataFrame(rows, f"document_id string, block long, term string, df long, max_tf long, min_length int, defines boolean, posts {post}, version long")
+    assert {tuple(r) for r in blockmax.shared_stretches(blocks).collect()} == {("d", 0), ("d", None)}
+    got = {(r.document_id, r.block, r.term): (r.df, r.max_tf, r.min_length, r.defines, len(r.posts)) for r in blockmax.merged(blocks).collect()}
+    assert got == {("d", 0, "a"): (3, 4, 4, True, 2), ("d", 1, "a"): (1, 1, 9, False, 1), ("e", 0, "b"): (1, None, None, None, 0), ("d", None, "c"): (3, 1, 1, False, 2)}
