@@ -60,3 +60,24 @@ def test_only_pages_beside_regions_have_their_spaces_collapsed(spark):
     assert [r.page_text for r in ends.collect()] == ["a b c"]
     plan = ends._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan[plan.index("Join Inner"):]
+
+
+def test_collapse_of_every_kind_of_space(spark):
+    cases = [a + b + c for a in ["", "x", " ", "\t"] for b in X.SPACE_CHARS for c in ["", " ", "y", "\xa0", " y  z"]] + ["a b c", " ", ""]
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", X.collapse(F.col("t")).alias("c")).collect()
+    for r in got:
+        plain = "".join(" " if ch in X.SPACE_CHARS else ch for ch in r.t)
+        assert r.c == " ".join(w for w in plain.split(" ") if w)
+    # Single spaces, most of any text, are passed over.
+    assert spark.range(1).select(F.lit("a b c").rlike(X._LOOSE_SPACE).alias("r")).first().r is False
+
+
+def test_spots_of_findings_read_no_text(spark, tmp_path):
+    from lacuna.workload import reports
+
+    docs = spark.createDataFrame([(i, "text", "en", "src1", 20) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spots = reports._spots(spark, str(tmp_path))
+    assert sorted(r.page_start for r in spots.collect()) == [5, 10]
+    scans = [part.split("]")[0] for part in spots._jdf.queryExecution().executedPlan().toString().split("FileScan parquet ")[1:]]
+    assert scans and not any("text#" in columns for columns in scans)
