@@ -102,3 +102,14 @@ def test_evidence_carries_caveats(spark, corpus):
     rows = evidence(chunked, answer(chunked, questions).hits).collect()
     for r in rows:
         assert r.citation_label.endswith(f"p. {r.page_number}") and r.caveats is not None
+
+
+def test_postings_count_terms_within_their_row(spark):
+    from lacuna.operators import search
+
+    rows = [("a", 1, 0, ["x", "y", "x"], 3), ("a", 2, 0, ["y"], 1), ("a", 3, 0, [], 0), ("b", 1, 0, None, -1)]
+    tokens = spark.createDataFrame(rows, "document_id string, page_number long, chunk_ordinal int, terms array<string>, length int")
+    posted = search.postings(tokens)
+    assert sorted(tuple(r) for r in posted.collect()) == [("a", 1, 0, "x", 2, 3), ("a", 1, 0, "y", 1, 3), ("a", 2, 0, "y", 1, 1)]
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
