@@ -12,8 +12,9 @@ ends of pieces, so places of neighbours in one piece, and only these, differ by
 4. Frequent groups get ids, and the occurrences semi-joined with them are the next
    level's relation.
 
-A relation has a row per block of documents with its places and ids, so a task holds one
-block at a time, levels are read where they lie, and only counts of groups are shuffled.
+A relation's rows are stretches of a block of documents with their places and ids, cut where
+no neighbours stand, so what a task, its reader and its Python worker hold at a time is a few
+short rows; levels are read where they lie, and only counts of groups are shuffled.
 Groups are told to the tasks as sorted keys while they are at most EXACT; beyond, as a
 bitmap of fixed size, which keeps all frequent groups and lets some others through to
 the next count, where they are too few: results are the same, tables larger.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lacuna.llm.common import arrow_rows, read, stored
+from lacuna.llm.common import arrow_rows, read, setting, stored
 from lacuna.llm.words import mix, word_spans
 
 LEAST = 30
@@ -52,8 +53,12 @@ EXACT = 2_000_000
 BITS = 28
 #: Bytes of texts in a block; a longer text is a block by itself.
 BLOCK_BYTES = 1_000_000
-#: Texts, and blocks of a relation, that a task is handed at once.
-TEXT_ROWS, BLOCK_ROWS = 1000, 16
+#: Places in a row of a relation, from which on it ends with the piece.
+ROW_PLACES = 10_000
+#: Texts, and rows of a relation, that a task is handed at once.
+TEXT_ROWS, RELATION_ROWS = 1000, 16
+#: Rows of a relation that Spark reads at once, and bytes that it gathers before it writes them.
+READ_ROWS, WRITE_BYTES = 64, 16 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, 0x09, *b".,;:!?", *range(0x0A, 0x0E)]] = False
@@ -157,9 +162,17 @@ def pair_key(left: np.ndarray, right: np.ndarray, dense: bool) -> np.ndarray:
     return (left << np.uint64(32)) | right if dense else mix(mix(left) + right * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _relation(place: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    one = pa.array([0, len(ids)], pa.int32())
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(ids))], ["place", "id"])
+def _relation(place: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+    """Rows that begin at the cuts."""
+    ends = pa.array(np.append(cuts, len(ids)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(ids))], ["place", "id"])
+
+
+def _cuts(place: np.ndarray) -> np.ndarray:
+    """Where rows of a block begin: at its start, and where the first two that are no neighbours stand after each ROW_PLACES."""
+    gaps = np.flatnonzero(place[1:] != place[:-1] + 1) + 1
+    at = np.searchsorted(gaps, np.arange(ROW_PLACES, len(place), ROW_PLACES))
+    return np.unique(np.append(gaps[at[at < len(gaps)]], 0))
 
 
 def _relation_schema(frequent: Frequent) -> str:
@@ -168,31 +181,34 @@ def _relation_schema(frequent: Frequent) -> str:
 
 
 def first_relation(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """Occurrences of frequent words, a row per block."""
+    """Occurrences of frequent words, in rows of about ROW_PLACES."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, place, _ in _blocks(batches):
             ok, ids = shared.value.find(keys)
-            yield _relation(place[ok], ids)
+            yield _relation(place[ok], ids, _cuts(place[ok]))
 
     return docs.select("text", "lang").mapInArrow(run, _relation_schema(frequent))
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Place, id and the id a place further on, of each block: both sides are sorted by place, which is there once."""
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Place, id and the id a place further on, of some rows, and where each row's begin: both sides are sorted by place, which is in a row once."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            place, ids = (batch.column(c)[i].values.to_numpy() for c in (0, 1))
-            next_to = np.flatnonzero(place[1:] == place[:-1] + 1)
-            yield place[next_to], ids[next_to], ids[next_to + 1]
+        place, ids = (batch.column(c).flatten().to_numpy() for c in (0, 1))
+        begin = np.append(0, np.cumsum(pc.list_value_length(batch.column(0)).to_numpy()))
+        near = place[1:] == place[:-1] + 1
+        # The end of a row and the start of the next are no neighbours: they may be of two blocks.
+        near[begin[(begin > 0) & (begin < len(place))] - 1] = False
+        next_to = np.flatnonzero(near)
+        yield place[next_to], ids[next_to], ids[next_to + 1], np.searchsorted(next_to, begin[:-1])
 
 
 def group_counts(relation: DataFrame, dense: bool) -> DataFrame:
     """left, right and n of all pairs of ids at neighbouring places, and their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, left, right in _joined(batches):
+        for _, left, right, _ in _joined(batches):
             key, one, n = np.unique(pair_key(left, right, dense), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (left[one], right[one], n)] + [pa.array(key.view(np.int64))], ["left", "right", "n", "key"])
 
@@ -205,9 +221,9 @@ def next_relation(relation: DataFrame, frequent: Frequent, dense: bool) -> DataF
     shared = relation.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, left, right in _joined(batches):
+        for place, left, right, begin in _joined(batches):
             ok, ids = shared.value.find(pair_key(left, right, dense))
-            yield _relation(place[ok], ids)
+            yield _relation(place[ok], ids, np.append(0, np.cumsum(ok))[begin])
 
     return relation.mapInArrow(run, _relation_schema(frequent))
 
@@ -234,13 +250,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         frequent = Frequent.of(words)
         dense = frequent.keys is not None
         level = stored(_with_ids(words, frequent).select("id", "lang", F.array("word").alias("words"), F.col("n").alias("f")), "setm-phrases")
-        out, relation = [level], stored(first_relation(docs, frequent), "setm-relation")
+        out, relation = [level], stored(first_relation(docs, frequent), "setm-relation", WRITE_BYTES)
     for size in range(2, longest + 1):
-        with arrow_rows(spark, BLOCK_ROWS):
+        with arrow_rows(spark, RELATION_ROWS), setting(spark, "spark.sql.parquet.columnarReaderBatchSize", READ_ROWS):
             groups = stored(group_counts(relation, dense).where(F.col("n") >= least), "setm-groups")
             frequent = Frequent.of(groups)
             if size < longest:
-                relation = stored(next_relation(relation, frequent, dense), "setm-relation")
+                relation = stored(next_relation(relation, frequent, dense), "setm-relation", WRITE_BYTES)
         dense = frequent.keys is not None
         lefts = level.select(F.col("id").alias("left"), "lang", "words")
         rights = level.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"))

@@ -107,3 +107,21 @@ def test_odd_rows(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert C.op11_collocations(spark, folder(table(spark, []), tmp_path)).collect() == []
+
+
+def test_a_block_is_cut_into_short_rows(spark):
+    """A row per block held all its places at once in readers and workers, 16 rows of it in one batch."""
+    rows = [(i, "one two three, four five. " * 3000 + "six " * 300, "en", "s") for i in range(2)] + [(9, None, "en", "s"), (10, "seven", "en", "s")]
+    docs = table(spark, rows)
+    frequent = C.Frequent.of(C.word_counts(docs).where("n >= 3 AND word IS NOT NULL"))
+    sizes = [len(r.place) for r in C.first_relation(docs.coalesce(1), frequent).collect()]
+    assert sum(sizes) == 2 * 15_300 and max(sizes) <= C.ROW_PLACES + 300
+    assert ("en", "one", "two", "three") in compare(spark, rows, 3)
+
+
+def test_rows_of_two_blocks_are_no_neighbours():
+    """The place that ends a row may be one less than the place that begins the next, of another block."""
+    lists = lambda x: C.pa.array(x, C.pa.list_(C.pa.int32()))
+    batch = C.pa.RecordBatch.from_arrays([lists([[], [1, 2, 4], [], [5, 6, 7], [8]]), lists([[], [10, 11, 12], [], [13, 14, 15], [16]])], ["place", "id"])
+    ((place, left, right, begin),) = C._joined(iter([batch]))
+    assert (place.tolist(), left.tolist(), right.tolist(), begin.tolist()) == ([1, 5, 6], [10, 13, 14], [11, 14, 15], [0, 0, 1, 1, 3])
