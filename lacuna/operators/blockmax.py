@@ -11,13 +11,16 @@ BM25's weights come from the whole index at the time of asking, so blocks stay a
 were written when others are added or removed.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna import values as V
-from lacuna.functions import text as X
 from lacuna.functions import tokens as T
 from lacuna.operators import search
 from lacuna.session import materialise
@@ -28,7 +31,13 @@ PROBED = 2
 #: Bounds are sums of rounded numbers; one that misses by less than this counts as reached.
 SLACK = 1e-6
 
+#: Terms that a task holds while it waits for the end of a stretch, and rows that it gives back at once.
+HELD_TERMS, BLOCK_ROWS = 1 << 18, 10_000
+
 STRETCH = ["document_id", "version", "block"]
+_STRETCH = ["document_id", "block"]
+_SORTED = [*_STRETCH, "page_number", "chunk_ordinal", "readable", "defines", "length"]
+_POST = ["page_number", "chunk_ordinal", "tf", "length", "defines"]
 
 
 @dataclass
@@ -44,26 +53,98 @@ class Found:
 def block_postings(tokens: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """Postings of search.tokenised chunks by document, stretch of pages and term.
 
-    Placeholders of unreadable pages count in `df` and have no postings.  The one
-    exchange deals out chunks by stretch; a stretch is bounded, a document is not.
+    Placeholders of unreadable pages count in `df` and `terms`, the sum of all term
+    frequencies, and have no postings.  The one exchange deals out chunks by stretch, in
+    whose order their terms are counted, some stretches at a time; a stretch is bounded,
+    a document is not.  Chunks of one key, length and kind count as one.
     """
     block = F.floor(F.col("page_number") / F.lit(pages_per_block)).cast("long")
-    dealt = tokens.where(F.col("document_id").isNotNull()).withColumn("block", block).repartition("document_id", "block")
-    posted = X.unnest(dealt, "terms", "term").groupBy(*search.CHUNK, "block", "readable", "defines", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    readable = lambda c: F.when(F.col("readable"), c)
-    return posted.groupBy("document_id", "block", "term").agg(
-        F.count(F.lit(1)).alias("df"),
-        F.max(readable(F.col("tf"))).alias("max_tf"),
-        F.min(readable(F.col("length"))).alias("min_length"),
-        F.max(readable(F.col("defines"))).alias("defines"),
-        F.collect_list(readable(F.struct("page_number", "chunk_ordinal", "tf", "length", "defines"))).alias("posts"),
-    )
-
-
-def document_totals(tokens: DataFrame) -> DataFrame:
-    """Chunks and terms per document, as sums that can be added up over segments."""
-    known = tokens.where(F.col("document_id").isNotNull())
-    return known.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("terms"))
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
+    # Chunks without terms go along: to ask for them here would compute all terms twice.
+    dealt = tokens.where(F.col("document_id").isNotNull()).withColumn("block", block).select(*_SORTED, "terms")
+    post = ",".join(f"{c}:{kinds.get(c, 'bigint')}" for c in _POST)
+    return dealt.repartition("document_id", "block").sortWithinPartitions(*_SORTED).mapInArrow(
+        _counted, f"document_id {kinds['document_id']}, block long, term string, df long, max_tf long, min_length int, defines boolean, terms long, posts array<struct<{post}>>")
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for equal values; null is a value."""
+    return pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy()
+
+
+def _begins(rows: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Which rows have other values than the row before."""
+    begin = np.zeros(rows.num_rows, bool)
+    begin[:1] = True
+    for c in columns:
+        codes = _codes(rows.column(c))
+        begin[1:] |= codes[1:] != codes[:-1]
+    return begin
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows in the order of _SORTED; a stretch is counted when all its rows are there."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(len(h.column("terms").flatten()) for h in held) >= HELD_TERMS:
+            rows = pa.concat_batches(held)
+            whole = int(np.flatnonzero(_begins(rows, _STRETCH))[-1])
+            yield from _blocks_of(rows.slice(0, whole))
+            held = [rows.slice(whole)]
+    if held:
+        yield from _blocks_of(pa.concat_batches(held))
+
+
+def _blocks_of(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = pc.fill_null(pc.list_value_length(rows.column("terms")), 0).to_numpy()
+    if not sizes.any():
+        return
+    stretch_begins = _begins(rows, _STRETCH)
+    chunk_begins = stretch_begins | _begins(rows, _SORTED[len(_STRETCH):])
+    chunk, first_row = np.cumsum(chunk_begins) - 1, np.flatnonzero(chunk_begins)
+    stretch, stretch_row = (np.cumsum(stretch_begins) - 1)[first_row], np.flatnonzero(stretch_begins)
+    coded = pc.dictionary_encode(rows.column("terms").flatten())
+    n_terms = np.int64(len(coded.dictionary))
+    # One post per chunk and term, then in the order of stretch and term.
+    post, tf = np.unique(np.repeat(chunk, sizes) * n_terms + coded.indices.to_numpy(), return_counts=True)
+    of, term = post // n_terms, post % n_terms
+    key = stretch[of] * n_terms + term
+    order = np.argsort(key, kind="stable")
+    of, tf, key = of[order], tf[order], key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    row = first_row[of]
+    readable = pc.fill_null(rows.column("readable"), False).to_numpy(zero_copy_only=False)[row]
+    defines = rows.column("defines").take(pa.array(row))
+    known = readable & defines.is_valid().to_numpy(zero_copy_only=False)
+    true = readable & pc.fill_null(defines, False).to_numpy(zero_copy_only=False)
+    length = pc.fill_null(rows.column("length"), 0).to_numpy()[row]
+    any_of = np.logical_or.reduceat
+    none, unknown = ~any_of(readable, first), ~any_of(known, first)
+    shown = np.flatnonzero(readable)
+    ends = np.append(0, np.cumsum(np.add.reduceat(readable.astype(np.int32), first, dtype=np.int32))).astype(np.int32)
+    at = pa.array(row[shown])
+    posts = pa.StructArray.from_arrays(
+        [rows.column("page_number").take(at), rows.column("chunk_ordinal").take(at), pa.array(tf[shown]), pa.array(length[shown]), defines.take(pa.array(shown))], _POST)
+    in_row = pa.array(stretch_row[key[first] // n_terms])
+    blocks = pa.RecordBatch.from_arrays(
+        [rows.column("document_id").take(in_row), rows.column("block").take(in_row), coded.dictionary.take(pa.array(key[first] % n_terms)),
+         pa.array(np.diff(np.append(first, len(key)))), pa.array(np.maximum.reduceat(np.where(readable, tf, 0), first), mask=none),
+         pa.array(np.minimum.reduceat(np.where(readable, length, np.iinfo(np.int32).max), first).astype(np.int32), mask=none),
+         pa.array(any_of(true, first), mask=unknown), pa.array(np.add.reduceat(tf, first)), pa.ListArray.from_arrays(pa.array(ends), posts)],
+        ["document_id", "block", "term", "df", "max_tf", "min_length", "defines", "terms", "posts"])
+    for at_row in range(0, blocks.num_rows, BLOCK_ROWS):
+        yield blocks.slice(at_row, BLOCK_ROWS)
+
+
+def document_totals(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Chunks and terms per document, as sums that can be added up over segments.
+
+    Terms come from the numbers of block_postings, so the text is tokenised once.
+    """
+    n = chunks.where(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    terms = blocks.groupBy("document_id").agg(F.sum("terms").alias("terms"))
+    return n.join(terms, "document_id", "left").withColumn("terms", F.coalesce("terms", F.lit(0).cast("long")))
 
 
 def merged(blocks: DataFrame) -> DataFrame:

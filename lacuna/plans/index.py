@@ -93,11 +93,12 @@ class Index:
         version, segment = self._next(), uuid.uuid4().hex
         self._write(chunked.withColumn("version", F.lit(version).cast("long")), "chunks", segment)
         stored = self.spark.read.parquet(f"{self.folder}/chunks/segment={segment}")
-        tokens = search.tokenised(stored)
-        blocks = blockmax.block_postings(tokens, self.pages_per_block)
+        now = F.lit(version).cast("long")
+        blocks = blockmax.block_postings(search.tokenised(stored), self.pages_per_block)
         # In the order of terms, so that asked-for terms prune row groups; no second exchange.
-        self._write(blocks.withColumn("version", F.lit(version).cast("long")).sortWithinPartitions("term", "document_id"), "blocks", segment)
-        self._write(blockmax.document_totals(tokens).withColumn("version", F.lit(version).cast("long")), "totals", segment)
+        self._write(blocks.withColumn("version", now).sortWithinPartitions("term", "document_id"), "blocks", segment)
+        written = self.spark.read.parquet(f"{self.folder}/blocks/segment={segment}")
+        self._write(blockmax.document_totals(stored, written).withColumn("version", now), "totals", segment)
         self._note_segment(version, "add", segment)
         return segment
 

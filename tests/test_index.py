@@ -148,3 +148,56 @@ def test_only_shared_stretches_are_merged(spark):
     assert {tuple(r) for r in blockmax.shared_stretches(blocks).collect()} == {("d", 0), ("d", None)}
     got = {(r.document_id, r.block, r.term): (r.df, r.max_tf, r.min_length, r.defines, len(r.posts)) for r in blockmax.merged(blocks).collect()}
     assert got == {("d", 0, "a"): (3, 4, 4, True, 2), ("d", 1, "a"): (1, 1, 9, False, 1), ("e", 0, "b"): (1, None, None, None, 0), ("d", None, "c"): (3, 1, 1, False, 2)}
+
+
+TOKENS = "document_id string, page_number long, chunk_ordinal int, readable boolean, defines boolean, terms array<string>, length int"
+
+
+def plain_blocks(rows, pages_per_block):
+    """(document, stretch, term) -> df, max_tf, min_length, defines, terms and posts, by the definition."""
+    tf = {}
+    for d, p, o, readable, defines, terms, length in rows:
+        for t in terms or []:
+            if d is not None:
+                chunk = (d, p, o, readable, defines, length)
+                tf.setdefault((d, None if p is None else p // pages_per_block, t), {}).setdefault(chunk, [0])[0] += 1
+    out = {}
+    for key, chunks in tf.items():
+        shown = [(c, n) for c, (n,) in chunks.items() if c[3]]
+        known = [c[4] for c, _ in shown if c[4] is not None]
+        out[key] = (len(chunks), max((n for _, n in shown), default=None), min((c[5] for c, _ in shown), default=None), any(known) if known else None,
+                    sum(n for n, in chunks.values()), sorted((repr(c[1]), repr(c[2]), n, c[5], repr(c[4])) for c, n in shown))
+    return out
+
+
+def as_plain(blocks):
+    return {(r.document_id, r.block, r.term): (r.df, r.max_tf, r.min_length, r.defines, r.terms, sorted((repr(p.page_number), repr(p.chunk_ordinal), p.tf, p.length, repr(p.defines)) for p in r.posts))
+            for r in blocks.collect()}
+
+
+@pytest.mark.parametrize("held", [1, 40, 1 << 18])
+def test_blocks_and_totals_by_the_definition(spark, held):
+    """Chunks come twice, with null numbers, without terms, and from several batches; totals need no second look at the text."""
+    rng = random.Random(held)
+    rows = []
+    for i in range(150):
+        terms = rng.choice([None, [], *[[rng.choice(["a", "b", "ü", "c1"]) for _ in range(rng.randrange(1, 9))] for _ in range(6)]])
+        rows.append((rng.choice(["d", "e", None]), rng.choice([None, *range(20)]), rng.choice([None, 0, 700]), rng.random() < 0.8, rng.choice([True, False, None]), terms, None if terms is None else len(terms)))
+    rows += rows[:40]
+    blocks = blockmax.block_postings(spark.createDataFrame(rows, TOKENS), 4)
+    assert as_plain(blocks) == plain_blocks(rows, 4) != {}
+    # In the order in which Spark hands them over, in batches that end within stretches.
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: [(x is not None, x) for x in (r[0], None if r[1] is None else r[1] // 4, r[1], r[2], r[3], r[4], r[6])])
+    columns = {"document_id": [r[0] for r in order], "block": [None if r[1] is None else r[1] // 4 for r in order], "page_number": [r[1] for r in order], "chunk_ordinal": [r[2] for r in order],
+               "readable": [r[3] for r in order], "defines": [r[4] for r in order], "length": [r[6] for r in order], "terms": [r[5] for r in order]}
+    pa = blockmax.pa
+    kinds = pa.schema([("document_id", pa.string()), ("block", pa.int64()), ("page_number", pa.int64()), ("chunk_ordinal", pa.int32()), ("readable", pa.bool_()), ("defines", pa.bool_()), ("length", pa.int32()), ("terms", pa.list_(pa.string()))])
+    table = pa.table(columns, kinds)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(blockmax, "HELD_TERMS", held)
+        m.setattr(blockmax, "BLOCK_ROWS", 3)
+        got = [r for b in blockmax._counted(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert len(got) == len(plain_blocks(rows, 4))
+    assert {(r["document_id"], r["block"], r["term"]): (r["df"], r["terms"], len(r["posts"])) for r in got} == {k: (v[0], v[4], len(v[5])) for k, v in plain_blocks(rows, 4).items()}
+    totals = {r.document_id: (r.n, r.terms) for r in blockmax.document_totals(spark.createDataFrame(rows, TOKENS), blocks).collect()}
+    assert totals == {d: (sum(r[0] == d for r in rows), sum(len(r[5] or []) for r in rows if r[0] == d)) for d in ("d", "e")}

@@ -108,3 +108,12 @@ def test_runs_grade_nothing_else(spark):
     assert sorted(map(tuple, P.unreadable_runs(graded.drop("raw_text")).collect())) == sorted(map(tuple, runs.collect()))
     plan = runs._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "translate" not in plan
+
+
+def test_first_ranks_only(spark):
+    """Rows of buckets that begin beyond the last rank asked for are not dealt out."""
+    rows = [(k, p) for k in ("a", "b", None) for p in [None, *range(0, 60, 2)]]
+    df = spark.createDataFrame(rows, "k string, p long")
+    every = {(r.k, r.p, r.n) for r in number_rows(df, "k", "p", "n", width=8).collect()}
+    for up_to in (1, 6, 100):
+        assert {(r.k, r.p, r.n) for r in number_rows(df, "k", "p", "n", width=8, up_to=up_to).collect()} == {r for r in every if r[2] <= up_to}
